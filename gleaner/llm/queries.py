@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing, packing, urls
+from gleaner.llm import minhash, mixing, packing, urls
 from gleaner.llm.common import table
 
 
+#: The contract of op2: three words, a similarity of 0.85.
+OP2 = minhash.MinHashParams(words=3, num=85, den=100)
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), OP2)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -24,8 +32,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op6_source_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_url_filter, op6_source_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urls.oracle()}
+    return {
+        "op2_minhash_dedup": minhash.oracle(OP2.words, OP2.num, OP2.den),
+        "op3_url_filter": urls.oracle(),
+    }
