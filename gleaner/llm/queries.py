@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import minhash, mixing, packing, urls
+from gleaner.llm import minhash, mixing, packing, suffix_dedup, urls
 from gleaner.llm.common import table
 
 
@@ -27,12 +27,16 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_weight", "mix_epoch", "mix_block", "mix_pos")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_url_filter, op6_source_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_url_filter, op6_source_mixing, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
