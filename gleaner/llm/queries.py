@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import minhash, mixing, packing, suffix_dedup, urls
+from gleaner.llm import ann, embed_dedup, minhash, mixing, packing, suffix_dedup, urls
 from gleaner.llm.common import table
 
 
+def op1_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: The contract of op2: three words, a similarity of 0.85.
 OP2 = minhash.MinHashParams(words=3, num=85, den=100)
 
@@ -27,6 +32,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_weight", "mix_epoch", "mix_block", "mix_pos")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -36,11 +45,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_url_filter, op6_source_mixing, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_hilbert_search, op2_minhash_dedup, op3_url_filter, op6_source_mixing, op7_embedding_dedup, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_hilbert_search": ann.oracle(),
         "op2_minhash_dedup": minhash.oracle(OP2.words, OP2.num, OP2.den),
         "op3_url_filter": urls.oracle(),
+        "op7_embedding_dedup": embed_dedup.oracle(),
     }
