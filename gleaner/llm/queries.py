@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, embed_dedup, minhash, mixing, packing, suffix_dedup, urls
+from gleaner.llm import ann, embed_dedup, html_text, minhash, mixing, packing, quality, suffix_dedup, urls
 from gleaner.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "mix_weight", "mix_epoch", "mix_block", "mix_pos")
@@ -45,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_search, op2_minhash_dedup, op3_url_filter, op6_source_mixing, op7_embedding_dedup, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_hilbert_search, op2_minhash_dedup, op3_url_filter, op4_html_density, op5_quality_net, op6_source_mixing, op7_embedding_dedup, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
