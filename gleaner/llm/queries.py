@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, embed_dedup, html_text, minhash, mixing, packing, quality, suffix_dedup, urls
+from gleaner.llm import ann, embed_dedup, html_text, minhash, mixing, packing, pii, quality, suffix_dedup, urls
 from gleaner.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_search, op2_minhash_dedup, op3_url_filter, op4_html_density, op5_quality_net, op6_source_mixing, op7_embedding_dedup, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_hilbert_search, op2_minhash_dedup, op3_url_filter, op4_html_density, op5_quality_net, op6_source_mixing, op7_embedding_dedup, op8_pii_surrogates, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
