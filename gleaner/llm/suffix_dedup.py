@@ -43,8 +43,8 @@ class SuffixParams:
     length: int = 50
     k: int = 16
     hot: int = 4_096  # spans of one anchor above which its strings are dealt out singly
-    batch_bytes: int = 16_000_000  # text that a task settles at once
-    chunk_bytes: int = 8_000_000  # text of a chunk of documents or of a bucket of anchors
+    batch_bytes: int = 8_000_000  # text that a task settles at once
+    chunk_bytes: int = 4_000_000  # text of a chunk of documents or of a bucket of anchors
     least_chunks: int = 12
 
 
@@ -277,6 +277,23 @@ def _rows_of(doc: np.ndarray, part: np.ndarray, want_doc: np.ndarray, want_part:
     return order[at], order
 
 
+def _single(buf: np.ndarray, spans: dict[str, np.ndarray], p: SuffixParams) -> dict[str, np.ndarray]:
+    """The strings of spans one by one, each its own anchor."""
+    parts = []
+    for at in range(0, len(spans["ln"]), 2_000):
+        h = {c: v[at : at + 2_000] for c, v in spans.items()}
+        n = h["ln"].astype(np.int64)
+        size = n + p.length - 1
+        base = np.cumsum(size) - size
+        s = rolling.prefix(buf[np.repeat(h["begin"] - base, size) + np.arange(size.sum())])
+        i = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        key = rolling.mix(rolling.window(s, base[i] + step, base[i] + step + p.length))
+        flat = np.ones(len(i), np.uint8)
+        parts.append({"key": key, "span": key, "doc": h["doc"][i], "st": h["st"][i] + step, "begin": h["begin"][i] + step, "ln": flat, "off": flat - 1})
+    return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+
+
 def contexts(texts: pd.DataFrame, asks: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
     """Bytes of the requested spans of a chunk, by bucket; strings of hot anchors one by one."""
     out: list[tuple] = []
@@ -289,18 +306,15 @@ def contexts(texts: pd.DataFrame, asks: pd.DataFrame, buckets: int, p: SuffixPar
     hot = ask["hot"] > 0
     cold = _take({**ask, "begin": begin}, np.flatnonzero(~hot))
     if hot.any():
-        h = _take({**ask, "begin": begin}, np.flatnonzero(hot))
-        n = h["ln"].astype(np.int64)
-        i = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        one = {"doc": h["doc"][i], "st": h["st"][i] + step, "begin": h["begin"][i] + step, "ln": np.ones(len(i), np.uint8), "off": np.zeros(len(i), np.uint8)}
-        s = rolling.prefix(buf)
-        one["key"] = one["span"] = rolling.mix(rolling.window(s, one["begin"], one["begin"] + p.length))
+        one = _single(buf, _take({**ask, "begin": begin}, np.flatnonzero(hot)), p)
         late, rest = settle(one)
         # Of equal strings in this chunk the bytes decide.
-        same = np.searchsorted(one["key"][rest], one["key"][late])
-        eq = (buf[one["begin"][late][:, None] + np.arange(p.length)] == buf[one["begin"][rest[same]][:, None] + np.arange(p.length)]).all(1)
-        r = _ranges(one, late[eq], p)
+        same = rest[np.searchsorted(one["key"][rest], one["key"][late])]
+        eq = np.zeros(len(late), bool)
+        for k in range(0, len(late), 20_000):
+            x, y = (one["begin"][i[k : k + 20_000]][:, None] + np.arange(p.length) for i in (late, same))
+            eq[k : k + 20_000] = (buf[x] == buf[y]).all(1)
+        r = _merge_ranges(_ranges(one, late[eq], p))
         out += [(1, a, b) for a, b in _dealt(r, _place(r["doc"], buckets), RANGE)]
         one = _take(one, np.concatenate([rest, late[~eq]]))
         cold = {c: np.concatenate([cold[c], one[c]]) for c in ("key", "doc", "st", "ln", "off", "begin")}
@@ -447,7 +461,7 @@ def cut_texts(texts: pd.DataFrame, ranges: pd.DataFrame, spans: bool) -> pd.Data
     """Results of a chunk's documents."""
     doc, part, buf, at = _texts(texts["blob"])
     r = _all(ranges["blob"], RANGE)
-    delta = np.zeros(len(buf) + 1, np.int64)
+    delta = np.zeros(len(buf) + 1, np.int32)
     if len(r["doc"]):
         # Repeated rows have the same ranges: look them up from the documents' side.
         order = np.lexsort((r["st"], r["doc"]))
@@ -459,21 +473,23 @@ def cut_texts(texts: pd.DataFrame, ranges: pd.DataFrame, spans: bool) -> pd.Data
         begin = at[i] + (r["st"][k] & 0xFFFFFFFF)
         np.add.at(delta, begin, 1)
         np.add.at(delta, begin + r["n"][k], -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(gone)])
+    gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
+    del delta
+    total = np.zeros(len(gone) + 1, np.int64)
+    np.cumsum(gone, out=total[1:])
+    gone_by, k_at = np.diff(total[at]), at - total[at]
     rises = gone.copy()
     rises[1:] &= ~gone[:-1]
     inner = at[:-1][at[:-1] < len(buf)]
     rises[inner] = gone[inner]
-    n_rises = np.concatenate([[0], np.cumsum(rises)])
+    np.cumsum(rises, out=total[1:])
     kept = buf[~gone].tobytes()
-    k_at = at - total[at]
     out = pd.DataFrame(
         {
             "doc_id": doc,
             "n_bytes": np.diff(at),
-            "n_removed": np.diff(total[at]),
-            "n_spans": np.diff(n_rises[at]),
+            "n_removed": gone_by,
+            "n_spans": np.diff(total[at]),
             "kept_sha256": [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(k_at[:-1].tolist(), k_at[1:].tolist(), strict=True)],
         }
     )
