@@ -139,3 +139,28 @@ def one(index: Index, treatment: str) -> Index:
     """An index cut down to one treatment."""
     pick = lambda df: df.where(F.col("treatment") == treatment)
     return Index(index.docs, pick(index.postings), pick(index.doc_stats), pick(index.term_stats), pick(index.collection))
+
+
+FUNNEL_STEPS = ("raw_alpha", "minus_digits", "minus_stopwords", "stemmed")
+
+
+def funnel_drops(steps: DataFrame) -> DataFrame:
+    """Per step of a funnel: the share of tokens and types that it keeps, and whether it loses most tokens."""
+    place = F.array_position(F.array(*[F.lit(s) for s in FUNNEL_STEPS]), F.col("step"))
+    by = Window.orderBy(place)  # four rows
+    rows = steps.select("step", "n_types", "n_tokens", F.lag("n_types").over(by).alias("t0"), F.lag("n_tokens").over(by).alias("n0"))
+    drop = F.col("n0") - F.col("n_tokens")
+    most = F.max(drop).over(Window.partitionBy())
+    return rows.select("step", (F.col("n_tokens") / F.col("n0")).alias("kept_tokens"), (F.col("n_types") / F.col("t0")).alias("kept_types"), F.coalesce(drop == most, F.lit(False)).alias("largest_drop"))
+
+
+def zipf_verdict(fit: DataFrame) -> DataFrame:
+    """flat, near 1, or steep, by the fitted slope."""
+    s = -F.col("slope")
+    return fit.select("slope", "intercept", F.when(s < 0.95, "flat").when(s > 1.05, "steep").otherwise("near 1").alias("verdict"))
+
+
+def trimmed(bins: DataFrame) -> DataFrame:
+    """A histogram without the empty bins at its end."""
+    last = bins.where("n > 0").agg(F.max("bin").alias("last"))
+    return bins.crossJoin(last).where("bin <= last").drop("last")  # one row

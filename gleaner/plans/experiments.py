@@ -117,3 +117,19 @@ def zero_counts(main: DataFrame) -> DataFrame:
         F.count_if(F.col("ap") == 0).alias("n_zero"), F.count_if(F.col("ap") < 0.1).alias("n_below_01"), F.count_if(F.col("ap") > 0.9).alias("n_above_09"),
         F.percentile("ap", 0.5).alias("median_ap"),
     )
+
+
+def dead_topics(main: DataFrame) -> DataFrame:
+    """Topics on which every run fails."""
+    return main.groupBy("num").agg(F.max("ap").alias("best"), F.count("*").alias("n_runs")).where("best = 0").select("num", "n_runs")
+
+
+def grid_swing(cells: DataFrame) -> DataFrame:
+    return cells.agg(F.min("map").alias("worst"), F.max("map").alias("best"), (F.max("map") - F.min("map")).alias("swing"))
+
+
+def judged_differences(pairs: DataFrame, hairline: float = 0.0005) -> DataFrame:
+    """Comparisons with flags: does the interval exclude zero, and only just?"""
+    apart = (F.col("lo") > 0) | (F.col("hi") < 0)
+    edge = F.least(F.abs("lo"), F.abs("hi"))
+    return pairs.withColumn("excludes_zero", apart).withColumn("hairline", apart & (edge < hairline))

@@ -206,5 +206,12 @@ def oracle_sql() -> dict[str, str]:
         a="SELECT num, k1, b, sum(h / rank) FILTER (rel = 1) / max(n_rel) AS ap FROM h GROUP BY ALL",
     )
     out["bm25_grid"] = grid
+    out["grid_swing"] = f"SELECT round(min(map), 6) AS worst, round(max(map), 6) AS best, round(max(map) - min(map), 6) AS swing FROM ({grid.replace('round(avg(coalesce(ap, 0)), 6)', 'avg(coalesce(ap, 0))')})"
+    out["dead_topics"] = _with("SELECT num, count(*) AS n_runs FROM pt GROUP BY 1 HAVING max(ap) = 0")
+    last = f"SELECT max(bin) AS last FROM ({out['doc_len_hist']}) WHERE n > 0"
+    out["doc_len_hist_trimmed"] = f"SELECT bin, left_edge, n FROM ({out['doc_len_hist']}) CROSS JOIN ({last}) WHERE bin <= last"
+    out["zipf_verdict"] = f"SELECT slope, intercept, CASE WHEN -slope < 0.95 THEN 'flat' WHEN -slope > 1.05 THEN 'steep' ELSE 'near 1' END AS verdict FROM ({out['zipf_fit']})"
+    out["funnel_drops"] = f"""SELECT step, round(n_tokens / n0, 6) AS kept_tokens, round(n_types / t0, 6) AS kept_types, coalesce(n0 - n_tokens = max(n0 - n_tokens) OVER (), false) AS largest_drop
+      FROM (SELECT *, lag(n_tokens) OVER w AS n0, lag(n_types) OVER w AS t0 FROM ({out['vocab_funnel']}) WINDOW w AS (ORDER BY list_position(['raw_alpha', 'minus_digits', 'minus_stopwords'], step)))"""
     out["bm25_grid_best"] = f"SELECT * FROM ({grid}) ORDER BY map DESC, k1, b LIMIT 1"
     return out

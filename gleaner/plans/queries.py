@@ -363,6 +363,33 @@ def corpus_summary(spark, sf):
     return vocabulary.corpus_summary(tables.documents(spark, sf))
 
 
+@query
+def funnel_drops(spark, sf):
+    rows = vocabulary.funnel_drops(vocabulary.funnel(tables.documents(spark, sf), stemmed=False))
+    return rows.select("step", *r6("kept_tokens", "kept_types"), "largest_drop")
+
+
+@query
+def zipf_verdict(spark, sf):
+    return vocabulary.zipf_verdict(vocabulary.zipf_fit(_index(spark, sf).term_stats)).select(*r6("slope", "intercept"), "verdict")
+
+
+@query
+def doc_len_hist_trimmed(spark, sf):
+    return vocabulary.trimmed(statistics.histogram(_index(spark, sf).doc_stats, "doc_len", statistics.DOC_LEN_BINS))
+
+
+@query
+def dead_topics(spark, sf):
+    return experiments.dead_topics(_main(spark, sf))
+
+
+@query
+def grid_swing(spark, sf):
+    rows = experiments.grid(tables.topics(spark, sf), _index(spark, sf), tables.qrels(spark, sf), PLAIN)
+    return experiments.grid_swing(rows).select(*r6("worst", "best", "swing"))
+
+
 # Readers, on literal files
 
 SGML = """<DOC><DOCNO> X-10 </DOCNO><DATE>911231</DATE><HEADLINE>FT  31 DEC 91 / Caf&eacute;  and

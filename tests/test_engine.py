@@ -229,3 +229,17 @@ def test_exports(spark, tmp_path):
         export.write_json(path, {"a": float("nan")})
     with pytest.raises(ValueError):
         export.claims({"n": None})
+
+
+def test_views(spark):
+    from gleaner.plans import views
+
+    views.register(built(spark, DOCS), "v_")
+    row = spark.sql("SELECT porter_stem(term) AS s, tf FROM v_postings JOIN v_docs USING (doc_idx) WHERE term = 'apple' AND docno = 'D0'").first()
+    assert (row["s"], row["tf"]) == ("appl", 2)
+
+
+def test_flags(spark):
+    rows = spark.createDataFrame([("a", 0.0001, 0.2), ("b", -0.1, 0.2), ("c", -0.3, -0.1)], "key string, lo double, hi double")
+    got = {r["key"]: (r["excludes_zero"], r["hairline"]) for r in experiments.judged_differences(rows).collect()}
+    assert got == {"a": (True, True), "b": (False, False), "c": (True, False)}
