@@ -48,7 +48,7 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-SECRET = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?[A-Za-z0-9_+/-]{8,}"
+SECRET = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}"
 NAMED = r"\b(?:" + "|".join(t for t, _ in TITLES) + r")\.? " + _NAME
 #: One pass finds all kinds; what stands before a secret or a name is found with it and stays.
 PATTERN = "|".join(f"(?:{p})" for p in [SECRET, *KINDS.values(), NAMED])

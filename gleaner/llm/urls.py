@@ -116,7 +116,7 @@ def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, params: Tr
     bad = F.when(F.col("by_rule").isNotNull(), F.col("by_rule") == "block").otherwise(F.col("seeded"))
     templates = cut(rows.groupBy(*key).agg(F.count_if(labelled).alias("lab"), F.count_if(bad).alias("bad")))
     for d in range(1, p.levels + 1):
-        templates = _level(templates, d, p)
+        templates = cut(_level(templates, d, p))
     final = ["host", *[f"t{d + 1}" for d in range(p.levels)], "tail"]
     share = templates.groupBy(*final).agg(
         ((F.sum("bad") + F.lit(p.strength * p.prior)) / (F.sum("lab") + F.lit(p.strength))).alias("bad_share")
