@@ -6,8 +6,10 @@
 3. Inside a bucket, pairs compare their one-byte signatures batch by batch. After each batch a pair
    whose posterior chance to reach the threshold is below ``miss`` drops out. Of the survivors, a
    maximum spanning forest per bucket is verified on the whole sets.
-4. Then all surviving pairs of a bucket that verified links haven't joined yet are verified as well,
-   so nothing is capped: a pair is skipped only if its documents are in one component already.
+4. Then documents that share a bucket but no component meet once more: those outside a bucket's
+   largest component meet all members of that component, and each other, in bounded blocks that hold
+   signatures and texts. Survivors are verified in place, so only links leave a block. Nothing is
+   capped: a pair is skipped only if its documents are in one component already.
 
 With the defaults a pair at the threshold misses all bands with probability (1 - 0.85**5)**25 < 5e-7.
 
@@ -45,6 +47,8 @@ class MinHashParams:
     miss: float = 1e-6  # posterior chance below which a pair is given up
     tile: int = 2_048  # members of a bucket that one block compares
     part_rows: int = 40_000  # bucket members per task
+    block_rows: int = 8_000  # rows of blocks per task
+    few_ids: int = 1_000_000  # so many ids (8 MB) may be broadcast; more are joined by shuffle
 
 
 _SPACE = np.zeros(256, bool)
@@ -142,10 +146,6 @@ def survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, p: MinHashParams, l
     return stay, seen
 
 
-def _row_survivors(sig: np.ndarray, i: int, others: np.ndarray, p: MinHashParams, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    return survivors(sig, np.full(len(others), i), others, p, least)
-
-
 def _segments(key: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
     ends = np.concatenate([cuts, [len(key)]])
@@ -204,39 +204,54 @@ def forest(key: np.ndarray, node: np.ndarray, sig: np.ndarray, p: MinHashParams)
                 a, b = node[s + x], node[s + source[x]]
                 edges.add((min(a, b), max(a, b)))
             rest = np.flatnonzero(todo)
-            stay, seen = _row_survivors(sig, s + x, left[rest], p, least)
+            stay, seen = survivors(sig, np.full(len(rest), s + x), left[rest], p, least)
             to = rest[stay]
             better = seen > best[to]
             best[to[better]], source[to[better]] = seen[better], x
     return {(int(a), int(b)) for a, b in edges if a != b}
 
 
-def crossing(key: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, p: MinHashParams) -> set[tuple[int, int]]:
-    """Surviving pairs of different components: within side 0, or between sides 0 and 1 of a block."""
-    least, edges = least_matches(p), set()
-    spans = _segments(key)
-    small = [x for x in spans if x[1] - x[0] <= SMALL]
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        edges.update(zip(x[x != y].tolist(), y[x != y].tolist(), strict=True))
+def crossing(key: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, z: list[bytes], p: MinHashParams) -> set[tuple[int, int]]:
+    """Verified links between components: within side 0, or between sides 0 and 1, of each block; ``key``
+    ascends. Once a link joins two components of a block, no further pair of the two is looked at."""
+    import zstandard
 
-    for at in range(0, len(small), 20_000):
-        _, i, j = _small_pairs(small[at : at + 20_000])
-        two = comp[i] != comp[j]
-        i, j = i[two], j[two]
-        stay, _ = survivors(sig, i, j, p, least)
-        keep(i[stay], j[stay])
-    for s, e in spans:
-        if e - s <= SMALL:
+    least, links, open_ = least_matches(p), set(), zstandard.ZstdDecompressor()
+    for s, e in _segments(key):
+        zero = np.flatnonzero(side[s:e] == 0) + s
+        one = np.flatnonzero(side[s:e] == 1) + s
+        if not len(zero) or len(zero) + len(one) < 2:
             continue
-        a, b = np.flatnonzero(side[s:e] == 0) + s, np.flatnonzero(side[s:e] == 1) + s
-        for k, x in enumerate(a):
-            others = b if len(b) else a[k + 1 :]
-            others = others[comp[others] != comp[x]]
-            stay, _ = _row_survivors(sig, int(x), others, p, least)
-            keep(np.full(len(stay), x), others[stay])
-    return edges
+        now = comp[s:e].copy()
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(x: int, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+            if x not in sets:
+                data = open_.decompress(z[x]) if z[x] else b""
+                sets[x] = shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), p.words)[1]
+            return sets[x]
+
+        for k, x in enumerate(zero.tolist()):
+            others = one if len(one) else zero[k + 1 :]
+            others = others[(now[others - s] != now[x - s]) & (node[others] != node[x])]
+            stay, _ = survivors(sig, np.full(len(others), x), others, p, least)
+            for at in range(0, len(stay), 512):
+                to = others[stay[at : at + 512]]
+                to = to[now[to - s] != now[x - s]]
+                if not len(to):
+                    continue
+                own, each = shingles(x), [shingles(y) for y in to.tolist()]
+                size = np.array([len(h) for h in each])
+                found = np.concatenate([[0], np.cumsum(np.isin(np.concatenate(each), own, assume_unique=False))])
+                end = np.cumsum(size)
+                both = found[end] - found[end - size]
+                ok = (both > 0) & (p.den * both >= p.num * (len(own) + size - both))
+                for y in to[ok].tolist():
+                    a, b = now[x - s], now[y - s]
+                    if a != b:
+                        links.add((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+                        now[now == max(a, b)] = min(a, b)
+    return links
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -268,8 +283,8 @@ def sketch(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, a long, b long, sig binary, bands array<long>")
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, z``: compressed texts of the documents in ``ids(node)``."""
+def packed_texts(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """``node, z``: compressed texts of the documents in ``ids(node)``; few ids spare the texts a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -279,7 +294,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             z = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["node", "z"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ids) if few else ids, "node", "left_semi")
     return chosen.mapInArrow(run, "node long, z binary")
 
 
@@ -309,33 +324,42 @@ def verified(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
     return left.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _tiles(rows: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
-    """Blocks ``bucket, node, comp, side, sig`` that hold every pair of different components of a bucket.
+def _spot(n, p: MinHashParams):
+    """A node's tile among those that hold ``n`` nodes."""
+    return (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) % F.greatest(F.lit(1), F.ceil(n / F.lit(p.tile)))).cast("long")
+
+
+def _to(n, p: MinHashParams):
+    return F.sequence(F.lit(0).cast("long"), F.ceil(n / F.lit(p.tile)).cast("long") - 1)
+
 
-    A bucket of at most ``tile`` members is one block. A larger one sets the members of its largest
-    component, which needn't be compared among themselves, against tiles of the others."""
-    joined = rows.join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def blocks(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
+    """Blocks ``block, side, node, comp`` in which every two documents of a bucket meet whose components differ.
+
+    A document outside its bucket's largest component meets that component's members, tile by tile, once
+    for all buckets; those outside meet each other within the bucket, tile by tile."""
+    own = members.select("node").distinct().join(comps.withColumnRenamed("component", "comp"), "node", "left")
+    own = own.select("node", F.coalesce("comp", "node").alias("comp"))
+    joined = members.select("bucket", "node").join(own, "node")
     by = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    shape = by.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds"))
-    shape = shape.where("kinds > 1").select("bucket", "all", F.col("top.n").alias("n_top"), F.col("top.comp").alias("top"))
-    joined = joined.join(shape, "bucket")
-    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) % F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(p.tile)))
-    joined = joined.withColumn("is_top", F.col("comp") == F.col("top"))
-    joined = joined.withColumn("u", F.ceil((F.col("all") - F.col("n_top")) / F.lit(p.tile))).withColumn("v", F.ceil(F.col("n_top") / F.lit(p.tile)))
-    joined = joined.withColumn("size", F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("all") - F.col("n_top")))
-    joined = joined.withColumn("spot", spot)
-    one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")))
-    block = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
-    to = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
-    spot_ = F.col("spot")
-    of_top = F.transform(to(F.col("u")), lambda i: block(i, -1 - spot_, 1))
-    of_rest = F.concat(
-        F.transform(to(F.col("v")), lambda j: block(spot_, -1 - j, 0)),
-        F.transform(to(F.col("u")), lambda j: F.when(j >= spot_, block(spot_, j, 0)).otherwise(block(j, spot_, 1))),
-    )
-    where = F.when(F.col("all") <= p.tile, one).when(F.col("is_top"), of_top).otherwise(of_rest)
-    cut_ = joined.select("bucket", "node", "comp", "sig", F.explode(where).alias("x"))
-    return cut_.select(F.xxhash64("bucket", "x.i", "x.j").alias("bucket"), "node", "comp", F.col("x.side").alias("side"), "sig")
+    shape = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    shape = shape.select("bucket", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("kinds") - 1).alias("kinds"))
+    rest = cut(joined.join(shape, "bucket").where("comp <> top"))
+
+    guests = rest.select("node", "comp", "top").distinct()
+    n_guests = guests.groupBy("top").agg(F.count("*").alias("g"))
+    n_hosts = own.groupBy("comp").agg(F.count("*").alias("h")).withColumnRenamed("comp", "top")
+    sizes = n_guests.join(n_hosts, "top")
+    name = lambda *c: F.xxhash64(*c).alias("block")
+    a = guests.join(sizes, "top").withColumn("i", _spot(F.col("g"), p)).withColumn("j", F.explode(_to(F.col("h"), p)))
+    b = own.withColumn("top", F.col("comp")).join(sizes, "top").withColumn("j", _spot(F.col("h"), p)).withColumn("i", F.explode(_to(F.col("g"), p)))
+    met = a.select(name(F.lit("host"), "top", "i", "j"), F.lit(0).alias("side"), "node", "comp")
+    met = met.unionByName(b.select(name(F.lit("host"), "top", "i", "j"), F.lit(1).alias("side"), "node", "comp"))
+
+    pairs = rest.where("kinds > 1").withColumn("spot", _spot(F.col("n_rest"), p)).withColumn("t", F.explode(_to(F.col("n_rest"), p)))
+    low, high = F.least("t", "spot"), F.greatest("t", "spot")
+    pairs = pairs.select(name(F.lit("rest"), "bucket", low, high), F.when(F.col("t") < F.col("spot"), 1).otherwise(0).alias("side"), "node", "comp")
+    return met.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -359,26 +383,27 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     tile = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) % F.ceil(F.col("n") / F.lit(p.tile))
     tiled = members.select(F.xxhash64("bucket", tile).alias("bucket"), "node", "sig")
 
-    def edges(kind):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["bucket", "node"], kind="stable")
-            key, node, sig = pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), _matrix(pdf["sig"], p.hashes)
-            if kind == "forest":
-                got = forest(key, node, sig, p)
-            else:
-                got = crossing(key, node, pdf["comp"].to_numpy(), pdf["side"].to_numpy(), sig, p)
-            return pd.DataFrame(sorted(got), columns=["a", "b"], dtype="int64")
-
-        return run
-
-    def grouped(df: DataFrame, kind: str) -> DataFrame:
-        part = F.pmod(F.col("bucket"), F.lit(parts))
-        return df.withColumn("part", part).groupBy("part").applyInPandas(edges(kind), "a long, b long").distinct()
-
-    texts = cut(packed_texts(docs, members.select("node").distinct()))
-    links = cut(verified(cut(grouped(tiled, "forest")), texts, p))
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "node"], kind="stable")
+        got = forest(pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), _matrix(pdf["sig"], p.hashes), p)
+        return pd.DataFrame(sorted(got), columns=["a", "b"], dtype="int64")
+
+    def bridges(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "side", "node"], kind="stable")
+        key, node, comp, side = (pdf[c].to_numpy() for c in ("block", "node", "comp", "side"))
+        got = crossing(key, node, comp, side, _matrix(pdf["sig"], p.hashes), pdf["z"].tolist(), p)
+        return pd.DataFrame(sorted(got), columns=["a", "b"], dtype="int64")
+
+    ids = cut(members.select("node").distinct())
+    texts = cut(packed_texts(docs, ids, ids.count() <= p.few_ids))
+    part = F.pmod(F.col("bucket"), F.lit(parts))
+    pairs = cut(tiled.groupBy(part.alias("part")).applyInPandas(trees, "a long, b long").distinct())
+    links = cut(verified(pairs, texts, p))
     comps = cut(components(links))
-    more = cut(verified(cut(grouped(_tiles(members.drop("n"), comps, p), "crossing")), texts, p))
+    met = cut(blocks(members, comps, p))
+    kit = sigs.join(texts, "node")
+    part = F.pmod(F.col("block"), F.lit(max(12, -(-met.count() // p.block_rows))))
+    more = cut(met.join(kit, "node").groupBy(part.alias("part")).applyInPandas(bridges, "a long, b long").distinct())
     if not more.isEmpty():
         comps = cut(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
