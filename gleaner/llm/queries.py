@@ -66,4 +66,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_dedup": minhash.oracle(OP2.words, OP2.num, OP2.den),
         "op3_url_filter": urls.oracle(),
         "op7_embedding_dedup": embed_dedup.oracle(),
+        "op9_suffix_dedup": suffix_dedup.oracle(),
     }

@@ -532,3 +532,18 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams(), kept:
         F.sha2(text, 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if kept else []),
     )
     return out.unionByName(rest)
+
+
+def oracle(length: int = 50) -> str:
+    """Every string of every document in DuckDB SQL, on hexadecimal texts."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - {length - 1}, 0))) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * length}) AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1),
+r AS (SELECT doc_id, i AS a, i + {length} AS b FROM w JOIN f USING (s) WHERE m < doc_id),
+o AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+g AS (SELECT doc_id, a, b, count(*) FILTER (before IS NULL OR a > before) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM o),
+x AS (SELECT doc_id, k, min(a) AS a, max(b) AS b FROM g GROUP BY ALL),
+y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM x),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM y JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
