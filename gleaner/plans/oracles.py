@@ -164,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT num, title, n_rel, n_judged, run_key AS best_run, round(ap, 6) AS best_ap FROM b JOIN topics USING (num) WHERE place = 1",
             b="SELECT *, row_number() OVER (PARTITION BY num ORDER BY round(ap, 9) DESC, list_position(" + _list(f"{r}|{f}" for r in RANKERS for f in FIELDS) + ", run_key)) AS place FROM pt",
         ),
+        "ap_by_run": _with("SELECT run_key, (row_number() OVER (PARTITION BY run_key ORDER BY num) - 1)::INTEGER AS place, round(ap, 6) AS ap FROM pt"),
         "zero_counts": _with("SELECT run_key, count(*) FILTER (ap = 0) AS n_zero, count(*) FILTER (ap < 0.1) AS n_below_01, count(*) FILTER (ap > 0.9) AS n_above_09, round(quantile_cont(ap, 0.5), 6) AS median_ap FROM pt GROUP BY 1"),
         "heaps_points": _with(
             "SELECT n_tokens, (SELECT count(*) FROM f WHERE f.spot <= c.n_tokens) AS n_types FROM c",
