@@ -372,8 +372,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     reps = cut(reps.select("node", "size", "a", "b", "sig", "bands").dropDuplicates(["node", "size", "a", "b"]))
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
-    found = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("h"))
-    alike = cut(found.where("n > 1").groupBy("n", "lo", "hi", "h").agg(F.min("bucket").alias("bucket")))
+    found = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 32)).alias(f"h{i}") for i in range(2)])
+    alike = cut(found.where("n > 1").groupBy("n", "lo", "hi", "h0", "h1").agg(F.min("bucket").alias("bucket")))
     members = members.join(alike.select("bucket", "n"), "bucket")
     sigs = reps.select("node", "sig")
     members = cut(members.join(sigs, "node").select("bucket", "n", "node", "sig"))
