@@ -26,7 +26,6 @@ def _table(text: str) -> list[tuple[str, str]]:
 
 
 _TWO, _THREE, _FOUR = _table(STEP_2), _table(STEP_3), sorted(STEP_4.split(), key=len, reverse=True)
-_SHAPE = re.compile("c*(?:v+c+)*")
 
 
 def _shape(stem: str) -> str:

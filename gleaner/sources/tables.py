@@ -25,7 +25,8 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``num, docno, rel``. Relevant: the document holds the passage word for word. Judged besides: every
-    fortieth labelled document. A passage looks for documents by its rarest inner word, then compares."""
+    fortieth labelled document. A passage looks for documents by its rarest inner word, then compares; one
+    of fewer than three words has no inner word and finds none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
     words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
