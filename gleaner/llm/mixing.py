@@ -31,6 +31,7 @@ class MixParams:
     block_tokens: int = 1_000_000
     points: int = 16  # exponents tried in one pass
     passes: int = 8
+    few_sources: int = 100_000  # a plan of so many rows (some 10 MB) is broadcast; a longer one is joined by shuffle
     key: str = "mix"
 
 
@@ -88,11 +89,13 @@ def mix(docs: DataFrame, length: Column | None = None, params: MixParams = MixPa
     total = sums.agg(F.sum("tokens").alias("t")).first()["t"] or 1
     sources = cut(sums.withColumn("share", F.col("tokens") / F.lit(float(total))))
     plan = cut(source_plan(sources, exponent(sources, p)))
+    few = sources.count() <= p.few_sources
+    small = F.broadcast if few else (lambda df: df)
 
     # The partial epoch: blocks in the order of the epoch's permutation, then documents of the block at the edge.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("plan_tokens") / F.lit(p.block_tokens)))
     block = F.floor(F.col("h") / F.lit(float(SPAN)) * blocks)
-    drawn = narrow.join(plan.select("src", F.col("tokens").alias("plan_tokens"), "whole", "rest").where("rest > 0"), "src")
+    drawn = narrow.join(small(plan.select("src", F.col("tokens").alias("plan_tokens"), "whole", "rest").where("rest > 0")), "src")
     drawn = drawn.withColumn("h", keyed_hash(p.key, F.col("doc_id"), F.col("whole"))).withColumn("block", block)
     by_block = drawn.groupBy("src", "block", "rest").agg(F.sum("tokens").alias("n"))
     upto = Window.partitionBy("src").orderBy("block")
@@ -104,7 +107,7 @@ def mix(docs: DataFrame, length: Column | None = None, params: MixParams = MixPa
     plan = plan.join(first_out, "src", "left").select(
         F.col("src").alias(src), F.struct(F.col("weight"), F.col("tokens"), F.col("draw"), F.col("whole"), F.when(F.col("rest") > 0, F.coalesce(F.col("cut"), F.lit(SPAN))).otherwise(0).alias("cut")).alias(key)
     )
-    out = rows.join(plan, src)
+    out = rows.join(small(plan), src)
     of = lambda e: keyed_hash(p.key, F.col("doc_id"), e)
     last = F.col(key)["whole"] - F.when(of(F.col(key)["whole"]) < F.col(key)["cut"], 0).otherwise(1)
     out = out.withColumn(names["mix_epoch"], F.explode(F.sequence(F.lit(0), last)))
