@@ -25,7 +25,7 @@ from gleaner.llm.common import cut, keyed_hash, n_words
 class PackParams:
     buckets: int = 8
     batch_tokens: int = 65_536
-    max_bins: int = 4_096  # bounds the histogram that the driver reads; lengths round up to multiples of longest/max_bins
+    bits: int = 9  # leading bits of a length that the histogram tells apart: 2**bits exact lengths, half as many bins for each doubling
     split_rows: int = 20_000  # rows that one task numbers at once
     key: str = "pack"
 
@@ -61,19 +61,27 @@ def boundaries(sizes: list[int], counts: list[int], totals: list[int], buckets:
     return sorted(set(out))
 
 
+def histogram(rows: DataFrame, bits: int) -> DataFrame:
+    """``bin, most, n, t``: longest length, rows and sum of lengths of each bin of ``n_tokens``.
+
+    Lengths agree in their ``bits`` leading bits within a bin, so bins are narrow wherever documents are,
+    however long the longest, and their number is bounded by that of the doublings."""
+    low = F.greatest(F.length(F.bin("n_tokens")) - bits, F.lit(0))
+    floor = F.call_function("shiftleft", F.call_function("shiftright", F.col("n_tokens"), low), low)
+    return rows.groupBy(floor.alias("bin")).agg(F.max("n_tokens").alias("most"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+
+
 def pack(docs: DataFrame, length: Column | None = None, params: PackParams = PackParams()) -> DataFrame:
     """``doc_id, n_tokens, bucket, pad_to, batch, slot``: one row per row of ``docs``."""
-    p, spark = params, docs.sparkSession
+    p = params
     length = n_words(F.col("text")) if length is None else length
-    rows = cut(docs.select("doc_id", length.cast("long").alias("n_tokens")))
-    size = rows.agg(F.count("*").alias("n"), F.max("n_tokens").alias("most")).first()
-    step = max(1, -(-(size["most"] or 0) // p.max_bins))
-    up = F.ceil(F.col("n_tokens") / F.lit(step)) * F.lit(step)
-    found = sorted(rows.groupBy(up.alias("up")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect())
-    ends = boundaries([r["up"] for r in found], [r["n"] for r in found], [r["t"] for r in found], p.buckets) or [0]
+    rows = cut(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens")))
+    found = histogram(rows, p.bits).collect()
+    found = sorted((r["most"], r["n"], r["t"]) for r in found)
+    ends = boundaries([r[0] for r in found], [r[1] for r in found], [r[2] for r in found], p.buckets) or [0]
     fits = F.array(*[F.lit(int(e)) for e in ends])
     bucket = F.size(F.filter(fits, lambda e: e < F.col("n_tokens")))
-    parts = max(1, -(-size["n"] // p.split_rows))
+    parts = max(1, -(-sum(r[1] for r in found) // p.split_rows))
     order = keyed_hash(p.key, F.col("doc_id"))
     rows = rows.select("*", bucket.alias("bucket"), order.alias("order")).withColumn("part", F.pmod(F.col("order"), F.lit(parts)))
     counts = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
