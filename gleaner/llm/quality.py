@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: NetParams = NetParams()) ->
     length = F.char_length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(p.pieces - 1)), lambda i: F.substring("text", (i * (length - p.chunk) / (p.pieces - 1)).cast("int") + 1, F.lit(p.chunk)))
     text = F.when(length <= room, F.col("text")).otherwise(F.array_join(pieces, ""))
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("text"), "quality")  # 2 * sample rows at most
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("text"), "quality")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # 2 * sample rows at most, however often an id repeats
     rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.collect())
     return train([r[1].encode() for r in rows], np.array([r[2] for r in rows], np.float32), p)
 
