@@ -11,7 +11,7 @@
    signatures and texts. Survivors are verified in place, so only links leave a block. Nothing is
    capped: a pair is skipped only if its documents are in one component already.
 
-With the defaults a pair at the threshold misses all bands with probability (1 - 0.85**5)**25 < 5e-7.
+A pair at similarity s misses all bands with probability (1 - s**5)**25: 5e-7 at 0.85, 5e-5 at 0.8.
 
 Edge cases: null or empty texts, and texts without words, have an empty set and link with nothing.
 Rows with a null doc_id link with nothing and are kept. Rows that share a doc_id are one document.

@@ -366,6 +366,18 @@ def test_packing(clashing, spark):
     assert packing.pack(none_of(spark)).count() == 0
 
 
+def test_histogram_stays_fine_beside_one_very_long_document(spark):
+    lengths = [n for n in range(1, 600) for _ in range(2)] + [50_000_000]
+    rows = spark.createDataFrame([(n,) for n in lengths], "n_tokens long")
+    found = packing.histogram(rows, 9).collect()
+    assert sum(r["n"] for r in found) == len(lengths) and sum(r["t"] for r in found) == sum(lengths)
+    assert {r["most"] for r in found if r["most"] < 512} == set(range(1, 512))
+    assert all(r["bin"] <= r["most"] < r["bin"] * (1 + 2**-8) for r in found)
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    pads = {r["pad_to"] for r in packing.pack(docs, F.col("n"), packing.PackParams(buckets=4)).select("pad_to").distinct().collect()}
+    assert len(pads) == 4 and sorted(pads)[:3] == sorted(packing.boundaries(list(range(1, 600)), [2] * 599, [2 * n for n in range(1, 600)], 3))
+
+
 # Personal data
 
 
@@ -385,6 +397,9 @@ def test_surrogates(spark):
     new = re.search(r"Mail (\S+) or (\S+); \+1 \(\d{3}\) \d{3}-\d{4}, (\d+\.\d+\.\d+\.\d+), (\d{16}) = (\d{4}-\d{4}-\d{4}-\d{4})\. Mr\. \w+on \w+, Frau \w+ia \w+\. token = \"[0-9a-f]{40}\" AKIA[0-9A-Z]{16} password=[0-9a-f]{18} \d{3}-\d\d-\d{4} v2\.0 1999$", t)
     assert new and new[1] == new[2] and new[4] == new[5].replace("-", "") and new[1].endswith(".example.org")
     assert got[6].endswith(new[1]) and len(got[6]) > 400_000
+    run = "a" * 1_000_000 + "1"  # one very long word isn't tried from each of its letters
+    long = spark.createDataFrame([(1, run), (2, run + " a.b.12@mail5.example.com")], "doc_id long, text string")
+    assert [r["text"] for r in pii.pseudonymise(long).orderBy("doc_id").collect()] == [run, f"{run} {new[1]}"]
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
