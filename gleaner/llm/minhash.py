@@ -48,6 +48,8 @@ class MinHashParams:
     tile: int = 2_048  # members of a bucket that one block compares
     part_rows: int = 40_000  # bucket members per task
     block_rows: int = 8_000  # rows of blocks per task
+    large_class: int = 10_000  # a class of more copies never meets its rows by shuffle
+    most_large: int = 10_000
     few_ids: int = 1_000_000  # so many ids (8 MB) may be broadcast; more are joined by shuffle
 
 
@@ -367,8 +369,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     p = params
     rows = cut(sketch(docs, p))
     named = rows.where("size > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("size", "a", "b").agg(F.min("doc_id").alias("node"))
-    reps = named.select("doc_id", "size", "a", "b", "sig", "bands").join(classes, ["size", "a", "b"]).where("doc_id = node")
+    classes = cut(named.groupBy("size", "a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    # Joined by id too, so a large class of copies isn't one key.
+    reps = named.withColumnRenamed("doc_id", "node").join(classes.drop("n"), ["node", "size", "a", "b"], "left_semi")
     reps = cut(reps.select("node", "size", "a", "b", "sig", "bands").dropDuplicates(["node", "size", "a", "b"]))
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
@@ -407,9 +410,13 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     if not more.isEmpty():
         comps = cut(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
-    classes = reps.select("size", "a", "b", "node").join(comps, "node", "left").select("size", "a", "b", F.coalesce("component", "node").alias("component"))
-    ids = rows.select("doc_id", "size", "a", "b")
-    out = ids.join(classes.groupBy("size", "a", "b").agg(F.min("component").alias("component")), ["size", "a", "b"], "left")
+    classes = cut(classes.join(comps, "node", "left").select("size", "a", "b", "n", F.coalesce("component", "node").alias("component")))
+    # Classes of more than large members are broadcast, most_large at most by their sizes; the others meet their rows by shuffle.
+    large = max(p.large_class, -(-rows.count() // p.most_large))
+    own = classes.where(F.col("n") > large).select("size", "a", "b", F.col("component").alias("large"))
+    ids = rows.select("doc_id", "size", "a", "b").join(F.broadcast(own), ["size", "a", "b"], "left")
+    few = ids.where("large IS NULL").join(classes.where(F.col("n") <= large).drop("n"), ["size", "a", "b"], "left")
+    out = few.drop("large").unionByName(ids.where("large IS NOT NULL").withColumnRenamed("large", "component"))
     comp = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 

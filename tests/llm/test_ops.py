@@ -83,7 +83,7 @@ def near_by_force(rows, k, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("p", [minhash.MinHashParams(), minhash.MinHashParams(words=3, num=85, tile=4, part_rows=10, block_rows=10, few_ids=0)])
+@pytest.mark.parametrize("p", [minhash.MinHashParams(), minhash.MinHashParams(words=3, num=85, tile=4, part_rows=10, block_rows=10, few_ids=0, large_class=1)])
 def test_near_duplicates(clashing, p):
     got = minhash.near_duplicates(clashing, p).collect()
     want = near_by_force(corpus(), p.words, p.num, p.den)
