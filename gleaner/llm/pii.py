@@ -7,9 +7,12 @@ addresses and separators of numbers don't matter), and it keeps the mention's fo
 digits, letters letters of the same case and script, separators stay, addresses stay addresses; a
 name's surrogate has the title's gender.
 
-Distinct entities get distinct surrogates. Numbers are permuted (a Feistel network over their digits,
-so two never meet); the others draw from large spaces, and a check over all distinct entities of the
-input redraws everything under the next subkey if any two meet.
+Distinct entities get distinct surrogates. Numbers, secrets, keys and accounts are permuted (Feistel
+networks over their characters, so two never meet, even where the input uses up all strings of a
+format). Names and addresses draw from spaces that grow with the number of distinct ones, so that a
+draw without a collision is likely (99 %) whatever the input's size; a check over all of them redraws
+under the next subkey if two meet. It compares names without their gender's ending, so it holds for
+each name after every title.
 
 Native DataFrame code throughout. Edge cases: null texts stay null, empty ones empty; repeated rows
 change alike; other columns, whatever their names, stay as they are; empty tables give empty results.
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import unused
+from gleaner.llm.common import cut, unused
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,10 @@ KINDS = {
 }
 SECRET = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}"
 NAMED = r"\b(?:" + "|".join(t for t, _ in TITLES) + r")\.? " + _NAME
+#: The country code of a phone number. No code begins another, so a number's digits alone tell its code.
+_GAP = r"[ .(-]*"
+_TWO = "|".join(f"{a}{_GAP}[{b}]" for a, b in (("2", "07"), ("3", "0-469"), ("4", "013-9"), ("5", "1-8"), ("6", "0-6"), ("8", "1246"), ("9", "0-58")))
+COUNTRY = rf"^\+(?:[17]|{_TWO}|[0-9]{_GAP}[0-9]{_GAP}[0-9])"
 #: One pass finds all kinds; what stands before a secret or a name is found with it and stays.
 PATTERN = "|".join(f"(?:{p})" for p in [SECRET, *KINDS.values(), NAMED])
 #: Cheap test that a text may hold an entity at all.
@@ -110,33 +117,90 @@ def in_shape(mention: Column, letters: Column) -> Column:
     return F.aggregate(F.split(mention, ""), start, step, lambda s: s["o"])
 
 
-def scrambled(entity: Column, key: Column, kind: str) -> Column:
-    """Each letter or digit redrawn within its class; hex strings stay hex strings."""
-    hexes = entity.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
-    at = F.sequence(F.lit(1), F.greatest(F.length(entity), F.lit(1)))
-
-    def draw(i: Column) -> Column:
-        c = F.substring(entity, i, F.lit(1))
-        r = _number(_digest(key, F.lit(kind), entity, i.cast("string")))
-        pick = lambda alphabet: F.substring(F.lit(alphabet), (F.pmod(r, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _alphabets(entity: Column) -> Column:
+    """For each character the characters that may stand for it ("" if it stays).
+
+    Any choice from them has the same alphabets again: digits stay digits, strings of hex digits with a
+    letter stay such strings, and lower-case strings that aren't hex stay so.
+    """
+    small, more, digits = "abcdef", "ghijklmnopqrstuvwxyz", "0123456789"
+    hexes, lower = entity.rlike("^[0-9a-f]*[a-f][0-9a-f]*$"), entity.rlike("^[0-9a-z]*[g-z][0-9a-z]*$")
+    # The place of the first letter of a hex string, or of the first one that shows that a string isn't hex.
+    mark = F.when(hexes, F.length(F.regexp_extract(entity, "^[0-9]*", 0))).when(lower, F.length(F.regexp_extract(entity, "^[0-9a-f]*", 0))).otherwise(-1)
+
+    def alphabet(x: Column, c: Column, i: Column) -> Column:
+        before, here = i < x["mark"], i == x["mark"]
         return (
-            F.when(hexes, pick("0123456789abcdef")).when(c.rlike("[0-9]"), pick("0123456789"))
-            .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+            F.when(x["hexes"], F.when(before, digits).when(here, small).otherwise(digits + small))
+            .when(c.rlike("[0-9]"), digits)
+            .when(c.rlike("[a-z]"), F.when(before, small).when(here, more).otherwise(small + more))
+            .when(c.rlike("[A-Z]"), (small + more).upper()).otherwise("")
         )
 
-    return F.array_join(F.transform(at, draw), "")
+    about = F.struct(hexes.alias("hexes"), mark.alias("mark"), F.split(entity, "").alias("c"))
+    return _let(about, lambda x: F.transform(x["c"], lambda c, i: alphabet(x, c, i)))
+
+
+def scrambled(entity: Column, key: Column, kind: str) -> Column:
+    """A keyed permutation of the strings of each format: four Feistel rounds over the two halves."""
+
+    def step(s: Column, r: Column) -> Column:
+        half = F.floor(F.size(s["c"]) / 2).cast("int")
+        other = F.when(r % 2 == 0, F.slice(s["c"], half + 1, F.size(s["c"]))).otherwise(F.slice(s["c"], 1, half))
+
+        def turn(d: Column, c: Column, i: Column) -> Column:
+            letters = F.get(s["a"], i)
+            moved = ((i < half) == (r % 2 == 0)) & (letters != "")
+            at = F.pmod(F.instr(letters, c) - 1 + _number(_digest(d, i.cast("string"))), F.length(letters).cast("long"))
+            return F.when(moved, F.substring(letters, (at + 1).cast("int"), F.lit(1))).otherwise(c)
+
+        drawn = _digest(key, F.lit(kind), r.cast("string"), F.array_join(other, ""))
+        return F.struct(_let(drawn, lambda d: F.transform(s["c"], lambda c, i: turn(d, c, i))).alias("c"), s["a"].alias("a"))
+
+    state = F.struct(F.split(entity, "").alias("c"), _alphabets(entity).alias("a"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(4)]), state, step, lambda s: F.array_join(s["c"], ""))
+
+
+@dataclass(frozen=True)
+class Room:
+    """How long drawn surrogates are."""
+
+    syllables: int = 5  # of each word of a name
+    letters: int = 13  # of an address, at most 32
+
+
+def _width(n: int, base: int, least: int) -> int:
+    """The length from which ``n`` draws all differ with a chance of more than 99 %: ``base ** length`` is 100 n² or more."""
+    while base**least < 100 * n * n:
+        least += 1
+    return least
+
+
+def room_for(found: DataFrame) -> Room:
+    """Room for all names and addresses of ``found``."""
+    name, pair = F.col("kind") == "name", F.contains(F.col("entity"), F.lit(" "))
+    n = found.agg(F.count_if(name & ~pair), F.count_if(name & pair), F.count_if(F.col("kind") == "email")).first()
+    few = min(len(parts) for parts, _ in SYLLABLES.values())
+    least = Room()
+    return Room(max(_width(n[0], few, least.syllables), _width(n[1], few * few, least.syllables)), _width(n[2], 16, least.letters))
 
 
-def _name(entity: Column, gender: Column, key: Column) -> Column:
+def _name(entity: Column, gender: Column, key: Column, room: Room = Room()) -> Column:
     """A made-up name with as many words."""
 
     def word(w: Column, i: Column) -> Column:
-        d = _digest(key, F.lit("name"), entity, i.cast("string"))
+        # Eight syllables from each digest.
+        drawn = [_digest(key, F.lit("name"), entity, i.cast("string"), *[F.lit(str(b))][:b]) for b in range((room.syllables + 7) // 8)]
 
         def made(script: str) -> Column:
             parts, ends = SYLLABLES[script]
             table = F.array(*[F.lit(s) for s in parts])
-            body = [F.element_at(table, (F.pmod(F.conv(F.substring(d, 1 + 4 * k, 4), 16, 10).cast("long"), F.lit(len(parts))) + 1).cast("int")) for k in range(5)]
+            body = [F.element_at(table, (F.pmod(F.conv(F.substring(drawn[k // 8], 1 + 4 * (k % 8), 4), 16, 10).cast("long"), F.lit(len(parts))) + 1).cast("int")) for k in range(room.syllables)]
             end = F.when(gender == "m", ends["m"]).when(gender == "f", ends["f"]).otherwise(ends["x"])
             return F.initcap(F.concat(*body, F.when(i == 0, end).otherwise("")))
 
@@ -151,7 +215,7 @@ def parts_of(mention: Column) -> Column:
     empty = F.lit("")
     key_lead = F.regexp_extract(mention, r"^(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?", 0)
     name_lead = F.regexp_extract(mention, "^(?:" + "|".join(t for t, _ in TITLES) + r")\.? ", 0)
-    phone_lead = F.regexp_extract(mention, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
+    phone_lead = F.regexp_extract(mention, COUNTRY, 0)
     aws_lead = F.regexp_extract(mention, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     made = lambda kind, lead, b, entity: F.struct(F.lit(kind).alias("kind"), lead.alias("lead"), b.alias("body"), entity.alias("entity"))
@@ -177,13 +241,13 @@ def gender_of(lead: Column) -> Column:
     return out
 
 
-def surrogate(p: Column, key: Column) -> Column:
+def surrogate(p: Column, key: Column, room: Room = Room()) -> Column:
     """The replacement of a mention given as ``parts_of`` describes."""
     kind, body = p["kind"], p["body"]
     local = F.substring_index(p["entity"], "@", 1)
     d = _digest(key, F.lit("email"), p["entity"])
-    # 13 letters of a base-20 alphabet, then as many digits as a numbered address has at its end.
-    letters = F.translate(F.substring(d, 1, 13), "0123456789abcdef", "bdfghklmnprstvwz")
+    # Letters of a base-16 alphabet, then as many digits as a numbered address has at its end.
+    letters = F.translate(F.substring(d, 1, room.letters), "0123456789abcdef", "bdfghklmnprstvwz")
     end = F.regexp_extract(local, r"[._-]?[0-9]+$", 0)
     number = in_shape(end, F.translate(F.substring(d, 14, 18), "abcdef", "123456"))
     email = F.concat(letters, number, F.lit("@mail"), F.pmod(_number(d, 3), F.lit(10)).cast("string"), F.lit(".example.org"))
@@ -198,14 +262,14 @@ def surrogate(p: Column, key: Column) -> Column:
         lambda s: F.concat_ws(".", F.shiftright(s["h"], 8), s["h"].bitwiseAND(F.lit(255).cast("long")), F.shiftright(s["l"], 8), s["l"].bitwiseAND(F.lit(255).cast("long"))),
     )
     digits = F.regexp_replace(body, "[^0-9]", "")
-    number = in_shape(body, permuted(digits, F.concat(key, kind, p["lead"])))
+    number = in_shape(body, permuted(digits, F.concat(key, kind, F.regexp_replace(p["lead"], r"[ .(-]", ""))))
     plain = F.concat(p["lead"], scrambled(F.regexp_replace(body, " ", ""), key, "iban"))
     bank = F.substring(F.when(body.contains(" "), F.regexp_replace(plain, "(.{4})(?=.)", "$1 ")).otherwise(plain), 3, 64)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", mixed)
         .when(kind.isin("phone", "card", "ssn"), number)
-        .when(kind == "name", _name(p["entity"], gender_of(p["lead"]), key))
+        .when(kind == "name", _name(p["entity"], gender_of(p["lead"]), key, room))
         .when(kind == "iban", bank)
         .otherwise(scrambled(body, key, "key"))
     )
@@ -216,41 +280,44 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
-def replaced(text: Column, key: Column) -> Column:
+def replaced(text: Column, key: Column, room: Room = Room()) -> Column:
     """``text`` with every mention replaced."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(F.transform(found, parts_of), lambda p: F.concat(p["lead"], surrogate(p, key)))
+    new = F.transform(F.transform(found, parts_of), lambda p: F.concat(p["lead"], surrogate(p, key, room)))
     pieces = F.zip_with(F.split(text, PATTERN, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.when(text.rlike(HINT), F.array_join(pieces, "")).otherwise(text)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``kind, lead, body, entity`` of the distinct entities of the input (with one mention each)."""
+    """``kind, entity`` of the distinct names and addresses of the input; other kinds are permuted and can't meet."""
     found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).distinct().select(parts_of(F.col("m")).alias("p"))
-    return found.groupBy("p.kind", "p.entity").agg(F.min(F.struct("p.lead", "p.body")).alias("x")).select("kind", "entity", "x.lead", "x.body")
+    return found.where(F.col("p.kind").isin("email", "name")).select("p.kind", "p.entity").distinct()
 
 
 def meets(found: DataFrame, key: str) -> bool:
-    """Do two entities of a kind share a surrogate under this key?"""
-    p = F.struct("kind", "lead", "body", "entity")
-    plain = F.regexp_replace(surrogate(p, F.lit(key)), r"[^\p{L}0-9@.]", "")
-    made = found.select("kind", F.when(F.col("kind").isin("email", "ip", "name"), plain).otherwise(F.concat("lead", plain)).alias("s"))
-    return not made.groupBy("kind", "s").count().where("count > 1").isEmpty()
+    """Do two names or two addresses share a surrogate under this key?"""
+    p = F.struct("kind", F.lit("").alias("lead"), F.col("entity").alias("body"), "entity")  # no lead: names of either gender
+    plain = F.regexp_replace(surrogate(p, F.lit(key), room_for(found)), r"[^\p{L}0-9@.]", "")
+    return not found.select("kind", plain.alias("s")).groupBy("kind", "s").count().where("count > 1").isEmpty()
 
 
-def working_key(docs: DataFrame, params: PiiParams = PiiParams()) -> str:
-    """The first subkey under which all entities of ``docs`` get distinct surrogates."""
-    found = entities(docs)
+def _settled(docs: DataFrame, params: PiiParams) -> tuple[str, Room]:
+    found = cut(entities(docs))
     for i in range(params.tries):
         key = f"{params.key}/{i}"
         if not meets(found, key):
-            return key
+            return key, room_for(found)
     raise ValueError(f"no subkey of {params.key!r} keeps all surrogates apart; raise tries")
 
 
+def working_key(docs: DataFrame, params: PiiParams = PiiParams()) -> str:
+    """The first subkey under which all entities of ``docs`` get distinct surrogates."""
+    return _settled(docs, params)[0]
+
+
 def pseudonymise(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """All columns of ``docs``, with the entities of ``text`` replaced."""
-    key = working_key(docs, params)
+    key, room = _settled(docs, params)
     raw = unused(docs, "pii_text")
-    out = docs.withColumn(raw, replaced(F.col("text"), F.lit(key)))
+    out = docs.withColumn(raw, replaced(F.col("text"), F.lit(key), room))
     return out.select(*[F.col(raw).alias(c) if c == "text" else F.col(c) for c in docs.columns])

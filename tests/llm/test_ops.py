@@ -418,6 +418,33 @@ def test_collisions_draw_anew(spark, monkeypatch):
         pii.working_key(spark.createDataFrame([("a",)], "text string"))
 
 
+def test_many_names_and_passwords_stay_apart(spark):
+    letters, n = "абвгдежзиклмнопрстуф", 15_000
+    names = [letters[i // 8000].upper() + letters[i // 400 % 20] + letters[i // 20 % 20] + letters[i % 20] for i in range(n)]
+    rows = [(" ".join(f"{t} {w}," for w in names[at : at + 500] for t in ("Mr", "Dr")),) for at in range(0, n, 500)]
+    got = [m for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect() for m in r["text"].split(",")[:-1]]
+    assert len(got) == len({m.strip() for m in got}) == len({m.split()[1] for m in got}) == 2 * n
+    rows = [(" ".join(f"password={i * 997:08d}" for i in range(at, at + 500)),) for at in range(0, 40_000, 500)]
+    got = [m for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect() for m in r["text"].split()]
+    assert len(set(got)) == 40_000 and all(len(m) == 17 and m[9:].isdigit() for m in got)
+
+
+def test_scrambling_permutes_each_format(spark):
+    import itertools
+
+    words = ["".join(w) for n, letters in ((2, "0123456789abcdefghijklmnopqrstuvwxyz"), (3, "0123456789abcdefg"), (2, "09AZaz-")) for w in itertools.product(letters, repeat=n)]
+    new = {r["w"]: r["x"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", pii.scrambled(F.col("w"), F.lit("k"), "key").alias("x")).collect()}
+    assert len(set(new.values())) == len(new) and {x for w, x in new.items() if len(w) == 2 and w.isalnum() and w == w.lower()} == {w for w in new if len(w) == 2 and w.isalnum() and w == w.lower()}
+    hexes = lambda w: set(w) <= set("0123456789abcdef") and not w.isdigit()
+    assert all(hexes(w) == hexes(x) and w.isdigit() == x.isdigit() for w, x in new.items())
+
+
+def test_country_codes_are_read_from_the_digits(spark):
+    df = spark.createDataFrame([("+44 2079 460 958 +442079460958 +1 212 555 0123",)], "text string")
+    a, b = pii.pseudonymise(df).first()["text"].split(" +")[:2]
+    assert a.startswith("+44 ") and a.replace(" ", "")[1:] == b
+
+
 # Pipeline
 
 
