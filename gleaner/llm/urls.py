@@ -38,7 +38,7 @@ class TreeParams:
     strength: float = 2.0  # labelled pages that the prior weighs as much as
     z: float = 2.58  # normal quantile of the similarity test
     min_labelled: int = 5  # branches with fewer labelled pages never stand alone
-    max_children: int = 200  # a level with more distinct segments holds values
+    max_children: int = 200  # read by the SQL alone: it merges a level with more distinct segments
     reject_at: float = 0.5
 
 
@@ -80,13 +80,12 @@ def _level(templates: DataFrame, d: int, p: TreeParams) -> DataFrame:
     """Merge the branches of level ``d``; adds ``t{d}``."""
     at = ["host", *[f"t{i}" for i in range(1, d)]]
     own = templates.groupBy(*at, f"s{d}").agg(F.sum("lab").alias("b_lab"), F.sum("bad").alias("b_bad"))
-    every = own.groupBy(*at).agg(F.count("*").alias("a_kids"), F.sum("b_lab").alias("a_lab"), F.sum("b_bad").alias("a_bad"))
+    every = own.groupBy(*at).agg(F.sum("b_lab").alias("a_lab"), F.sum("b_bad").alias("a_bad"))
     rate = F.col("a_bad") / F.col("a_lab")
     apart = F.abs(F.col("b_bad") / F.col("b_lab") - rate) > p.z * F.sqrt(rate * (1 - rate) / F.col("b_lab")) + 0.05
     merged = (
         F.when(F.col(f"s{d}") == "", "")
         .when(F.col("b_lab") == 0, "{unlabelled}")
-        .when(F.col("a_kids") > p.max_children, "{any}")
         .when((F.col("b_lab") >= p.min_labelled) & apart, F.col(f"s{d}"))
         .otherwise("{any}")
     )
@@ -131,7 +130,7 @@ def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, params: Tr
 
 
 def oracle(rules=RULES, seed_words=SEED_WORDS, params: TreeParams = TreeParams()) -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, but for levels with more than ``max_children`` distinct segments."""
     p, n = params, params.levels
     rule = "".join(
         f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{q}') THEN {{{i}}}"

@@ -247,6 +247,13 @@ def test_url_tree_tells_branches_apart(spark):
     assert {(r["path"][1:3], r["verdict"]) for r in got.collect()} == {("de", "block"), ("en", "allow"), ("fr", "allow")}
 
 
+def test_url_tree_tells_branches_apart_on_wide_levels(spark):
+    for n in (50, 250):
+        urls_ = [f"http://casino.example.org/fr/{i}" for i in range(1000)] + [f"http://casino.example.org/w{'abcdefghij'[i % n // 25]}{'abcdefghijklmnopqrstuvwxy'[i % n % 25]}/{i}" for i in range(750)]
+        got = urls.filter_urls(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")).collect()
+        assert {(r["path"].startswith("/fr/"), r["verdict"]) for r in got} == {(True, "allow"), (False, "block")}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="with-sidebar"><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies</div><header><h1>Site</h1></header><div id="wrap"><main><article><header><h1>Head &amp; line</h1></header><p><b>Open bold.<br>next<p>Two
  lines &eacute;</p><div class="ad">Buy</div><ul><li>x<li>y</ul><section id="comments"><p>Great!</p></section></article></main>
