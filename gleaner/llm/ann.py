@@ -87,11 +87,16 @@ def curve_keys(v: np.ndarray, p: CurveParams) -> np.ndarray:
     return keys
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row (unordered)."""
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row (unordered); of equal scores at the cut the smaller ids."""
     if score.shape[1] <= k:
         return np.broadcast_to(np.arange(score.shape[1]), score.shape)
-    return np.argpartition(-score, k - 1, axis=1)[:, :k]
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(score, top, 1).min(1)
+    for i in np.flatnonzero((score >= least[:, None]).sum(1) > k):
+        at = np.flatnonzero(score[i] >= least[i])
+        top[i] = at[np.lexsort((ids[i, at], -score[i, at]))[:k]]
+    return top
 
 
 def _windows(pdf: pd.DataFrame, p: CurveParams) -> pd.DataFrame:
@@ -105,7 +110,7 @@ def _windows(pdf: pd.DataFrame, p: CurveParams) -> pd.DataFrame:
             if len(q):
                 a, b = max(0, s - p.window), min(len(v), s + p.block + p.window)
                 score = v[q] @ v[a:b].T
-                top = _best(score, p.k + 1)
+                top = _best(score, np.broadcast_to(pt[a:b], score.shape), p.k + 1)
                 out.append(pd.DataFrame({"q": np.repeat(pt[q], top.shape[1]), "pt": pt[a:b][top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
     return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "pt": np.zeros(0, np.int64), "score": np.zeros(0)})
 
@@ -131,7 +136,7 @@ def _cell(q: pd.DataFrame, x: pd.DataFrame, p: CurveParams) -> pd.DataFrame:
             continue
         score = np.concatenate([got_s[reach], a[reach] @ w.T], axis=1)
         ids = np.concatenate([got_i[reach], np.broadcast_to(pt[s : s + p.block], (len(reach), len(w)))], axis=1)
-        top = _best(score, p.k + 1)
+        top = _best(score, ids, p.k + 1)
         got_s[reach], got_i[reach] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
         bound[reach] = np.maximum(bound[reach], got_s[reach].min(1))
     ok = (got_i >= 0) & (got_s >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None])

@@ -180,6 +180,15 @@ def test_search(spark, p):
     assert ann.search(spark.createDataFrame([], VEC), F.lit(True)).count() == 0
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    x = {i: [float(b) for b in f"{n:010b}"] for i, n in enumerate(rng.permutation(np.arange(1, 400)))}
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame([(i, v, 0) for i, v in x.items()], VEC), F.col("vec_id") % 40 == 0, ann.CurveParams(k=5, block=16, window=8)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [i for _, i in sorted((-float(np.dot(x[q], v)), i) for i, v in x.items() if i != q)[:5]] for q in range(0, 399, 40)}
+
+
 def test_recall_of_windows_alone(spark):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((40, 16)) * 3
