@@ -26,8 +26,8 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """``raw_tokens`` without those that hold a digit."""
-    return F.filter(raw_tokens(text), lambda t: ~t.rlike("[0-9]"))
+    """``raw_tokens`` without those that hold a digit: runs of letters with neither letter nor digit beside them."""
+    return F.regexp_extract_all(F.lower(_text(text)), F.lit("(?<![a-z0-9])([a-z]++)(?![0-9])"), 1)
 
 
 def without(words: Column, stopwords: Iterable[str] | None) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pandas as pd
@@ -28,17 +27,20 @@ def _table(text: str) -> list[tuple[str, str]]:
 _TWO, _THREE, _FOUR = _table(STEP_2), _table(STEP_3), sorted(STEP_4.split(), key=len, reverse=True)
 
 
+_LETTERS = str.maketrans({c: "v" if c in "aeiou" else "c" for c in "abcdefghijklmnopqrstuvwxz"})
+
+
 def _shape(stem: str) -> str:
     """c for consonants, v for vowels; y is a vowel after a consonant."""
-    out = ""
-    for ch in stem:
-        out += "v" if ch in "aeiou" or ch == "y" and out.endswith("c") else "c"
+    out = stem.translate(_LETTERS)
+    while (at := out.find("y")) >= 0:
+        out = f"{out[:at]}{'v' if at and out[at - 1] == 'c' else 'c'}{out[at + 1 :]}"
     return out
 
 
 def measure(stem: str) -> int:
     """How often vowels are followed by consonants."""
-    return len(re.findall("v+c+", _shape(stem)))
+    return _shape(stem).count("vc")
 
 
 def _has_vowel(stem: str) -> bool:
@@ -109,13 +111,15 @@ def stem(word: str) -> str:
 
 
 def stem_map(words: DataFrame) -> DataFrame:
-    """``term, stem`` for the distinct words of ``words(term)``: each word is stemmed once."""
+    """``term, stem`` for the distinct words of ``words(term)``: each word is stemmed once, on all cores
+    (a number of partitions is named, as adaptive planning would see few bytes and join them)."""
 
     @F.pandas_udf(T.StringType())
     def stems(s: pd.Series) -> pd.Series:
         return s.map(stem)
 
-    return words.select("term").distinct().select("term", stems("term").alias("stem"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select("term").distinct().repartition(n, "term").select("term", stems("term").alias("stem"))
 
 
 def register(spark) -> None:

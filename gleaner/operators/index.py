@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.analysis import STOPWORDS, tokens
+from gleaner.functions.analysis import STOPWORDS, tokens, without
 from gleaner.functions.porter import stem_map
 
 #: treatment -> (stemmed, without stopwords), in this order.
@@ -18,56 +18,109 @@ TREATMENTS = {"stem_stop": (True, True), "nostem_stop": (False, True), "stem_nos
 
 @dataclass(frozen=True)
 class Index:
-    """One or more treatments; every table has the column ``treatment``."""
+    """One or more treatments; every table but ``docs`` has the column ``treatment``."""
 
     docs: DataFrame  # doc_idx, docno, ...
-    postings: DataFrame  # treatment, term, doc_idx, tf
+    postings: DataFrame  # treatment, term, doc_idx, tf, doc_len
     doc_stats: DataFrame  # treatment, doc_idx, doc_len
     term_stats: DataFrame  # treatment, term, df, cf
     collection: DataFrame  # treatment, n_docs, total_tokens, avgdl
+    norms: DataFrame  # treatment, doc_idx, norm_raw, norm_log
 
 
-def build(docs: DataFrame, treatments: Iterable[str] = tuple(TREATMENTS), stopwords: Iterable[str] = STOPWORDS) -> Index:
-    """Texts are split once and counted per document; words are stemmed once each; treatments are group keys."""
-    wanted = list(treatments)
-    surface = docs.select("doc_idx", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_idx", "term").agg(F.count("*").alias("tf"))
+def idf_cosine(n: Column, df: Column) -> Column:
+    return F.log10(n / df)
+
+
+def log_tf(tf: Column) -> Column:
+    return F.lit(1.0) + F.log10(tf)
+
+
+def surface(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
+    """``doc_idx, n_all, n_kept, term, stopped, tf``: each document's words once, with its lengths with and
+    without stopwords. The one pass over texts that all treatments share."""
+    words = docs.select("doc_idx", tokens(F.col("text")).alias("w"))
+    sized = words.select("doc_idx", "w", F.size("w").cast("long").alias("n_all"), F.size(without(F.col("w"), stopwords)).cast("long").alias("n_kept"))
+    rows = sized.select("doc_idx", "n_all", "n_kept", F.explode("w").alias("term"))  # lengths are computed below the explode, once a document
+    counts = rows.groupBy("doc_idx", "n_all", "n_kept", "term").agg(F.count("*").alias("tf"))
     stops = list(stopwords or ())
-    stopped = F.col("term").isin(stops) if stops else F.lit(False)
-    if any(TREATMENTS[t][0] for t in wanted):
-        surface = surface.join(stem_map(surface.select("term")), "term")
-    else:
-        surface = surface.withColumn("stem", F.col("term"))
-    cases = [F.when(~stopped if TREATMENTS[t][1] else F.lit(True), F.struct(F.lit(t).alias("treatment"), F.col("stem" if TREATMENTS[t][0] else "term").alias("term"))) for t in wanted]
-    each = surface.select("doc_idx", "tf", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x"))
-    postings = each.groupBy("x.treatment", "x.term", "doc_idx").agg(F.sum("tf").alias("tf"))
-    lengths = postings.groupBy("treatment", "doc_idx").agg(F.sum("tf").alias("n"))
-    every = docs.select("doc_idx", F.explode(F.array(*[F.lit(t) for t in wanted])).alias("treatment"))
+    return counts.select("doc_idx", "n_all", "n_kept", "term", (F.col("term").isin(stops) if stops else F.lit(False)).alias("stopped"), "tf")
+
+
+def build(docs: DataFrame, treatments: Iterable[str] = tuple(TREATMENTS), stopwords: Iterable[str] = STOPWORDS, words: DataFrame | None = None) -> Index:
+    """Texts are split once (``words`` may hold their ``surface`` already) and counted per document. Unstemmed
+    postings are the surface's rows; words are stemmed once each, and one aggregation serves both stemmed
+    treatments. Stemming changes no length, so postings carry their document's."""
+    wanted = list(treatments)
+    words = surface(docs, stopwords) if words is None else words
+    case = lambda t, on, tf, n: F.when(on, F.struct(F.lit(t).alias("treatment"), F.col(tf).alias("tf"), F.col(n).alias("doc_len")))
+    parts = []
+    plain = [t for t in wanted if not TREATMENTS[t][0]]
+    if plain:
+        cases = [case(t, ~F.col("stopped") if TREATMENTS[t][1] else F.lit(True), "tf", "n_kept" if TREATMENTS[t][1] else "n_all") for t in plain]
+        parts.append(words.select("term", "doc_idx", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")))
+    stemmed = [t for t in wanted if TREATMENTS[t][0]]
+    if stemmed:
+        joined = words.join(stem_map(words.select("term")), "term")
+        sums = joined.groupBy(F.col("stem").alias("term"), "doc_idx", "n_all", "n_kept").agg(F.sum("tf").alias("tf"), F.sum(F.when(~F.col("stopped"), F.col("tf"))).alias("tf_kept"))
+        cases = [case(t, F.col("tf_kept").isNotNull(), "tf_kept", "n_kept") if TREATMENTS[t][1] else case(t, F.lit(True), "tf", "n_all") for t in stemmed]
+        parts.append(sums.select("term", "doc_idx", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")))
+    postings = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    postings = postings.select("x.treatment", "term", "doc_idx", "x.tf", "x.doc_len")
+    return tables(docs, wanted, postings)
+
+
+def tables(docs: DataFrame, treatments: Iterable[str], postings: DataFrame) -> Index:
+    """The statistics that follow from postings; documents without terms have length 0."""
+    lengths = postings.groupBy("treatment", "doc_idx").agg(F.first("doc_len").alias("n"))
+    every = docs.select("doc_idx", F.explode(F.array(*[F.lit(t) for t in treatments])).alias("treatment"))
     doc_stats = every.join(lengths, ["treatment", "doc_idx"], "left").select("treatment", "doc_idx", F.coalesce("n", F.lit(0)).alias("doc_len"))
     term_stats = postings.groupBy("treatment", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     collection = doc_stats.groupBy("treatment").agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("total_tokens"), F.avg("doc_len").alias("avgdl"))
-    return Index(docs, postings, doc_stats, term_stats, collection)
+    return Index(docs, postings, doc_stats, term_stats, collection, norms(postings, term_stats, collection))
+
+
+def norms(postings: DataFrame, term_stats: DataFrame, collection: DataFrame) -> DataFrame:
+    """``treatment, doc_idx, norm_raw, norm_log`` over all terms of a document."""
+    stats = term_stats.join(F.broadcast(collection), "treatment").select("treatment", "term", idf_cosine(F.col("n_docs"), F.col("df")).alias("idf")).where("idf > 0")
+    raw, log = F.col("tf") * F.col("idf"), log_tf(F.col("tf")) * F.col("idf")
+    rows = postings.join(stats, ["treatment", "term"])
+    return rows.groupBy("treatment", "doc_idx").agg(F.sqrt(F.sum(raw * raw)).alias("norm_raw"), F.sqrt(F.sum(log * log)).alias("norm_log"))
+
+
+def kept(docs: DataFrame, treatments: Iterable[str] = tuple(TREATMENTS), stopwords: Iterable[str] = STOPWORDS, words: DataFrame | None = None) -> Index:
+    """``build`` with its tables kept in memory or on executors' disks, each computed from those kept before it."""
+    wanted = list(treatments)
+    postings = build(docs, wanted, stopwords, words).postings.persist()
+    ix = tables(docs, wanted, postings)
+    doc_stats, term_stats = ix.doc_stats.persist(), ix.term_stats.persist()
+    return Index(docs, postings, doc_stats, term_stats, ix.collection.persist(), ix.norms.persist())
 
 
-def cached(index: Index) -> Index:
-    """Keep the tables that several queries read."""
-    return Index(index.docs, index.postings.cache(), index.doc_stats.cache(), index.term_stats.cache(), index.collection.cache())
+def release(index: Index) -> None:
+    """Drop what ``kept`` keeps."""
+    for table in (index.norms, index.collection, index.term_stats, index.doc_stats, index.postings):
+        table.unpersist()
 
 
-def gap_encode(postings: DataFrame) -> DataFrame:
-    """``treatment, term, gaps``: [gap, tf, gap, tf, ...] by document, the first gap counted from 0."""
-    by = Window.partitionBy("treatment", "term").orderBy("doc_idx")
-    gap = F.col("doc_idx") - F.lag("doc_idx", 1, 0).over(by)
-    rows = postings.select("treatment", "term", "doc_idx", F.array(gap, F.col("tf")).alias("pair"))
-    lists = rows.groupBy("treatment", "term").agg(F.array_sort(F.collect_list(F.struct("doc_idx", "pair"))).alias("x"))
-    return lists.select("treatment", "term", F.flatten(F.transform("x", lambda e: e["pair"])).alias("gaps"))
+def gap_encode(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``treatment, term, block, gaps``: [gap, tf, gap, tf, ...] by document, in blocks of ``span`` document
+    positions, so a term of all documents is many short rows. A block's first gap counts from its start."""
+    block = F.floor(F.col("doc_idx") / span)
+    by = Window.partitionBy("treatment", "term", "block").orderBy("doc_idx")
+    rows = postings.select("treatment", "term", block.alias("block"), "doc_idx", "tf")
+    gap = F.col("doc_idx") - F.coalesce(F.lag("doc_idx").over(by), F.col("block") * span)
+    rows = rows.select("treatment", "term", "block", "doc_idx", F.array(gap, F.col("tf")).alias("pair"))
+    lists = rows.groupBy("treatment", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_idx", "pair"))).alias("x"))
+    return lists.select("treatment", "term", "block", F.flatten(F.transform("x", lambda e: e["pair"])).alias("gaps"))
 
 
-def gap_decode(coded: DataFrame) -> DataFrame:
-    """The postings back: a running sum of the gaps."""
+def gap_decode(coded: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """The postings back: a running sum of the gaps of each block."""
     pairs = F.transform(F.sequence(F.lit(0), (F.size("gaps") / 2).cast("int") - 1), lambda i: F.struct(F.get("gaps", i * 2).alias("gap"), F.get("gaps", i * 2 + 1).alias("tf")))
-    rows = coded.select("treatment", "term", F.posexplode(pairs).alias("at", "p"))
-    upto = Window.partitionBy("treatment", "term").orderBy("at")
-    return rows.select("treatment", "term", F.sum("p.gap").over(upto).alias("doc_idx"), F.col("p.tf").alias("tf"))
+    rows = coded.select("treatment", "term", "block", F.posexplode(pairs).alias("at", "p"))
+    upto = Window.partitionBy("treatment", "term", "block").orderBy("at")
+    return rows.select("treatment", "term", (F.col("block") * span + F.sum("p.gap").over(upto)).alias("doc_idx"), F.col("p.tf").alias("tf"))
 
 
 def forward(postings: DataFrame) -> DataFrame:

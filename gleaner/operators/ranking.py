@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gleaner.functions.analysis import FIELDS, STOPWORDS, query_text, tokens, without
 from gleaner.functions.porter import stem_map
-from gleaner.operators.index import TREATMENTS, Index
+from gleaner.operators.index import TREATMENTS, Index, idf_cosine, log_tf
 
 RANKERS = ("tfidf_raw", "tfidf_log", "bm25")
 K1, B, TOP_N = 1.2, 0.75, 1000
@@ -22,16 +22,12 @@ def check_ranker(ranker: str) -> str:
     return ranker
 
 
-def idf_cosine(n: Column, df: Column) -> Column:
-    return F.log10(n / df)
-
-
 def idf_bm25(n: Column, df: Column) -> Column:
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
 def tf_weight(ranker: str, tf: Column) -> Column:
-    return tf.cast("double") if ranker == "tfidf_raw" else F.lit(1.0) + F.log10(tf)
+    return tf.cast("double") if ranker == "tfidf_raw" else log_tf(tf)
 
 
 def bm25_weight(tf: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
@@ -64,18 +60,10 @@ def unknown_terms(queries: DataFrame, index: Index) -> DataFrame:
     return queries.join(index.term_stats, ["treatment", "term"], "left_anti")
 
 
-def doc_norms(index: Index) -> DataFrame:
-    """``treatment, doc_idx, norm_raw, norm_log`` over all terms of a document."""
-    stats = index.term_stats.join(F.broadcast(index.collection), "treatment").select("treatment", "term", idf_cosine(F.col("n_docs"), F.col("df")).alias("idf")).where("idf > 0")
-    w = {r: tf_weight(r, F.col("tf")) * F.col("idf") for r in ("tfidf_raw", "tfidf_log")}
-    rows = index.postings.join(stats, ["treatment", "term"])
-    return rows.groupBy("treatment", "doc_idx").agg(F.sqrt(F.sum(w["tfidf_raw"] * w["tfidf_raw"])).alias("norm_raw"), F.sqrt(F.sum(w["tfidf_log"] * w["tfidf_log"])).alias("norm_log"))
-
-
 def contributions(queries: DataFrame, index: Index) -> DataFrame:
     """Each query term's part of each matching document's sum, for all rankers at once."""
     q = known_terms(queries, index)
-    rows = q.join(index.postings, ["treatment", "term"]).join(index.doc_stats, ["treatment", "doc_idx"])
+    rows = q.join(index.postings, ["treatment", "term"])
     c = idf_cosine(F.col("n_docs"), F.col("df"))
     part = {r: tf_weight(r, F.col("qtf")) * c * tf_weight(r, F.col("tf")) * c for r in ("tfidf_raw", "tfidf_log")}
     bm = F.col("qtf") * idf_bm25(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("doc_len"), F.col("avgdl"))
@@ -97,7 +85,7 @@ def scores(queries: DataFrame, index: Index, rankers: Iterable[str] = RANKERS) -
     chosen = [check_ranker(r) for r in rankers]
     sums = contributions(queries, index).groupBy(*KEY).agg(*[F.sum(f"c_{r}").alias(r) for r in chosen])
     if any(r != "bm25" for r in chosen):
-        sums = sums.join(doc_norms(index), ["treatment", "doc_idx"], "left").join(query_norms(queries, index), ["num", "field", "treatment"], "left")
+        sums = sums.join(index.norms, ["treatment", "doc_idx"], "left").join(query_norms(queries, index), ["num", "field", "treatment"], "left")
     value = {"bm25": F.col("bm25")}
     for r, s in (("tfidf_raw", "raw"), ("tfidf_log", "log")):
         value[r] = F.try_divide(F.col(r) if r in chosen else F.lit(None), F.col(f"norm_{s}") * F.col(f"q_{s}")) if r in chosen else None
@@ -118,6 +106,15 @@ def run(topics: DataFrame, index: Index, fields=("title",), rankers=RANKERS, tre
     return out.select("num", "field", "treatment", "ranker", "rank", "doc_idx", "docno", "score")
 
 
+def lists(run: DataFrame, topics: DataFrame, keys: Iterable[str] = ("field", "treatment", "ranker")) -> DataFrame:
+    """``num, *keys, docnos, scores`` of every topic and kind of run, in rank order; topics without hits have empty lists."""
+    keys = list(keys)
+    hits = run.groupBy("num", *keys).agg(F.array_sort(F.collect_list(F.struct("rank", "docno", "score"))).alias("x"))  # top_n at most
+    every = topics.select("num").crossJoin(F.broadcast(run.select(*keys).distinct()))  # keys name a few runs
+    part = lambda c: F.coalesce(F.transform("x", lambda e: e[c]), F.array().cast("array<string>" if c == "docno" else "array<double>")).alias(f"{c}s")
+    return every.join(hits, ["num", *keys], "left").select("num", *keys, part("docno"), part("score"))
+
+
 def explained(queries: DataFrame, index: Index, ranker: str, hits: DataFrame) -> DataFrame:
     """Term by term, what makes the scores of ``hits(num, field, treatment, doc_idx)``; a score is the sum of its rows."""
     check_ranker(ranker)
@@ -126,7 +123,7 @@ def explained(queries: DataFrame, index: Index, ranker: str, hits: DataFrame) ->
         rows = rows.select("*", idf_bm25(F.col("n_docs"), F.col("df")).alias("idf"), F.col("c_bm25").alias("contribution"))
     else:
         s = ranker.removeprefix("tfidf_")
-        rows = rows.join(doc_norms(index), ["treatment", "doc_idx"]).join(query_norms(queries, index), ["num", "field", "treatment"])
+        rows = rows.join(index.norms, ["treatment", "doc_idx"]).join(query_norms(queries, index), ["num", "field", "treatment"])
         part = F.try_divide(F.col(f"c_{ranker}"), F.col(f"norm_{s}") * F.col(f"q_{s}"))
         rows = rows.select("*", idf_cosine(F.col("n_docs"), F.col("df")).alias("idf"), part.alias("contribution")).where("contribution IS NOT NULL")
     return rows.select(*KEY, "first_pos", "term", "qtf", "tf", "df", "idf", "contribution")

@@ -40,17 +40,20 @@ def checkpoints(total: int, points: int = HEAPS_POINTS, start: int = HEAPS_START
     return sorted({*(int(round(x)) for x in np.geomspace(start, total, points)), total})
 
 
-def heaps_points(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
+def heaps_points(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS, lengths: DataFrame | None = None) -> DataFrame:
     """``n_tokens, n_types`` along the unstemmed, stopped stream in document order. A word counts from its
-    first place; places are document offsets plus positions, so nothing is walked in one task."""
+    first place; places are document offsets plus positions, so nothing is walked in one task. ``lengths``
+    may give ``doc_idx, doc_len`` of the stream's documents."""
     words = docs.select("doc_idx", without(tokens(F.col("text")), stopwords).alias("w"))
-    sizes = words.select("doc_idx", F.size("w").alias("n"), F.floor(F.col("doc_idx") / 4096).alias("span"))
+    sizes = words.select("doc_idx", F.size("w").cast("long").alias("n")) if lengths is None else lengths.select("doc_idx", F.col("doc_len").alias("n"))
+    sizes = sizes.withColumn("span", F.floor(F.col("doc_idx") / 4096))
     spans = sizes.groupBy("span").agg(F.sum("n").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per 4096 documents
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("doc_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("inner", inner).join(spans.select("span", before.alias("before")), "span").select("doc_idx", (F.col("before") + F.col("inner")).alias("start"))
-    places = words.select("doc_idx", F.posexplode("w").alias("pos", "term")).groupBy("doc_idx", "term").agg(F.min("pos").alias("pos"))
-    first = places.join(starts, "doc_idx").groupBy("term").agg(F.min(F.col("start") + F.col("pos") + 1).alias("at"))
+    places = words.select("doc_idx", F.posexplode("w").alias("pos", "term"))
+    first = places.groupBy("term").agg(F.min("doc_idx").alias("doc_idx"), F.min_by("pos", F.struct("doc_idx", "pos")).alias("pos"))  # partial minima meet, not places
+    first = first.join(starts, "doc_idx").select((F.col("start") + F.col("pos") + 1).alias("at"))
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     points = checkpoints(total)
     if not points:
@@ -71,15 +74,20 @@ def heaps_fit(points: DataFrame) -> DataFrame:
 
 
 def ranked_terms(term_stats: DataFrame, upto: int | None = None) -> DataFrame:
-    """``rank, term, df, cf`` by falling cf. Terms of one cf are numbered within it, cfs add up what is
-    above them, so no task holds the whole vocabulary."""
-    sizes = term_stats.groupBy("cf").agg(F.count("*").alias("n"))
+    """``rank, term, df, cf`` by falling cf, then by term. Terms are numbered within their cf and first three
+    letters, and counts of those add up what is above, so neither the vocabulary nor its half of words that
+    occur once meets in one task."""
+    head = F.substring("term", 1, 3)
+    sizes = term_stats.groupBy("cf", head.alias("head")).agg(F.count("*").alias("n"))
+    of_cf = sizes.groupBy("cf").agg(F.sum("n").alias("n"))
     above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per distinct cf
-    starts = sizes.select("cf", above.alias("start"))
+    starts = of_cf.select("cf", above.alias("start"))
     if upto is not None:
         starts = starts.where(F.col("start") < upto)
-    place = F.row_number().over(Window.partitionBy("cf").orderBy("term"))
-    rows = term_stats.join(starts, "cf").select((F.col("start") + place).alias("rank"), "term", "df", "cf")
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("cf").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per three letters
+    starts = sizes.select("cf", "head", inner.alias("inner")).join(starts, "cf").select("cf", "head", (F.col("start") + F.col("inner")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("cf", "head").orderBy("term"))
+    rows = term_stats.withColumn("head", head).join(starts, ["cf", "head"]).select((F.col("start") + place).alias("rank"), "term", "df", "cf")
     return rows if upto is None else rows.where(F.col("rank") <= upto)
 
 
@@ -138,7 +146,7 @@ def corpus_summary(docs: DataFrame) -> DataFrame:
 def one(index: Index, treatment: str) -> Index:
     """An index cut down to one treatment."""
     pick = lambda df: df.where(F.col("treatment") == treatment)
-    return Index(index.docs, pick(index.postings), pick(index.doc_stats), pick(index.term_stats), pick(index.collection))
+    return Index(index.docs, pick(index.postings), pick(index.doc_stats), pick(index.term_stats), pick(index.collection), pick(index.norms))
 
 
 FUNNEL_STEPS = ("raw_alpha", "minus_digits", "minus_stopwords", "stemmed")

@@ -91,7 +91,7 @@ def golden(topics: DataFrame, built: index.Index, ranker: str, treatment: str =
 
 def reports(docs: DataFrame, topics: DataFrame, qrels: DataFrame, stopwords) -> dict[str, dict]:
     """The contract objects of a full build, computed before anything is written."""
-    built = index.cached(index.build(docs, stopwords=stopwords))
+    built = index.kept(docs, stopwords=stopwords)
     main = experiments.main_runs(topics, built, qrels, stopwords=stopwords).cache()
     treated = experiments.treatment_runs(topics, built, qrels, stopwords=stopwords).cache()
     stem, plain = vocabulary.one(built, "stem_stop"), vocabulary.one(built, "nostem_stop")

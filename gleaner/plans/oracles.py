@@ -45,8 +45,10 @@ PARTS = {
   unnest([CASE WHEN norm_raw * q_raw > 0 THEN r / (norm_raw * q_raw) END, CASE WHEN norm_log * q_log > 0 THEN l / (norm_log * q_log) END, bm]) AS score
   FROM sums LEFT JOIN norms USING (doc_idx) LEFT JOIN qn USING (num, field)) WHERE score > 0""",
     "run": f"SELECT * FROM (SELECT sc.*, docno, row_number() OVER (PARTITION BY num, field, ranker ORDER BY round(score, 9) DESC, doc_idx) AS rank FROM sc JOIN docs USING (doc_idx)) WHERE rank <= {TOP_N}",
-    "qrels": """SELECT num, 'D' || doc_id AS docno, max(rel) AS rel FROM (SELECT item_id AS num, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-  UNION ALL SELECT item_id, doc_id, 0 FROM benchmark b JOIN labels l ON l.doc_id % 40 = b.item_id % 40) GROUP BY ALL""",
+    "pw": f"SELECT DISTINCT num, term FROM (SELECT item_id AS num, unnest(l[2:len(l) - 1]) AS term FROM (SELECT item_id, {_words('text')} AS l FROM benchmark))",
+    "wd": "SELECT term, count(DISTINCT doc_idx) AS df FROM tok GROUP BY 1",
+    "rare": "SELECT num, term FROM (SELECT *, row_number() OVER (PARTITION BY num ORDER BY df, term) AS k FROM pw JOIN wd USING (term)) WHERE k = 1",
+    "qrels": "SELECT num, docno, contains(docs.text, benchmark.text)::INTEGER AS rel FROM (SELECT DISTINCT num, doc_idx FROM rare JOIN tok USING (term)) JOIN docs USING (doc_idx) JOIN benchmark ON item_id = num",
     "et": "SELECT num, sum(rel)::BIGINT AS n_rel, count(*) AS n_judged FROM qrels GROUP BY 1 HAVING sum(rel) > 0",
     "hits": """SELECT run.ranker, run.field, run.num, rank, coalesce(rel, 0) AS r, (rel IS NOT NULL)::INT AS j, n_rel,
   sum(coalesce(rel, 0)) OVER (PARTITION BY run.ranker, run.field, run.num ORDER BY rank) AS h FROM run JOIN et USING (num) LEFT JOIN qrels USING (num, docno)""",
@@ -134,8 +136,8 @@ def oracle_sql() -> dict[str, str]:
         "idf_table": _with("SELECT term, df, round(c, 6) AS idf_cosine, round(i, 6) AS idf_bm25 FROM idf"),
         "doc_norms": _with(f"SELECT doc_idx, {_r6('norm_raw', 'norm_log')} FROM norms"),
         "gap_encode": _with(
-            "SELECT term, string_agg(gap || ',' || tf, ',' ORDER BY doc_idx) AS gaps FROM g GROUP BY 1",
-            g="SELECT term, doc_idx, tf, doc_idx - lag(doc_idx, 1, 0) OVER (PARTITION BY term ORDER BY doc_idx) AS gap FROM po",
+            "SELECT term, block, string_agg(gap || ',' || tf, ',' ORDER BY doc_idx) AS gaps FROM g GROUP BY ALL",
+            g="SELECT term, doc_idx // 65536 AS block, doc_idx, tf, doc_idx - coalesce(lag(doc_idx) OVER (PARTITION BY term, doc_idx // 65536 ORDER BY doc_idx), doc_idx // 65536 * 65536) AS gap FROM po",
         ),
         "gap_roundtrip": _with("SELECT term, doc_idx, tf FROM po"),
         "forward_index": _with("SELECT doc_idx, string_agg(term || ':' || tf, ' ' ORDER BY term) AS terms FROM po GROUP BY 1"),

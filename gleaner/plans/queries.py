@@ -3,6 +3,7 @@ lose stopwords and aren't stemmed, so that SQL can follow."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,52 @@ def r6(*columns: str):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+_kept: OrderedDict[tuple, tuple[object, Callable[[], None]]] = OrderedDict()
+MOST_KEPT = 12  # tables or indexes; the one used longest ago goes first
+
+
+def _keep(spark: SparkSession, sf: str, what: str, make: Callable[[], tuple[object, Callable[[], None]]]):
+    """What several queries of a session read is computed once."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _kept if k[0] != app]:
+        del _kept[key]  # its session has ended
+    key = (app, sf, what)
+    if key not in _kept:
+        _kept[key] = make()
+    _kept.move_to_end(key)
+    while len(_kept) > MOST_KEPT:
+        _, (_, drop) = _kept.popitem(last=False)
+        drop()
+    return _kept[key][0]
+
+
+def _table(spark: SparkSession, sf: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def kept():
+        df = make().persist()
+        return df, df.unpersist
+
+    return _keep(spark, sf, what, kept)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _keep(spark, sf, "docs", lambda: (tables.documents(spark, sf), lambda: None))
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts are split into words once for all indexes and judgments."""
+    return _table(spark, sf, "words", lambda: index.surface(_docs(spark, sf)))
+
+
+def _qrels(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "qrels", lambda: tables.qrels(spark, sf, _docs(spark, sf), _words(spark, sf)))
+
+
 def _index(spark: SparkSession, sf: str, *treatments: str) -> index.Index:
-    """An index is built once and read by many queries: Spark knows an equal plan that it has cached."""
-    return index.cached(index.build(tables.documents(spark, sf), treatments or (PLAIN,)))
+    def make():
+        built = index.kept(_docs(spark, sf), treatments or (PLAIN,), words=_words(spark, sf))
+        return built, lambda: index.release(built)
+
+    return _keep(spark, sf, "index " + " ".join(treatments or (PLAIN,)), make)
 
 
 def _asked(spark: SparkSession, sf: str, *fields: str, treatment: str = PLAIN) -> DataFrame:
@@ -46,22 +90,22 @@ def _asked(spark: SparkSession, sf: str, *fields: str, treatment: str = PLAIN) -
 
 @query
 def tokenize_counts(spark, sf):
-    return tables.documents(spark, sf).select("docno", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return _docs(spark, sf).select("docno", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
 @query
 def raw_token_counts(spark, sf):
-    return tables.documents(spark, sf).select("docno", F.size(raw_tokens(F.col("text"))).alias("n_tokens"))
+    return _docs(spark, sf).select("docno", F.size(raw_tokens(F.col("text"))).alias("n_tokens"))
 
 
 @query
 def vocab_funnel(spark, sf):
-    return vocabulary.funnel(tables.documents(spark, sf), stemmed=False)
+    return vocabulary.funnel(_docs(spark, sf), stemmed=False)
 
 
 @query
 def vocab_funnel_stemmed(spark, sf):
-    return vocabulary.funnel(tables.documents(spark, sf))
+    return vocabulary.funnel(_docs(spark, sf))
 
 
 @query
@@ -116,12 +160,12 @@ def idf_table(spark, sf):
 
 @query
 def doc_norms(spark, sf):
-    return ranking.doc_norms(_index(spark, sf)).select("doc_idx", *r6("norm_raw", "norm_log"))
+    return _index(spark, sf).norms.select("doc_idx", *r6("norm_raw", "norm_log"))
 
 
 @query
 def gap_encode(spark, sf):
-    return index.gap_encode(_index(spark, sf).postings).select("term", F.array_join("gaps", ",").alias("gaps"))
+    return index.gap_encode(_index(spark, sf).postings).select("term", "block", F.array_join("gaps", ",").alias("gaps"))
 
 
 @query
@@ -196,13 +240,23 @@ def bm25_stemmed_top10(spark, sf):
 # Evaluation
 
 
-def _main(spark, sf) -> DataFrame:
-    return experiments.main_runs(tables.topics(spark, sf), _index(spark, sf), tables.qrels(spark, sf), PLAIN)
+def _main(spark, sf, treatment: str = PLAIN, *built: str) -> DataFrame:
+    """The nine runs by topic: a few hundred rows that many queries read."""
+    make = lambda: experiments.main_runs(tables.topics(spark, sf), _index(spark, sf, *built), _qrels(spark, sf), treatment)
+    return _table(spark, sf, " ".join(["runs", treatment, *built]), make)
+
+
+def _treated(spark, sf) -> DataFrame:
+    make = lambda: experiments.treatment_runs(tables.topics(spark, sf), _index(spark, sf, *index.TREATMENTS), _qrels(spark, sf))
+    return _table(spark, sf, "treated", make)
+
+
+def _grid(spark, sf) -> DataFrame:
+    return _table(spark, sf, "grid", lambda: experiments.grid(tables.topics(spark, sf), _index(spark, sf), _qrels(spark, sf), PLAIN))
 
 
 def _bm25(spark, sf) -> DataFrame:
-    lists = ranking.run(tables.topics(spark, sf), _index(spark, sf), ("title",), ("bm25",), (PLAIN,))
-    return evaluation.per_topic(lists, tables.qrels(spark, sf), ["ranker", "field"])
+    return _main(spark, sf).where("run_key = 'bm25|title'")
 
 
 @query
@@ -212,12 +266,12 @@ def qrels(spark, sf):
 
 @query
 def eval_topics(spark, sf):
-    return evaluation.eval_topics(tables.qrels(spark, sf))
+    return evaluation.eval_topics(_qrels(spark, sf))
 
 
 @query
 def qrels_counts(spark, sf):
-    return evaluation.qrels_counts(tables.qrels(spark, sf))
+    return evaluation.qrels_counts(_qrels(spark, sf))
 
 
 @query
@@ -266,12 +320,12 @@ def zero_counts(spark, sf):
 
 @query
 def bm25_grid(spark, sf):
-    return experiments.grid(tables.topics(spark, sf), _index(spark, sf), tables.qrels(spark, sf), PLAIN).select("k1", "b", *r6("map"))
+    return _grid(spark, sf).select("k1", "b", *r6("map"))
 
 
 @query
 def bm25_grid_best(spark, sf):
-    return experiments.best_cell(experiments.grid(tables.topics(spark, sf), _index(spark, sf), tables.qrels(spark, sf), PLAIN)).select("k1", "b", *r6("map"))
+    return experiments.best_cell(_grid(spark, sf)).select("k1", "b", *r6("map"))
 
 
 @query
@@ -281,16 +335,13 @@ def bootstrap_map(spark, sf):
 
 @query
 def treatment_table(spark, sf):
-    built = _index(spark, sf, *index.TREATMENTS)
-    rows = experiments.treatment_runs(tables.topics(spark, sf), built, tables.qrels(spark, sf))
-    return experiments.treatment_table(rows, built).select("treatment", "n_types", "metric", *r6("mean", "lo", "hi"))
+    rows = experiments.treatment_table(_treated(spark, sf), _index(spark, sf, *index.TREATMENTS))
+    return rows.select("treatment", "n_types", "metric", *r6("mean", "lo", "hi"))
 
 
 @query
 def paired_comparisons(spark, sf):
-    built = _index(spark, sf, *index.TREATMENTS)
-    topics, rels = tables.topics(spark, sf), tables.qrels(spark, sf)
-    rows = experiments.comparisons(experiments.main_runs(topics, built, rels), experiments.treatment_runs(topics, built, rels))
+    rows = experiments.comparisons(_main(spark, sf, "stem_stop", *index.TREATMENTS), _treated(spark, sf))
     return rows.select("key", "label", *r6("mean_diff", "lo", "hi"), "wins", "losses", "ties")
 
 
@@ -299,12 +350,12 @@ def paired_comparisons(spark, sf):
 
 @query
 def heaps_points(spark, sf):
-    return vocabulary.heaps_points(tables.documents(spark, sf))
+    return vocabulary.heaps_points(_docs(spark, sf), lengths=_index(spark, sf).doc_stats)
 
 
 @query
 def heaps_fit(spark, sf):
-    return vocabulary.heaps_fit(vocabulary.heaps_points(tables.documents(spark, sf))).select(*r6("k", "beta"))
+    return vocabulary.heaps_fit(vocabulary.heaps_points(_docs(spark, sf), lengths=_index(spark, sf).doc_stats)).select(*r6("k", "beta"))
 
 
 @query
@@ -361,12 +412,12 @@ def doc_len_summary(spark, sf):
 
 @query
 def corpus_summary(spark, sf):
-    return vocabulary.corpus_summary(tables.documents(spark, sf))
+    return vocabulary.corpus_summary(_docs(spark, sf))
 
 
 @query
 def funnel_drops(spark, sf):
-    rows = vocabulary.funnel_drops(vocabulary.funnel(tables.documents(spark, sf), stemmed=False))
+    rows = vocabulary.funnel_drops(vocabulary.funnel(_docs(spark, sf), stemmed=False))
     return rows.select("step", *r6("kept_tokens", "kept_types"), "largest_drop")
 
 
@@ -387,8 +438,7 @@ def dead_topics(spark, sf):
 
 @query
 def grid_swing(spark, sf):
-    rows = experiments.grid(tables.topics(spark, sf), _index(spark, sf), tables.qrels(spark, sf), PLAIN)
-    return experiments.grid_swing(rows).select(*r6("worst", "best", "swing"))
+    return experiments.grid_swing(_grid(spark, sf)).select(*r6("worst", "best", "swing"))
 
 
 # Readers, on literal files

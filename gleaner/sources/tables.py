@@ -10,8 +10,12 @@ from gleaner.sources.trec import with_positions
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_idx, docno, headline, text``; positions follow doc_id."""
+    """``doc_idx, docno, headline, text``; positions follow doc_id. Rows of a table in fewer files than there
+    are cores are dealt out first, as a file may be one row group, which one task reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < cores:
+        docs = docs.repartition(cores)
     docs = with_positions(docs, F.col("doc_id"))
     return docs.select("doc_idx", F.concat(F.lit("D"), "doc_id").alias("docno"), F.substring_index(F.col("text"), "\n", 1).alias("headline"), "text", "doc_id")
 
@@ -23,21 +27,18 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("num", part(0).alias("title"), part(1).alias("desc"), F.array_join(F.slice("p", 3, 1 << 20), " ").alias("narr"))
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``num, docno, rel``. Relevant: the document holds the passage word for word. Judged besides: every
-    fortieth labelled document. A passage looks for documents by its rarest inner word, then compares; one
-    of fewer than three words has no inner word and finds none."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+def qrels(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """``num, docno, rel``. Judged are the documents that hold the rarest inner word of a topic's passage;
+    relevant those that hold the passage word for word (which are among them). A passage of fewer than three
+    words has no inner word and no judgments. ``docs`` and ``words`` (``doc_idx, term``) spare reading texts anew."""
+    docs = documents(spark, sf_dir) if docs is None else docs
+    words = docs.select("doc_idx", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")) if words is None else words.select("doc_idx", "term")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("num"), F.col("text").alias("passage"))
     found = tokens(F.col("passage"))
     inner = F.array_distinct(F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0))))
-    wanted = items.select("item_id", F.explode(inner).alias("w"))
-    counts = words.join(wanted.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
-    rarest = wanted.join(counts, "w").groupBy("item_id").agg(F.min(F.struct("df", "w")).alias("x")).select("item_id", F.col("x.w").alias("w"))
-    pairs = words.join(rarest, "w").select("item_id", "doc_id").distinct()
-    rel = pairs.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).select(F.col("item_id").alias("num"), "doc_id", F.lit(1).alias("rel"))
-    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("doc_id") % 40).alias("m"))
-    judged = labelled.join(items.select(F.col("item_id").alias("num"), (F.col("item_id") % 40).alias("m")), "m").select("num", "doc_id", F.lit(0).alias("rel"))
-    both = rel.unionByName(judged).groupBy("num", "doc_id").agg(F.max("rel").alias("rel"))
-    return both.select("num", F.concat(F.lit("D"), "doc_id").alias("docno"), "rel")
+    wanted = items.select("num", F.explode(inner).alias("term"))
+    counts = words.join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = wanted.join(counts, "term").groupBy("num").agg(F.min(F.struct("df", "term")).alias("x")).select("num", F.col("x.term").alias("term"))
+    pairs = words.join(rarest, "term").select("num", "doc_idx")
+    rows = pairs.join(items, "num").join(docs.select("doc_idx", "docno", "text"), "doc_idx")
+    return rows.select("num", "docno", F.contains("text", "passage").cast("int").alias("rel"))

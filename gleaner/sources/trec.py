@@ -41,14 +41,23 @@ def parse_sgml(files: DataFrame) -> DataFrame:
 
 
 def with_positions(docs: DataFrame, order: Column, span: int = 1 << 16) -> DataFrame:
-    """Add ``doc_idx``, dense from 0 in the order of a whole number, without one task that holds all rows:
-    rows count within spans of the number, spans add up what comes before them."""
-    rows = docs.withColumn("_n", order.cast("long")).withColumn("_span", F.floor(F.col("_n") / span))
-    sizes = rows.groupBy("_span").agg(F.count("*").alias("_size"))
+    """Add ``doc_idx``, dense from 0 in the order of a whole number; documents without a number come last.
+
+    Numbers are counted on their own: they add up within spans, spans add up what comes before them, and
+    the result joins the documents, so texts aren't sorted and no task holds all rows. Only where numbers
+    repeat do their documents get an order among themselves (by all their columns)."""
+    rows = docs.withColumn("_n", F.coalesce(order.cast("long"), F.lit((1 << 63) - 1)))
+    numbers = rows.groupBy("_n").agg(F.count("*").alias("_size")).withColumn("_span", F.floor(F.col("_n") / span))
+    sizes = numbers.groupBy("_span").agg(F.sum("_size").alias("_s"))
     before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
-    starts = sizes.select("_span", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_span").orderBy("_n")) - 1
-    return rows.join(starts, "_span").withColumn("doc_idx", (F.col("_start") + place).cast("long")).drop("_n", "_span", "_start")
+    starts = sizes.select("_span", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_span").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)  # a span holds ``span`` numbers at most
+    numbers = numbers.select("_n", "_span", "_size", F.coalesce(F.sum("_size").over(inner), F.lit(0)).alias("_inner")).join(starts, "_span")
+    placed = rows.join(numbers.select("_n", (F.col("_start") + F.col("_inner")).alias("_at")), "_n")
+    place = F.col("_at")
+    if not numbers.where("_size > 1").isEmpty():
+        place = place + F.row_number().over(Window.partitionBy("_n").orderBy(*[F.col(c) for c in docs.columns])) - 1
+    return placed.withColumn("doc_idx", place.cast("long")).drop("_n", "_at")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +66,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         files = spark.read.text(path, wholetext=True)
         empty = files.isEmpty()
     except Exception as e:
-        raise FileNotFoundError(f"no corpus in {path}; see its SOURCE.md") from e
+        raise FileNotFoundError(f"no corpus in {path}; SOURCE.md says where collections come from") from e
     if empty:
-        raise FileNotFoundError(f"no corpus files in {path}; see its SOURCE.md")
+        raise FileNotFoundError(f"no corpus files in {path}; SOURCE.md says where collections come from")
     docs = parse_sgml(files)
     return with_positions(docs, F.element_at(F.split("docno", "-"), 2)).select("doc_idx", "docno", "date", "headline", "text")
 

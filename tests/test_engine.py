@@ -118,6 +118,33 @@ def test_positions_are_dense(spark):
     assert [(r["n"], r["doc_idx"]) for r in trec.with_positions(docs, F.col("n")).orderBy("n").collect()] == [(1, 0), (5, 1), (65535, 2), (70000, 3), (3_000_000, 4)]
 
 
+def test_positions_of_repeated_and_missing_numbers(spark):
+    docs = spark.createDataFrame([(7, "b"), (None, "z"), (7, "a"), (1, "c"), (None, "y")], "n long, t string")
+    assert [r["t"] for r in trec.with_positions(docs, F.col("n")).orderBy("doc_idx").collect()] == ["c", "a", "b", "y", "z"]
+    assert trec.with_positions(docs.limit(0), F.col("n")).count() == 0
+
+
+def test_gaps_in_blocks(spark):
+    rows = [("t", "a", d, d % 3 + 1) for d in (0, 1, 99, 100, 101, 350)] + [("t", "b", 250, 1)]
+    postings = spark.createDataFrame(rows, "treatment string, term string, doc_idx long, tf long")
+    coded = index.gap_encode(postings, 100)
+    assert {(r["term"], r["block"]): r["gaps"] for r in coded.collect()} == {("a", 0): [0, 1, 1, 2, 98, 1], ("a", 1): [0, 2, 1, 3], ("a", 3): [50, 3], ("b", 2): [50, 2 - 1]}
+    assert sorted(map(tuple, index.gap_decode(coded, 100).collect())) == sorted(rows)
+
+
+def test_ranked_terms(spark):
+    terms = [(w, 1, c) for w, c in [("a", 5), ("abcd", 1), ("abce", 1), ("ab", 1), ("zz", 1), ("b", 9)]]
+    got = vocabulary.ranked_terms(spark.createDataFrame(terms, "term string, df long, cf long")).orderBy("rank").collect()
+    assert [(r["rank"], r["term"]) for r in got] == list(enumerate(["b", "a", "ab", "abcd", "abce", "zz"], 1))
+
+
+def test_topics_without_hits_have_empty_lists(spark):
+    topics = spark.createDataFrame([(1, "apple"), (2, "durian")], "num int, title string")
+    run = ranking.run(topics, built(spark, DOCS), ("title",), ("bm25",), ("nostem_nostop",), stopwords=())
+    got = {r["num"]: (r["docnos"], len(r["scores"])) for r in ranking.lists(run, topics).collect()}
+    assert got == {1: (["D0", "D1"], 2), 2: ([], 0)}
+
+
 QRELS = [(1, "a", 1), (1, "c", 1), (1, "e", 1), (1, "b", 0), (1, "z", 0), (2, "z", 1), (3, "q", 0)]
 
 
