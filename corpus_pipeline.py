@@ -13,34 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, mixing, packing, pii, quality
-from gleaner.llm.common import shared_dir, table
+from gleaner.llm.common import shared_dir, table, unused
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled documents of ``sf_dir``; scores ``docs``."""
+    """Trained on the labelled documents of ``sf_dir``; scores ``docs``. Null and empty texts are scored as empty;
+    without labels all rows score 0.5 and go."""
     net = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, net).where(F.col("quality_score") >= quality.NetParams().keep_at)
+    name = unused(docs, "quality_score")
+    kept = quality.score(docs, net, name=name).where(F.col(name) >= quality.NetParams().keep_at)
     return kept.select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of repeated rows of a kept doc_id one stays too."""
+    """Rows of the documents that stay. Rows that agree in doc_id and text are one; different texts under one
+    doc_id are parts of one document and all stay or go. Rows without doc_id stay."""
     found = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    named = docs.join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with surrogates in its text and n_chars counted anew; null texts stay null."""
     return pii.pseudonymise(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row once or more, by its source; a null source is a source, empty texts weigh one token."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row; null and empty texts have length 0."""
     return packing.pack(docs)
 
 

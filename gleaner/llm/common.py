@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
+    """The folder all machines share: ``spark.checkpoint.dir``, or where that is unset the warehouse's. Only a
+    session whose executors are threads of the driver gets a temporary folder, made once."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and context.master.startswith("local"):
         found = tempfile.mkdtemp(prefix="gleaner-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
     return found.rstrip("/")
 
 

@@ -3,11 +3,10 @@
 A document is cut into overlapping chunks of bytes that cover all of it. A byte's symbol also says
 whether it begins four bytes that stood up to ``recall`` bytes before, so that filters, which are
 linear, can see repetition. Filters over embedded symbols slide along each chunk; the largest response of each filter is the chunk's feature. A document's
-features are the largest and the mean over its chunks; a logistic unit turns them into a probability.
+features are the largest responses over its chunks; a logistic unit turns them into a probability.
 
-The network is trained on the driver with Adam, on at most ``sample`` documents of each label, of
-which at most ``pieces`` evenly spaced pieces of a chunk's length are read. That bound holds for
-training only: scores read whole texts.
+The network is trained on the driver with Adam, on whole texts of at most ``sample`` documents of each
+label. That bound on labelled rows holds for training only.
 
 Edge cases: null and empty texts are one empty chunk and are scored too; rows with a null doc_id are
 scored and not held out; repeated rows score alike; without rows of both labels the score is the share
@@ -30,7 +29,6 @@ from gleaner.llm import rolling
 @dataclass(frozen=True)
 class NetParams:
     sample: int = 1_500  # training documents of each label
-    pieces: int = 8
     chunk: int = 512
     overlap: int = 64
     width: int = 8
@@ -48,6 +46,10 @@ class NetParams:
     seed: int = 5
 
 
+#: Bytes whose chunks are in memory at once.
+SLICE = 1 << 20
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -95,17 +97,24 @@ def responses(x: np.ndarray, net: dict[str, np.ndarray], p: NetParams) -> np.nda
 
 
 def pooled(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    start = np.searchsorted(doc, np.arange(n))
-    size = np.diff(np.append(start, len(doc)))
-    return np.concatenate([np.maximum.reduceat(z, start), np.add.reduceat(z, start) / size[:, None]], axis=1)
+    return np.maximum.reduceat(z, np.searchsorted(doc, np.arange(n)))
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, net: dict[str, np.ndarray], p: NetParams) -> np.ndarray:
     n = len(offsets) - 1
     if "share" in net:
         return np.full(n, float(net["share"]))
-    x, doc = chunks(buf, offsets, p)
-    u = pooled(responses(x, net, p).astype(np.float64), doc, n) @ net["v"].astype(np.float64) + float(net["c"])
+    step = p.chunk - p.overlap
+    z = np.full((n, p.filters), -np.inf)
+    for i, j in rolling.groups_of(offsets, SLICE):  # a text over SLICE is a group of its own and is read slice by slice
+        for a in range(0, max(1, int(offsets[j] - offsets[i]) - p.overlap), SLICE // step * step) if j == i + 1 else (0,):
+            part = offsets[i : j + 1] - offsets[i]
+            if j == i + 1:
+                part = np.array([0, min(part[1] - a, SLICE // step * step + p.overlap)])
+            at = offsets[i] + a
+            x, doc = chunks(buf[at : at + part[-1]], part, p)
+            z[i:j] = np.maximum(z[i:j], pooled(responses(x, net, p), doc, j - i))
+    u = z @ net["v"].astype(np.float64) + float(net["c"])
     return 1 / (1 + np.exp(-np.clip(u, -30, 30)))
 
 
@@ -117,7 +126,7 @@ def train(texts: list[bytes], labels: np.ndarray, p: NetParams) -> dict[str, np.
     f, d, w = p.filters, p.depth, p.width
     net = {
         "e": rng.normal(0, 0.5, (512, d)), "k": rng.normal(0, (2 / (d * w)) ** 0.5, (w, d, f)),
-        "b": np.zeros(f), "v": rng.normal(0, 0.3, 2 * f), "c": np.zeros(()),
+        "b": np.zeros(f), "v": rng.normal(0, 0.3, f), "c": np.zeros(()),
     }
     net = {n: v.astype(np.float32) for n, v in net.items()}
     net["e"][0] = 0
@@ -150,10 +159,9 @@ def train(texts: list[bytes], labels: np.ndarray, p: NetParams) -> dict[str, np.
             gu = ((prob - labels[ids]) * weight[ids] / len(ids)).astype(np.float32)
             grad = {"v": h.T @ gu, "c": gu.sum()}
             gh = gu[:, None] * net["v"]
-            size = np.bincount(doc)
-            top = h[doc, :f] == z  # the chunk with the largest response (the first of equals shares)
+            top = h[doc] == z  # the chunk with the largest response (the first of equals shares)
             share = np.add.reduceat(top.astype(np.float32), np.searchsorted(doc, np.arange(len(ids))))
-            gz = gh[doc, :f] * top / share[doc] + gh[doc, f:] / size[doc][:, None]
+            gz = gh[doc] * top / share[doc]
             gz = (gz * (z > 0)).astype(np.float32)
             grad["b"] = gz.sum(0)
             place = at[best]  # chunks x filters
@@ -183,19 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: NetParams = NetParams()) ->
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(p.sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # Evenly spaced pieces of a text, a chunk long; the whole of a short text.
-    room = p.pieces * p.chunk
-    length = F.char_length("text")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(p.pieces - 1)), lambda i: F.substring("text", (i * (length - p.chunk) / (p.pieces - 1)).cast("int") + 1, F.lit(p.chunk)))
-    text = F.when(length <= room, F.col("text")).otherwise(F.array_join(pieces, ""))
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("text"), "quality")
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # 2 * sample rows at most, however often an id repeats
     rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.collect())
     return train([r[1].encode() for r in rows], np.array([r[2] for r in rows], np.float32), p)
 
 
-def score(docs: DataFrame, net: dict[str, np.ndarray], params: NetParams = NetParams()) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score``; whole texts are read."""
+def score(docs: DataFrame, net: dict[str, np.ndarray], params: NetParams = NetParams(), name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the score as ``name`` (which ``docs`` mustn't have, see ``common.unused``); whole texts are read."""
     p = params
     small = {n: net[n] for n in ("table", "b", "v", "c", "share") if n in net}
     place = docs.columns.index("text")
@@ -205,9 +208,9 @@ def score(docs: DataFrame, net: dict[str, np.ndarray], params: NetParams = NetPa
             buf, at = rolling.buffers(batch.column(place))
             got = [scores(buf[at[i] : at[j]], at[i : j + 1] - at[i], small, p) for i, j in rolling.groups_of(at, 1_000_000)]
             out = np.round(np.concatenate(got), 6) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = docs.select("*", F.lit(0.0).alias("quality_score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     return docs.mapInArrow(run, schema)
 
 

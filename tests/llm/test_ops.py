@@ -205,7 +205,7 @@ def test_hilbert_curve_is_one_path():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-@pytest.mark.parametrize("p", [embed_dedup.TileParams(), embed_dedup.TileParams(tile=8, rows=4)])
+@pytest.mark.parametrize("p", [embed_dedup.TileParams(), embed_dedup.TileParams(tile=8, rows=4, least_tiles=2)])
 def test_vector_duplicates(spark, p):
     df = spark.createDataFrame(vectors(), VEC).withColumn("pt", F.lit(1)).withColumn("n", F.lit(1))
     got = embed_dedup.near_duplicates(df, p).collect()
@@ -229,6 +229,24 @@ def test_vector_duplicates(spark, p):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_vectors_of_mixed_length_in_several_tiles(spark):
+    rng = np.random.default_rng(3)
+    base = {d: rng.standard_normal(d) for d in (2, 3)}
+    rows = [(i, [float(c) for c in base[3] + rng.standard_normal(3) * 0.01], 1) for i in range(20)] + [(100 + i, [float(c) for c in base[2] + rng.standard_normal(2) * 0.01], 1) for i in range(6)]
+    for p in (embed_dedup.TileParams(tile=5, rows=2), embed_dedup.TileParams(least_tiles=30)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, VEC), p).collect()}
+        assert got == {i: (19, 0) if i < 100 else (5, 100) for i, _, _ in rows}
+
+
+def test_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 24))
+    rows = [(i, [float(c) for c in centres[i % 30] + rng.standard_normal(24) * 0.02], 0) for i in range(600)]
+    df = spark.createDataFrame(rows, VEC)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, embed_dedup.TileParams(tile=20)).collect()}
+    assert got == {i: (19, i % 30) for i in range(600)}
+
+
 def test_quantisation_bound_holds():
     x = embed_dedup._unit(np.random.default_rng(2).standard_normal((200, 33)))
     q, s, n, e = embed_dedup.quantise(x)
@@ -295,13 +313,28 @@ def test_quality(spark, clashing):
     got = {r["doc_id"]: r for r in quality.judge(train, labels, p).collect()}
     held = [i for i in got if got[i]["held_out"]]
     assert held and np.mean([got[i]["predicted"] == int(i % 3 > 0) for i in held]) > 0.95
-    odd = quality.score(clashing.drop("quality_score"), net, p).collect()
-    assert len(odd) == len(corpus()) and all(0 <= r["quality_score"] <= 1 for r in odd)
+    odd = quality.score(clashing, net, p, name="_quality_score").collect()
+    assert len(odd) == len(corpus()) and all(0 <= r["_quality_score"] <= 1 for r in odd) and "quality_score" in odd[0].asDict()
+    assert sum(r["doc_id"] is None and not r["held_out"] for r in quality.judge(clashing, labels, p).collect()) == 1
     none = quality.judge(train.limit(0), labels.limit(0), p)
     assert none.count() == 0
     assert {r["score"] for r in quality.judge(train.limit(3), labels.limit(0), p).collect()} == {0.5}
 
 
+def test_long_texts_are_scored_slice_by_slice(monkeypatch):
+    p, rng = quality.NetParams(), np.random.default_rng(1)
+    net = {"table": rng.standard_normal((p.width, 512, p.filters)).astype(np.float32), "b": np.zeros(p.filters, np.float32), "v": rng.standard_normal(p.filters), "c": 0.0}
+    sizes = [0, 5, 300_000, 1000, 448 * 20 + 64, 448 * 20 + 65, 70]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    buf = rng.integers(32, 127, at[-1]).astype(np.uint8)
+    whole = quality.scores(buf, at, net, p)
+    x, doc = quality.chunks(buf, at, p)
+    u = quality.pooled(quality.responses(x, net, p), doc, len(sizes)) @ net["v"]
+    assert whole == pytest.approx(1 / (1 + np.exp(-np.clip(u, -30, 30))))
+    monkeypatch.setattr(quality, "SLICE", 448 * 20)
+    assert quality.scores(buf, at, net, p) == pytest.approx(whole)
+
+
 def test_chunks_cover_all_bytes():
     p = quality.NetParams()
     for n in (0, 1, 511, 512, 513, 960, 5000):
@@ -343,12 +376,73 @@ def test_exponent_meets_its_targets(spark):
         r = w / np.array(shares)
         return -(w * np.log(w)).sum(), r.max() / r.min()
 
-    a = mixing.exponent(sources, mixing.MixParams(max_repeat=2.0))
+    a = mixing.exponent(sources, mixing.MixParams(max_repeat=2.0, even=None))
     assert measures(a)[1] == pytest.approx(2, abs=1e-6)
     a = mixing.exponent(sources, mixing.MixParams(max_repeat=None, entropy=0.95))
     assert measures(a)[0] == pytest.approx(0.95, abs=1e-6)
-    assert mixing.exponent(sources, mixing.MixParams(max_repeat=1000)) == 0.0
+    assert mixing.exponent(sources, mixing.MixParams(max_repeat=1000, even=None)) == 0.0
+    a = mixing.exponent(sources, mixing.MixParams(max_repeat=None))
+    assert measures(a)[0] == pytest.approx((measures(0)[0] + measures(1)[0]) / 2, abs=1e-6)
+    for h in (1.2, 0.01):
+        with pytest.raises(ValueError, match="entropy"):
+            mixing.exponent(sources, mixing.MixParams(entropy=h))
+
+
+def mixed_by_force(rows, p):
+    """(row, epoch) -> (block, place) from the sources' tokens, by plain loops."""
+    import hashlib
+
+    def keyed(*parts):
+        return int(hashlib.md5("\x1f".join([p.key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
 
+    def place(src, row, bits, e):
+        mask, (t0, t1, t2, t3) = (1 << bits) - 1, [keyed(f"turn{i}", src, e) & ((1 << 30) - 1) for i in range(4)]
+        x = ((keyed("block", row) >> 60 - bits) * (2 * t0 + 1) + t1) & mask
+        x ^= x >> max(bits >> 1, 1)
+        return ((x * (2 * t2 + 1) + t3) & mask) << 60 - bits | keyed(row, e) >> bits
+
+    have = Counter()
+    for r in rows:
+        have[r[1]] += r[2]
+    share = {s: n / sum(have.values()) for s, n in have.items()}
+    h = lambda a: (lambda w: -sum(x / sum(w) * np.log(x / sum(w)) for x in w))([v**a for v in share.values()])
+    low, high, target = 0.0, 1.0, (h(0) + h(1)) / 2
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (low, a) if h(a) <= target else (a, high)
+    lift = {s: v ** (high - 1) for s, v in share.items()}
+    out = set()
+    for s, n in have.items():
+        draw = n * lift[s] / min(lift.values())
+        whole = int(draw / n + 1e-9)
+        bits = max(0, int(np.ceil(np.log2(max(1.0, n / p.block_tokens)))))
+        left = draw - whole * n
+        for e in range(whole):
+            out |= {(r[0], e, place(s, r[0], bits, e) >> 60 - bits) for r in rows if r[1] == s}
+        for w, r in sorted((place(s, r[0], bits, whole), r) for r in rows if r[1] == s):
+            left -= r[2]
+            if left < -0.5:
+                break
+            out.add((r[0], whole, w >> 60 - bits))
+    return out
+
+
+def test_mixture_is_that_of_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [(str(i), "abc"[min(2, rng.randrange(8))], rng.randrange(1, 40)) for i in range(400)]
+    p = mixing.MixParams(block_tokens=150, max_repeat=None)
+    df = spark.createDataFrame([(int(i), s, n, "x") for i, s, n in rows], "doc_id long, source string, n long, text string")
+    got = mixing.mix(df, F.col("n"), p).collect()
+    want = mixed_by_force([(i, "=" + s, n) for i, s, n in rows], p)
+    assert {(str(r["doc_id"]), r["mix_epoch"], r["mix_block"]) for r in got} == want and len(got) == len(want)
+    assert len({r["mix_epoch"] for r in got}) > 1 and len({r["mix_block"] for r in got}) > 8
+    blocks = defaultdict(set)  # an epoch permutes the blocks of a source
+    for r in got:
+        blocks[r["doc_id"]].add(r["mix_block"])
+    assert any(len(b) > 1 for b in blocks.values())
+    unnamed = spark.createDataFrame([(None, "s", 1, f"t{i}") for i in range(100)] + [(None, "r", 9, f"u{i}") for i in range(100)], "doc_id long, source string, n long, text string")
+    n = Counter(r["text"] for r in mixing.mix(unnamed, F.col("n"), p).collect())
+    assert len(n) == 200 and set(n.values()) > {1}
 
 def padding(sizes, counts, ends):
     return sum(c * (next(e for e in ends if e >= s) - s) for s, c in zip(sizes, counts, strict=True))
@@ -358,14 +452,16 @@ def test_boundaries_are_best():
     from itertools import combinations
 
     rng = random.Random(1)
-    for _ in range(20):
-        sizes = sorted(rng.sample(range(1, 60), 7))
+    for n in [7] * 20 + [1, 2, 12]:
+        sizes = sorted(rng.sample(range(0, 60), n))
         counts = [rng.randrange(1, 20) for _ in sizes]
         k = rng.randrange(1, 5)
-        got = packing.boundaries(sizes, counts, [s * c for s, c in zip(sizes, counts, strict=True)], k)
-        best = min(padding(sizes, counts, [*c, sizes[-1]]) for c in combinations(sizes[:-1], k - 1))
+        got = packing.boundaries(sizes, counts, k)
+        best = min(padding(sizes, counts, [*c, sizes[-1]]) for c in combinations(sizes[:-1], min(k, n) - 1))
         assert len(got) <= k and padding(sizes, counts, got) == best
-    assert packing.boundaries([], [], [], 3) == []
+    assert packing.boundaries([], [], 3) == []
+    many = packing.boundaries(np.arange(1, 300_001), np.ones(300_000, np.int64), 8)
+    assert len(many) == 8 and many[-1] == 300_000
 
 
 def test_packing(clashing, spark):
@@ -382,16 +478,11 @@ def test_packing(clashing, spark):
     assert packing.pack(none_of(spark)).count() == 0
 
 
-def test_histogram_stays_fine_beside_one_very_long_document(spark):
+def test_packing_is_exact_beside_one_very_long_document(spark):
     lengths = [n for n in range(1, 600) for _ in range(2)] + [50_000_000]
-    rows = spark.createDataFrame([(n,) for n in lengths], "n_tokens long")
-    found = packing.histogram(rows, 9).collect()
-    assert sum(r["n"] for r in found) == len(lengths) and sum(r["t"] for r in found) == sum(lengths)
-    assert {r["most"] for r in found if r["most"] < 512} == set(range(1, 512))
-    assert all(r["bin"] <= r["most"] < r["bin"] * (1 + 2**-8) for r in found)
     docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
-    pads = {r["pad_to"] for r in packing.pack(docs, F.col("n"), packing.PackParams(buckets=4)).select("pad_to").distinct().collect()}
-    assert len(pads) == 4 and sorted(pads)[:3] == sorted(packing.boundaries(list(range(1, 600)), [2] * 599, [2 * n for n in range(1, 600)], 3))
+    pads = sorted({r["pad_to"] for r in packing.pack(docs, F.col("n"), packing.PackParams(buckets=4)).select("pad_to").distinct().collect()})
+    assert pads == [*packing.boundaries(list(range(1, 600)), [2] * 599, 3), 50_000_000]
 
 
 # Personal data
@@ -474,11 +565,26 @@ def test_stage(spark, docs, tmp_path, name):
         if name != "packing":
             assert out.columns == df.columns
         n = out.count()
-        assert n >= 0 if df is docs else n == 0
+        assert n > 0 if df is docs and name != "quality" else n <= df.count()
     if name == "near duplicates":
         want = near_by_force(corpus(), 5, 80, 100)
         assert sorted(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).where("doc_id IS NOT NULL").collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_pipeline_runs_whole(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()  # only good labels: all rows stay
+    want = near_by_force(corpus(), 5, 80, 100)
+    assert {r["doc_id"] for r in got} == {None, *[i for i, (_, c) in want.items() if i == c]}
+    assert set(got[0].asDict()) == {"doc_id", "n_tokens", "bucket", "pad_to", "batch", "slot"}
+
+
+def test_texts_under_one_id_stay(spark, tmp_path):
+    a, b = words(random.Random(5), 40), words(random.Random(6), 40)
+    df = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (1, a, "en", "s", 1)], DOC)
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == sorted([(1, a), (1, b)])
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
