@@ -4,15 +4,22 @@ E-mail addresses, phone numbers, IPv4 addresses, card, social security and bank
 access keys and passwords, and names after a title are found by patterns and replaced. A surrogate
 depends on a key and on the entity alone, so mentions of one entity agree everywhere (case of
 addresses and separators of numbers don't matter), and it keeps the mention's format: digits stay
-digits, letters letters of the same case and script, separators stay, addresses stay addresses; a
-name's surrogate has the title's gender.
+digits, letters letters of the same case and script, separators stay, addresses stay addresses of one
+domain; a card number passes the Luhn check if and only if the original does.
+
+Names are replaced word by word, so "Dr. Anna Lee", "Mrs. Anna Lee", "Mr. Lee" and, in a text that has a
+titled mention, "Anna Lee" and "Lee" without one agree. A given name's surrogate ends by its gender: what
+the titles before it say in all documents, neutral if they say nothing or both.
 
 Distinct entities get distinct surrogates. Numbers, secrets, keys and accounts are permuted (Feistel
 networks over their characters, so two never meet, even where the input uses up all strings of a
-format). Names and addresses draw from spaces that grow with the number of distinct ones, so that a
-draw without a collision is likely (99 %) whatever the input's size; a check over all of them redraws
-under the next subkey if two meet. It compares names without their gender's ending, so it holds for
-each name after every title.
+format). Words of names and addresses draw from spaces that grow with the number of distinct ones, so
+that a draw without a collision is likely (99 %) whatever the input's size. A check over all of them
+looks for two that meet and for surrogates that are someone's name or address in the input; each time
+it finds one, the next subkey draws from a space 26 times larger, so the draw always ends.
+
+Not found: names that never follow a title, secrets without a digit, and a phone number's country code
+if only some mentions have it (two numbers).
 
 Native DataFrame code throughout. Edge cases: null texts stay null, empty ones empty; repeated rows
 change alike; other columns, whatever their names, stay as they are; empty tables give empty results.
@@ -20,6 +27,7 @@ change alike; other columns, whatever their names, stay as they are; empty table
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +39,7 @@ from gleaner.llm.common import cut, unused
 @dataclass(frozen=True)
 class PiiParams:
     key: str = "surrogates"
-    tries: int = 8  # subkeys tried before giving up
+    salts: int = 16  # parts of a text's rows where many copies look up the genders of its names
 
 
 _NAME = r"\p{Lu}[\p{Ll}]+(?:[-']\p{Lu}\p{Ll}+)?(?: \p{Lu}[\p{Ll}]+)?"
@@ -49,7 +57,7 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 SECRET = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}"
 NAMED = r"\b(?:" + "|".join(t for t, _ in TITLES) + r")\.? " + _NAME
@@ -59,6 +67,8 @@ _TWO = "|".join(f"{a}{_GAP}[{b}]" for a, b in (("2", "07"), ("3", "0-469"), ("4"
 COUNTRY = rf"^\+(?:[17]|{_TWO}|[0-9]{_GAP}[0-9]{_GAP}[0-9])"
 #: One pass finds all kinds; what stands before a secret or a name is found with it and stays.
 PATTERN = "|".join(f"(?:{p})" for p in [SECRET, *KINDS.values(), NAMED])
+#: Names and addresses alone, whose surrogates may meet, and a cheap test for them.
+DRAWN, DRAWN_HINT = f"(?:{KINDS['email']})|(?:{NAMED})", r"@|\b(?:" + "|".join(t for t, _ in TITLES) + r")\.? \p{Lu}"
 #: Cheap test that a text may hold an entity at all.
 HINT = r"[0-9@]|(?i:token|secret|passw|pwd|api[_-]?key)|\b(?:" + "|".join(t for t, _ in TITLES) + r")\.? \p{Lu}"
 
@@ -181,32 +191,55 @@ def _width(n: int, base: int, least: int) -> int:
     return least
 
 
-def room_for(found: DataFrame) -> Room:
-    """Room for all names and addresses of ``found``."""
-    name, pair = F.col("kind") == "name", F.contains(F.col("entity"), F.lit(" "))
-    n = found.agg(F.count_if(name & ~pair), F.count_if(name & pair), F.count_if(F.col("kind") == "email")).first()
-    few = min(len(parts) for parts, _ in SYLLABLES.values())
-    least = Room()
-    return Room(max(_width(n[0], few, least.syllables), _width(n[1], few * few, least.syllables)), _width(n[2], 16, least.letters))
+def room_for(found: DataFrame, more: int = 0) -> Room:
+    """Room for all words of names and all addresses of ``found``, and ``more`` besides."""
+    n = found.agg(F.count_if(F.col("kind") == "name"), F.count_if(F.col("kind") == "email")).first()
+    few, least = min(len(parts) for parts, _ in SYLLABLES.values()), Room()
+    return Room(_width(n[0], few, least.syllables) + more, min(32, _width(n[1], 16, least.letters) + more))
+
+
+def _script(word: Column, make) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
+
+
+def _word(word: Column, key: Column, room: Room) -> Column:
+    """A made-up word of a name, without a gender's ending."""
+    drawn = [_digest(key, F.lit("name"), word, *[F.lit(str(b))][:b]) for b in range((room.syllables + 7) // 8)]  # eight syllables each
+
+    def made(script: str) -> Column:
+        parts, _ = SYLLABLES[script]
+        table = F.array(*[F.lit(s) for s in parts])
+        body = [F.element_at(table, (F.pmod(F.conv(F.substring(drawn[k // 8], 1 + 4 * (k % 8), 4), 16, 10).cast("long"), F.lit(len(parts))) + 1).cast("int")) for k in range(room.syllables)]
+        return F.initcap(F.concat(*body))
+
+    return _script(word, made)
+
+
+def _ending(word: Column, gender: Column) -> Column:
+    of = lambda script: F.when(gender == "m", SYLLABLES[script][1]["m"]).when(gender == "f", SYLLABLES[script][1]["f"]).otherwise(SYLLABLES[script][1]["x"])
+    return _script(word, of)
+
+
+#: Words of a name, with what stands between them.
+NAME_PARTS = r"(?<=[ '-])|(?=[ '-])"
 
 
-def _name(entity: Column, gender: Column, key: Column, room: Room = Room()) -> Column:
-    """A made-up name with as many words."""
+def given(entity: Column) -> Column:
+    """The given name of a name of two words, else null."""
+    return F.when(F.contains(entity, F.lit(" ")), F.get(F.split(entity, NAME_PARTS), F.lit(0)))
 
-    def word(w: Column, i: Column) -> Column:
-        # Eight syllables from each digest.
-        drawn = [_digest(key, F.lit("name"), entity, i.cast("string"), *[F.lit(str(b))][:b]) for b in range((room.syllables + 7) // 8)]
 
-        def made(script: str) -> Column:
-            parts, ends = SYLLABLES[script]
-            table = F.array(*[F.lit(s) for s in parts])
-            body = [F.element_at(table, (F.pmod(F.conv(F.substring(drawn[k // 8], 1 + 4 * (k % 8), 4), 16, 10).cast("long"), F.lit(len(parts))) + 1).cast("int")) for k in range(room.syllables)]
-            end = F.when(gender == "m", ends["m"]).when(gender == "f", ends["f"]).otherwise(ends["x"])
-            return F.initcap(F.concat(*body, F.when(i == 0, end).otherwise("")))
+def named(p: Column, key: Column, room: Room, genders: Column | None = None) -> Column:
+    """The parts of a titled name and their surrogates, in order: structs w, s. ``genders`` holds structs
+    (w, g) of given names whose titles differ."""
+    own = gender_of(p["lead"])
 
-        return F.when(w.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+    def part(w: Column, i: Column) -> Column:
+        known = F.get(F.filter(genders, lambda e: e["w"] == w), F.lit(0))["g"] if genders is not None else F.lit(None).cast("string")
+        end = F.when((i == 0) & F.contains(p["entity"], F.lit(" ")), _ending(w, F.coalesce(known, own))).otherwise("")
+        return F.struct(w.alias("w"), F.when(w.rlike("^[ '-]$"), w).otherwise(F.concat(_word(w, key, room), end)).alias("s"))
 
-    return F.array_join(F.transform(F.split(entity, " "), word), " ")
+    return F.transform(F.split(p["entity"], NAME_PARTS), part)
 
 
 def parts_of(mention: Column) -> Column:
@@ -241,16 +274,25 @@ def gender_of(lead: Column) -> Column:
     return out
 
 
+def luhn(digits: Column) -> Column:
+    """The check digit that goes behind ``digits``."""
+    each = F.transform(F.reverse(F.split(digits, "")), lambda c, i: _let(c.cast("int") * F.when(i % 2 == 0, 2).otherwise(1), lambda x: x - F.when(x > 9, 9).otherwise(0)))
+    return F.pmod(-F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
+
+
 def surrogate(p: Column, key: Column, room: Room = Room()) -> Column:
     """The replacement of a mention given as ``parts_of`` describes."""
     kind, body = p["kind"], p["body"]
     local = F.substring_index(p["entity"], "@", 1)
     d = _digest(key, F.lit("email"), p["entity"])
-    # Letters of a base-16 alphabet, then as many digits as a numbered address has at its end.
-    letters = F.translate(F.substring(d, 1, room.letters), "0123456789abcdef", "bdfghklmnprstvwz")
+    # Letters of a base-16 alphabet (in two parts where the original has two), then as many digits as a numbered address has at its end.
+    lettered = lambda c: F.translate(c, "0123456789abcdef", "bdfghklmnprstvwz")
+    between = F.regexp_extract(local, "^[a-z]+([._+-])[a-z]", 1)
+    letters = F.concat(lettered(F.substring(d, 1, 6)), between, lettered(F.substring(d, 7, room.letters - 6)))
+    host = lettered(F.substring(_digest(key, F.lit("host"), F.substring_index(p["entity"], "@", -1)), 1, 10))
     end = F.regexp_extract(local, r"[._-]?[0-9]+$", 0)
     number = in_shape(end, F.translate(F.substring(d, 14, 18), "abcdef", "123456"))
-    email = F.concat(letters, number, F.lit("@mail"), F.pmod(_number(d, 3), F.lit(10)).cast("string"), F.lit(".example.org"))
+    email = F.concat(letters, number, F.lit("@"), host, F.lit(".example.org"))
     octets = F.transform(F.split(body, r"\."), lambda o: o.cast("long"))
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o)
     high, low = F.shiftright(value, 16), value.bitwiseAND(F.lit(0xFFFF).cast("long"))
@@ -263,61 +305,118 @@ def surrogate(p: Column, key: Column, room: Room = Room()) -> Column:
     )
     digits = F.regexp_replace(body, "[^0-9]", "")
     number = in_shape(body, permuted(digits, F.concat(key, kind, F.regexp_replace(p["lead"], r"[ .(-]", ""))))
+    most, last = F.concat(p["lead"], F.substring(digits, F.lit(1), F.length(digits) - 1)), F.substring(digits, F.length(digits), F.lit(1))
+    moved = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), F.concat(key, kind, p["lead"]))
+    check = _let(moved, lambda m: F.concat(m, F.pmod(luhn(F.concat(p["lead"], m)) + last.cast("int") - luhn(most), F.lit(10)).cast("string")))
+    card = in_shape(body, check)
     plain = F.concat(p["lead"], scrambled(F.regexp_replace(body, " ", ""), key, "iban"))
     bank = F.substring(F.when(body.contains(" "), F.regexp_replace(plain, "(.{4})(?=.)", "$1 ")).otherwise(plain), 3, 64)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", mixed)
-        .when(kind.isin("phone", "card", "ssn"), number)
-        .when(kind == "name", _name(p["entity"], gender_of(p["lead"]), key, room))
+        .when(kind.isin("phone", "ssn"), number)
+        .when(kind == "card", card)
         .when(kind == "iban", bank)
         .otherwise(scrambled(body, key, "key"))
     )
 
 
-def mentions(text: Column) -> Column:
-    """All mentions of a text in order."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+def _woven(gaps: Column, new: Column) -> Column:
+    """``gaps`` with ``new`` between them."""
+    return F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
 
+def _untitled(gap: Column, known: Column) -> Column:
+    """What stands between mentions, with words of names that have a titled mention in the text replaced."""
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(known, lambda e: e["w"]), "|"), F.lit(r")(?!\p{L})"))
+    new = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda w: F.get(F.filter(known, lambda e: e["w"] == w), F.lit(0))["s"])
+    return _woven(F.split(gap, pattern, -1), new)
 
-def replaced(text: Column, key: Column, room: Room = Room()) -> Column:
+
+def replaced(text: Column, key: Column, room: Room = Room(), genders: Column | None = None) -> Column:
     """``text`` with every mention replaced."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(F.transform(found, parts_of), lambda p: F.concat(p["lead"], surrogate(p, key, room)))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike(HINT), F.array_join(pieces, "")).otherwise(text)
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), parts_of)
+    empty = F.array().cast("array<struct<w:string,s:string>>")
 
+    def whole(x: Column) -> Column:
+        each = F.transform(x["p"], lambda p: F.struct(p["kind"].alias("kind"), p["lead"].alias("lead"), F.when(p["kind"] == "name", named(p, key, room, genders)).otherwise(empty).alias("n"), F.when(p["kind"] != "name", surrogate(p, key, room)).alias("s")))
+        return _let(each, lambda e: woven(x["gaps"], e))
 
-def entities(docs: DataFrame) -> DataFrame:
-    """``kind, entity`` of the distinct names and addresses of the input; other kinds are permuted and can't meet."""
-    found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).distinct().select(parts_of(F.col("m")).alias("p"))
-    return found.where(F.col("p.kind").isin("email", "name")).select("p.kind", "p.entity").distinct()
+    def woven(gaps: Column, each: Column) -> Column:
+        new = F.transform(each, lambda e: F.concat(e["lead"], F.coalesce(e["s"], F.array_join(F.transform(e["n"], lambda t: t["s"]), ""))))
+        known = F.filter(F.flatten(F.transform(each, lambda e: e["n"])), lambda t: F.length(t["w"]) > 1)
+        return _let(known, lambda k: F.when(F.size(k) == 0, _woven(gaps, new)).otherwise(_woven(F.transform(gaps, lambda g: _untitled(g, k)), new)))
 
+    about = F.struct(found.alias("p"), F.split(text, PATTERN, -1).alias("gaps"))
+    return F.when(text.rlike(HINT), _let(about, whole)).otherwise(text)
 
-def meets(found: DataFrame, key: str) -> bool:
-    """Do two names or two addresses share a surrogate under this key?"""
-    p = F.struct("kind", F.lit("").alias("lead"), F.col("entity").alias("body"), "entity")  # no lead: names of either gender
-    plain = F.regexp_replace(surrogate(p, F.lit(key), room_for(found)), r"[^\p{L}0-9@.]", "")
-    return not found.select("kind", plain.alias("s")).groupBy("kind", "s").count().where("count > 1").isEmpty()
 
+def _drawn(text: Column) -> Column:
+    """Names and addresses of a text."""
+    return F.when(text.rlike(DRAWN_HINT), F.regexp_extract_all(text, F.lit(DRAWN), F.lit(0)))
 
-def _settled(docs: DataFrame, params: PiiParams) -> tuple[str, Room]:
-    found = cut(entities(docs))
-    for i in range(params.tries):
-        key = f"{params.key}/{i}"
-        if not meets(found, key):
-            return key, room_for(found)
-    raise ValueError(f"no subkey of {params.key!r} keeps all surrogates apart; raise tries")
+
+def entities(docs: DataFrame) -> DataFrame:
+    """``kind, entity, genders``: distinct words of names and distinct addresses of the input (other kinds are
+    permuted and can't meet), with the genders that titles give to a given name."""
+    found = docs.select(F.explode(_drawn(F.col("text"))).alias("m")).groupBy("m").agg(F.lit(1)).select(parts_of(F.col("m")).alias("p"))
+    entity = F.col("p.entity")
+    words = F.filter(F.split(entity, NAME_PARTS), lambda w: ~w.rlike("^[ '-]$"))
+    words = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when((i == 0) & given(entity).isNotNull(), gender_of(F.col("p.lead"))).alias("g")))
+    each = F.when(F.col("p.kind") == "name", words).otherwise(F.array(F.struct(entity.alias("w"), F.lit(None).cast("string").alias("g"))))
+    rows = found.where(F.col("p.kind").isin("email", "name")).select("p.kind", F.explode(each).alias("x"))
+    return rows.groupBy("kind", F.col("x.w").alias("entity")).agg(F.array_sort(F.collect_set("x.g")).alias("genders"))  # three at most
+
+
+def meets(found: DataFrame, key: str, room: Room) -> bool:
+    """Do two words of names or two addresses share a surrogate under this key, or is one somebody's in the input?"""
+    p = F.struct("kind", F.lit("").alias("lead"), F.col("entity").alias("body"), "entity")
+    new = F.when(F.col("kind") == "name", _word(F.col("entity"), F.lit(key), room)).otherwise(surrogate(p, F.lit(key), room))
+    drawn = cut(found.select("kind", "entity", new.alias("s")))
+    if not drawn.groupBy("kind", "s").count().where("count > 1").isEmpty():
+        return True
+    ends = sorted({"", *[e for _, by in SYLLABLES.values() for e in by.values()]})
+    forms = drawn.select("kind", F.explode(F.when(F.col("kind") == "name", F.array(*[F.concat("s", F.lit(e)) for e in ends])).otherwise(F.array("s"))).alias("entity"))
+    return not forms.join(found.select("kind", "entity"), ["kind", "entity"], "left_semi").isEmpty()
+
+
+def _settled(found: DataFrame, params: PiiParams) -> tuple[str, Room]:
+    for i in itertools.count():
+        key, room = f"{params.key}/{i}", room_for(found, i)
+        if not meets(found, key, room):
+            return key, room
 
 
 def working_key(docs: DataFrame, params: PiiParams = PiiParams()) -> str:
     """The first subkey under which all entities of ``docs`` get distinct surrogates."""
-    return _settled(docs, params)[0]
+    return _settled(cut(entities(docs)), params)[0]
+
+
+def _with_genders(docs: DataFrame, mixed: DataFrame, key: str, name: str, p: PiiParams) -> DataFrame:
+    """``docs`` with the genders of those of a text's given names whose titles differ between mentions, as ``name``.
+
+    Texts meet their names by a hash; rows of a text's copies are dealt out by a salt."""
+    hashed, salt = F.md5("text"), unused(docs, f"{name}_salt")
+    k, row = unused(docs, f"{name}_k"), F.col("p")
+    mentions = docs.where(F.col("text").rlike(DRAWN_HINT)).select(hashed.alias(k), F.explode(F.regexp_extract_all("text", F.lit(DRAWN), F.lit(0))).alias("m"))
+    rows = mentions.select(k, parts_of(F.col("m")).alias("p")).where("p.kind = 'name'").select(k, given(row["entity"]).alias("w")).where("w IS NOT NULL").distinct()
+    known = rows.join(mixed, "w").groupBy(k).agg(F.collect_list(F.struct("w", "g")).alias(name))  # names of one text
+    known = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    dealt = docs.withColumn(k, hashed).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(p.salts)).cast("int"))
+    return dealt.join(known, [k, salt], "left")
 
 
 def pseudonymise(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """All columns of ``docs``, with the entities of ``text`` replaced."""
-    key, room = _settled(docs, params)
-    raw = unused(docs, "pii_text")
-    out = docs.withColumn(raw, replaced(F.col("text"), F.lit(key), room))
+    found = cut(entities(docs))
+    key, room = _settled(found, params)
+    raw, genders = unused(docs, "pii_text"), unused(docs, "pii_genders")
+    has = lambda g: F.array_contains("genders", g)
+    mixed = found.where("size(genders) > 1").select(F.col("entity").alias("w"), F.when(has("m") & has("f"), "x").when(has("m"), "m").otherwise("f").alias("g"))
+    if mixed.isEmpty():  # every mention's title says what all say
+        out = docs.withColumn(raw, replaced(F.col("text"), F.lit(key), room))
+    else:
+        rows = _with_genders(docs, mixed, key, genders, params)
+        none = F.array().cast("array<struct<w:string,g:string>>")
+        out = rows.withColumn(raw, replaced(F.col("text"), F.lit(key), room, F.coalesce(F.col(genders), none)))
     return out.select(*[F.col(raw).alias(c) if c == "text" else F.col(c) for c in docs.columns])

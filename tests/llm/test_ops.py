@@ -516,26 +516,81 @@ def test_numbers_are_permuted(spark):
         assert df.select(pii.permuted(F.col("d"), F.lit("k")).alias("x")).where(F.length("x") == n).distinct().count() == 10**n
 
 
-def test_collisions_draw_anew(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(pii, "meets", lambda found, key: seen.append(key) or len(seen) < 3)
-    assert pii.working_key(spark.createDataFrame([("a",)], "text string")) == "surrogates/2"
-    monkeypatch.setattr(pii, "meets", lambda found, key: True)
-    with pytest.raises(ValueError, match="tries"):
-        pii.working_key(spark.createDataFrame([("a",)], "text string"))
+def test_collisions_draw_anew_from_more_room(spark, monkeypatch):
+    rows = [(f"Mr {a}{b} a{a}.{b}@x.org".replace(a, a.upper(), 1),) for a in "abcdefghijklmnopqrst" for b in "bcdfghklmn"]
+    df = spark.createDataFrame(rows, "text string")
+    monkeypatch.setattr(pii, "_width", lambda n, base, least: 1)  # one syllable for 200 names: real collisions
+    key = pii.working_key(df)
+    got = [r["text"] for r in pii.pseudonymise(df).collect()]
+    assert int(key.split("/")[1]) > 0 and len(set(got)) == len({t.split()[1] for t in got}) == len({t.split()[2] for t in got}) == 200
+
+
+def test_surrogates_are_nobodys_name(spark):
+    room = pii.Room()
+    made = spark.range(1).select(pii._word(F.lit("Smith"), F.lit("surrogates/0"), room).alias("x")).first()["x"]
+    out = pii.pseudonymise(spark.createDataFrame([("Mr Smith",), (f"Mrs {made}",)], "text string")).collect()
+    assert made not in {r["text"].split()[1] for r in out}
 
 
 def test_many_names_and_passwords_stay_apart(spark):
-    letters, n = "абвгдежзиклмнопрстуф", 15_000
-    names = [letters[i // 8000].upper() + letters[i // 400 % 20] + letters[i // 20 % 20] + letters[i % 20] for i in range(n)]
-    rows = [(" ".join(f"{t} {w}," for w in names[at : at + 500] for t in ("Mr", "Dr")),) for at in range(0, n, 500)]
-    got = [m for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect() for m in r["text"].split(",")[:-1]]
-    assert len(got) == len({m.strip() for m in got}) == len({m.split()[1] for m in got}) == 2 * n
+    for letters in ("абвгдежзиклмнопрстуф", "abcdefghijklmnopqrst"):
+        n = 100_000
+        names = [letters[i // 8000].upper() + "".join(letters[i // k % 20] for k in (400, 20, 1)) for i in range(n)]
+        rows = [(" ".join(f"{t} {w}," for w in names[at : at + 500] for t in ("Mr", "Dr")),) for at in range(0, n, 500)]
+        got = [m.split() for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect() for m in r["text"].split(",")[:-1]]
+        assert len(got) == 2 * n and len({w for _, w in got}) == n and all(a[1] == b[1] for a, b in zip(got[::2], got[1::2], strict=True))
     rows = [(" ".join(f"password={i * 997:08d}" for i in range(at, at + 500)),) for at in range(0, 40_000, 500)]
     got = [m for r in pii.pseudonymise(spark.createDataFrame(rows, "text string")).collect() for m in r["text"].split()]
     assert len(set(got)) == 40_000 and all(len(m) == 17 and m[9:].isdigit() for m in got)
 
 
+def test_a_person_is_one_whatever_the_title(spark):
+    rows = [(1, "Dr. Anna Lee met Mrs. Anna Lee. Anna Lee and Lee said: Mr. Lee. Leeds, Annabel."), (2, "Prof. Anna Berg"), (3, "Mr. Kim Cho and Mrs. Kim Cho"), (4, "Anna Lee"), (5, None), (6, "Frau Mary-Ann Oak"), (1, "Dr. Anna Lee met Mrs. Anna Lee. Anna Lee and Lee said: Mr. Lee. Leeds, Annabel.")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("pii_genders", F.lit(1))
+    got = [(r["id"], r["text"]) for r in pii.pseudonymise(df).collect()]
+    out = dict(got)
+    assert len(got) == 7 and got.count((1, out[1])) == 2 and out[5] is None and out[4] == "Anna Lee"  # no title anywhere in the text
+    import re
+
+    w = re.fullmatch(r"Dr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. (\w+) (\w+) and (\w+) said: Mr\. (\w+)\. Leeds, Annabel\.", out[1]).groups()
+    assert w[0] == w[2] == w[4] and w[0].endswith("ia") and w[1] == w[3] == w[5] == w[6] == w[7] and w[0] != w[1]
+    assert out[2].startswith(f"Prof. {w[0]} ") and re.fullmatch(r"Mr\. (\w+is) (\w+) and Mrs\. \1 \2", out[3]) and re.fullmatch(r"Frau \w+ia-\w+ \w+", out[6])
+
+
+def test_all_but_entities_stays(spark):
+    """Random texts: entities get distinct surrogates of their format, the same ones everywhere; the rest is untouched."""
+    import re
+
+    rng, made = random.Random(3), {}
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        s = sum(x - 9 * (x > 9) for i, c in enumerate(reversed(d)) for x in [int(c) * (2 - i % 2)])
+        return d + str(-s % 10)
+
+    makers = {
+        r"[a-z]+\.[a-z]+@[a-z]+\.example\.org": lambda: f"jo{digits(1).translate(str.maketrans('0123456789', 'abcdefghij'))}.doe@{rng.choice('xyz')}.com",
+        r"\+1 \(\d{3}\) \d{3}-\d{4}": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", r"4\d{15}": card, r"\d{3}-\d\d-\d{4}": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        r"AKIA[0-9A-Z]{16}": lambda: "AKIA" + digits(8) + "QWERTYUI", r"\d+\.\d+\.\d+\.\d+": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+    }
+    pool = {k: sorted({f() for _ in range(12)}) for k, f in makers.items()}
+    rows = [[(rng.choice(["plain", "words", "here;"]), None) if rng.random() < 0.6 else (rng.choice(pool[k]), k) for k in rng.choices(list(pool), k=30)] for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t for t, _ in r)) for i, r in enumerate(rows)], "id long, text string")
+    for r in pii.pseudonymise(df).collect():
+        old = [(t, k) for t, k in rows[r["id"]]]
+        new = re.match("^" + " ".join(f"({k})" if k else re.escape(t) for t, k in old) + "$", r["text"])
+        assert new, r["text"]
+        for (t, k), n in zip([x for x in old if x[1]], new.groups(), strict=True):
+            assert made.setdefault(t, n) == n
+            if k.startswith("4"):
+                assert sum(x - 9 * (x > 9) for i, c in enumerate(reversed(n)) for x in [int(c) * (1 + i % 2)]) % 10 == 0
+    assert len(set(made.values())) == len(made) and sum(a == b for a, b in made.items()) < 3
+    assert len({n.split("@")[1] for t, n in made.items() if "@" in t}) == len({t.split("@")[1] for t in made if "@" in t})
+
+
 def test_scrambling_permutes_each_format(spark):
     import itertools
 
