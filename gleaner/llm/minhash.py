@@ -13,6 +13,9 @@
 
 A pair at similarity s misses all bands with probability (1 - s**5)**25: 5e-7 at 0.85, 5e-5 at 0.8.
 
+Links are confirmed on words themselves, numbered within a task, not on hashes. Hashes (two of 64 bits and
+the size) alone say that two sets are equal, and a set's size counts 64-bit hashes.
+
 Edge cases: null or empty texts, and texts without words, have an empty set and link with nothing.
 Rows with a null doc_id link with nothing and are kept. Rows that share a doc_id are one document.
 Repeated rows give repeated results. Extra columns are not read. Empty tables give empty results.
@@ -45,11 +48,12 @@ class MinHashParams:
     hashes: int = 128
     batch: int = 32  # signature values compared at a time
     miss: float = 1e-6  # posterior chance below which a pair is given up
-    tile: int = 2_048  # members of a bucket that one block compares
-    part_rows: int = 40_000  # bucket members per task
-    block_rows: int = 8_000  # rows of blocks per task
+    tile: int = 1_024  # members of a bucket that one block compares
+    part_rows: int = 20_000  # bucket members per task
+    block_rows: int = 4_000  # rows of blocks per task
     large_class: int = 10_000  # a class of more copies never meets its rows by shuffle
     most_large: int = 10_000
+    salts: int = 8  # parts of a bucket's members in joins
     few_ids: int = 1_000_000  # so many ids (8 MB) may be broadcast; more are joined by shuffle
 
 
@@ -90,6 +94,35 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return d[new], h[new]
 
 
+def exact_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, number) of the distinct shingles of each text; equal numbers are equal shingles, word by word."""
+    table: dict[bytes, int] = {}
+    lists = [[table.setdefault(w, len(table) + 1) for w in t.translate(_LOWER.tobytes()).split()] for t in texts]
+    count = np.array([len(x) for x in lists], np.int64)
+    n = np.where(count == 0, 0, np.maximum(1, count - words + 1))  # shorter texts are one shingle, filled up with zeros
+    flat = np.concatenate([np.asarray(x + [0] * words, np.int64) for x in lists] or [np.zeros(0, np.int64)])
+    start = np.cumsum(count + words) - (count + words)
+    d = np.repeat(np.arange(len(texts)), n)
+    at = start[d] + np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+    name = flat[at]
+    for k in range(1, words):  # a pair of numbers gets a number
+        _, name = np.unique(name * (len(table) + 1) + flat[at + k], return_inverse=True)
+    both = np.unique(d * (len(name) + len(table) + 1) + name)
+    return both // (len(name) + len(table) + 1), both % (len(name) + len(table) + 1)
+
+
+def linked(texts: list[bytes], p: MinHashParams) -> np.ndarray:
+    """For n pairs given as n texts and then their n partners: which reach the threshold on whole sets."""
+    n = len(texts) // 2
+    d, name = exact_sets(texts, p.words)
+    size = np.bincount(d, minlength=2 * n)
+    pair = d % max(n, 1)  # a set has no repeats, so a shingle that a pair has twice is shared
+    order = np.lexsort((name, pair))
+    same = (name[order][1:] == name[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+    both = np.bincount(pair[order][1:][same], minlength=n)
+    return (both > 0) & (p.den * both >= p.num * (size[:n] + size[n:] - both))
+
+
 def _constants(n: int, salt: int) -> np.ndarray:
     return rolling.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) | np.uint64(1)
 
@@ -250,7 +283,7 @@ def crossing(key: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarr
                 ok = (both > 0) & (p.den * both >= p.num * (len(own) + size - both))
                 for y in to[ok].tolist():
                     a, b = now[x - s], now[y - s]
-                    if a != b:
+                    if a != b and linked([open_.decompress(z[k]) if z[k] else b"" for k in (x, y)], p)[0]:
                         links.add((int(min(node[x], node[y])), int(max(node[x], node[y]))))
                         now[now == max(a, b)] = min(a, b)
     return links
@@ -310,16 +343,8 @@ def verified(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                n = part.num_rows
                 data = [open_.decompress(z) if len(z) else b"" for c in (2, 3) for z in part.column(c).to_pylist()]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-                d, h = shingle_sets(np.frombuffer(b"".join(data), np.uint8), at, p.words)
-                size = np.bincount(d, minlength=2 * n)
-                pair = d % n  # a set has no repeats, so a hash that a pair has twice is shared
-                order = np.lexsort((h, pair))
-                same = (h[order][1:] == h[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-                both = np.bincount(pair[order][1:][same], minlength=n)
-                ok = (both > 0) & (p.den * both >= p.num * (size[:n] + size[n:] - both))
+                ok = linked(data, p)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
@@ -335,6 +360,13 @@ def _to(n, p: MinHashParams):
     return F.sequence(F.lit(0).cast("long"), F.ceil(n / F.lit(p.tile)).cast("long") - 1)
 
 
+def _by_bucket(members: DataFrame, about: DataFrame, p: MinHashParams) -> DataFrame:
+    """``members`` joined with what ``about`` says of their buckets; the members of a large one are dealt out."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(p.salts)).cast("int").alias("salt")
+    each = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return members.select("*", salt).join(each, ["bucket", "salt"]).drop("salt")
+
+
 def blocks(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
     """Blocks ``block, side, node, comp`` in which every two documents of a bucket meet whose components differ.
 
@@ -346,7 +378,7 @@ def blocks(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
     by = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     shape = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     shape = shape.select("bucket", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("kinds") - 1).alias("kinds"))
-    rest = cut(joined.join(shape, "bucket").where("comp <> top"))
+    rest = cut(_by_bucket(joined, shape, p).where("comp <> top"))
 
     guests = rest.select("node", "comp", "top").distinct()
     n_guests = guests.groupBy("top").agg(F.count("*").alias("g"))
@@ -377,7 +409,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     members = reps.select("node", F.explode("bands").alias("bucket"))
     found = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 32)).alias(f"h{i}") for i in range(2)])
     alike = cut(found.where("n > 1").groupBy("n", "lo", "hi", "h0", "h1").agg(F.min("bucket").alias("bucket")))
-    members = members.join(alike.select("bucket", "n"), "bucket")
+    members = _by_bucket(members, alike.select("bucket", "n"), p)
     sigs = reps.select("node", "sig")
     members = cut(members.join(sigs, "node").select("bucket", "n", "node", "sig"))
 

@@ -1,39 +1,70 @@
-"""Polynomial hashes modulo 2**64 over byte buffers, in numpy.
+"""Polynomial hashes over byte buffers, in numpy.
 
-``prefix(buf)[i]`` is the sum of ``(buf[j] + 1) * BASE**j`` for j < i. A window's hash divides the
-difference of two prefixes by the power at its start, so equal bytes hash alike wherever they stand.
+Two hashes modulo the Mersenne prime 2**31 - 1 with bases of their own make one of 62 bits: two different
+strings of n bytes agree for at most n of the bases, so with a chance of (n / 2**31)**2. (Modulo 2**64, every
+odd base fails on some strings of 1,024 bytes.) ``prefix(buf)[:, i]`` is the sum of ``(buf[j] + 1) * base**j``
+for j < i. A window's hash divides the difference of two prefixes by the power at its start, so equal bytes
+hash alike wherever they stand.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PRIME = (1 << 31) - 1
+#: Drawn once at random.
+BASES = (1_284_865_837, 710_425_341)
+_P, _31 = np.uint64(PRIME), np.uint64(31)
+_BLOCK = 1 << 22
+_powers = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Below 2**33 and equal modulo PRIME."""
+    return (x & _P) + (x >> _31)
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, below PRIME."""
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i in 0..n."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((BASE, _INVERSE)):
-            x = np.full(max(n + 1, 1 << 16), b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
+    """base**i and base**-i for i in 0..n, a row for each base."""
+    while _powers[0].shape[1] <= n:
+        for k, of in enumerate((lambda b: b, lambda b: pow(b, -1, PRIME))):
+            old = _powers[k]
+            step = np.array([[pow(of(b), old.shape[1], PRIME)] for b in BASES], np.uint64)
+            _powers[k] = np.concatenate([old, _rest(old * step)], axis=1)
     return _powers[0], _powers[1]
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
     up, _ = powers(len(buf))
-    s = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=s[1:])
+    s = np.zeros((2, len(buf) + 1), np.uint64)
+    for a in range(0, len(buf), _BLOCK):  # sums of a block stay under 2**62
+        part = buf[a : a + _BLOCK].astype(np.uint64) + np.uint64(1)
+        s[:, a + 1 : a + 1 + len(part)] = _rest(np.cumsum(part * up[:, a : a + len(part)], axis=1) + s[:, a : a + 1])
     return s
 
 
+def _joined(difference: np.ndarray, down: np.ndarray) -> np.ndarray:
+    h = _rest(_fold(difference) * down)
+    return h[0] | h[1] << np.uint64(32)
+
+
 def window(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of buf[start:end] from ``s = prefix(buf)``."""
-    _, down = powers(len(s))
-    return (s[end] - s[start]) * down[start]
+    _, down = powers(s.shape[1])
+    return _joined(s[:, end] + _P - s[:, start], down[:, start])
+
+
+def windows(s: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` bytes, by their start."""
+    _, down = powers(s.shape[1])
+    n = s.shape[1] - size
+    return _joined(s[:, size:] + _P - s[:, :n], down[:, :n])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

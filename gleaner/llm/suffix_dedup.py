@@ -110,8 +110,7 @@ def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str
     for a in range(0, len(buf) - L + 1, SLICE):
         m = min(SLICE, len(buf) - L + 1 - a)
         s = rolling.prefix(buf[a : a + m + L - 1])
-        _, down = rolling.powers(len(s))
-        g = rolling.mix((s[p.k :] - s[: -p.k]) * down[: len(s) - p.k])
+        g = rolling.mix(rolling.windows(s, p.k))
         v = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
         rows = np.concatenate([v, np.full(-len(v) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()

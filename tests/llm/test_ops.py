@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import ann, embed_dedup, html_text, minhash, mixing, packing, pii, quality, queries, suffix_dedup, urls
+from gleaner.llm import ann, embed_dedup, html_text, minhash, mixing, packing, pii, quality, queries, rolling, suffix_dedup, urls
 from tests.llm.brute import remove_repeats
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,6 +107,39 @@ def test_chains_of_near_duplicates(spark):
     assert got == {i: c for i, (_, c) in near_by_force(rows, 3, 85, 100).items()}
 
 
+def test_words_that_fool_hashes_modulo_a_power_of_two(spark):
+    rows = []
+    for k, n in enumerate((1024, 4096, 8192)):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        rows += [(2 * k, "".join("ab"[b] for b in bits), "", "", 0), (2 * k + 1, "".join("ba"[b] for b in bits), "", "", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    assert all(r["kept"] for r in minhash.near_duplicates(df).collect())
+    want = remove_repeats([(i, t) for i, t, *_ in rows], 50)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()} == {i: w[1] for i, w in want.items()}
+
+
+def test_rolling_hashes():
+    rng = np.random.default_rng(6)
+    buf = rng.integers(0, 256, 5000).astype(np.uint8)
+    s = rolling.prefix(buf)
+    value = lambda x: tuple(sum((int(c) + 1) * pow(b, j, rolling.PRIME) for j, c in enumerate(x)) % rolling.PRIME for b in rolling.BASES)
+    a = rng.integers(0, 4900, 50)
+    got = rolling.window(s, a, a + 77)
+    assert [(int(h) & 0xFFFFFFFF, int(h) >> 32) for h in got] == [value(buf[i : i + 77]) for i in a]
+    assert (rolling.windows(s, 77)[a] == got).all()
+
+
+def test_links_are_confirmed_on_words():
+    p = minhash.MinHashParams(words=3, num=85)
+    rng = random.Random(9)
+    texts = [words(rng, rng.randrange(0, 30)) for _ in range(40)]
+    other = [t if rng.random() < 0.5 else " ".join(t.upper().split()[: rng.randrange(0, 30)]) for t in texts]
+    got = minhash.linked([t.encode() for t in texts + other], p)
+    for t, o, ok in zip(texts, other, got, strict=True):
+        x, y = sets_of(t, 3), sets_of(o, 3)
+        assert ok == (bool(x & y) and 100 * len(x & y) >= 85 * len(x | y))
+
+
 def test_bayesian_bounds():
     p = minhash.MinHashParams()
     least = minhash.least_matches(p)
