@@ -222,14 +222,49 @@ def test_ties_go_to_smaller_ids(spark):
     assert got == {q: [i for _, i in sorted((-float(np.dot(x[q], v)), i) for i, v in x.items() if i != q)[:5]] for q in range(0, 399, 40)}
 
 
+def test_many_equal_scores(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, *[float(c) for c in rng.standard_normal(4)]], 0) for i in range(1, 4001)] + [(0, [1.0, 0.0, 0.0, 0.0, 0.0], 0)]
+    got = ann.search(spark.createDataFrame(rows, VEC), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {1.0}
+
+
+def test_one_key_of_many_points(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    rows = [(i, [float(c) for c in base + rng.standard_normal(8) * 1e-6], 0) for i in range(3000)]
+    x = np.array([r[1] for r in rows])
+    got = defaultdict(list)
+    p = ann.CurveParams(k=5, block=32, window=32, cell_rows=200)
+    for r in ann.search(spark.createDataFrame(rows, VEC), F.col("vec_id") % 500 == 0, p).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 3000, 500):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s, kind="stable")[:5].tolist()
+
+
+def _recall(spark, rows, is_query, p):
+    df = spark.createDataFrame(rows, VEC)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, is_query, p).collect()}
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    true = set()
+    for q in {a for a, _ in got}:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        true |= {(q, int(ids[i])) for i in np.lexsort((ids, -s))[: p.k]}
+    return len(true & got) / len(true)
+
+
 def test_recall_of_windows_alone(spark):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((40, 16)) * 3
     rows = [(i, [float(v) for v in centres[i % 40] + rng.standard_normal(16) * 0.3], 0) for i in range(1200)]
-    df = spark.createDataFrame(rows, VEC)
-    find = lambda exact: {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, ann.CurveParams(k=10, window=64, block=64, exact=exact)).collect()}
-    true, near = find(True), find(False)
-    assert len(true & near) >= 0.9 * len(true)
+    assert _recall(spark, rows, F.col("vec_id") % 20 == 0, ann.CurveParams(k=10, window=64, block=64, cell_rows=100, exact=False)) >= 0.9
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r[0], [float(c) for c in r[1]], 0) for r in table]
+    assert _recall(spark, rows, F.col("vec_id") % 50 == 0, ann.CurveParams(exact=False)) >= 0.9
+    assert _recall(spark, rows, F.col("vec_id") % 50 == 0, ann.CurveParams()) == 1
 
 
 def test_hilbert_curve_is_one_path():
