@@ -1,13 +1,18 @@
 """URL filter: longest matching rule, else a learned path-template tree.
 
-Native DataFrame code throughout. Per host, the path's segments form a tree. Segments that look
-like values (numbers, ids, dates) become wildcards; on every level, siblings whose labelled share
-is statistically like that of all their siblings together merge into one wildcard branch, and
-branches without labels merge among themselves. A template is rejected if its labelled share,
-smoothed towards a prior, reaches ``reject_at``.
-
-Edge cases: a null URL, or one without ``://``, has an empty host and path and is allowed. Repeated
-rows are judged alike and all kept. Empty tables give empty results.
+Native DataFrame code throughout. Per host, the path's segments form a tree, as deep as the paths are.
+Segments that look like values (numbers, ids, dates) become wildcards; on every level, a branch whose
+labelled share differs from that of its siblings stands alone, and all others, unlabelled ones too, merge
+into one wildcard branch. A node with few labelled pages is a leaf. A template is rejected if its labelled
+share, smoothed towards a prior, reaches ``reject_at``.
+
+Labels: a rule's verdict; else a seed word in the host (bad); else the page's content (bad if it holds
+little text or mostly link text, good otherwise). So labels differ between pages of one host, and a page
+without content, or a good page among bad ones, is judged by its template.
+
+Edge cases: a null URL, or one without ``://``, has an empty host and path; pages without HTML, or a table
+without that column, have no label of their own; a null page_id is a row like others. Repeated rows are
+judged alike and all kept. Very long URLs are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,13 +38,14 @@ SEED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads-track")
 
 @dataclass(frozen=True)
 class TreeParams:
-    levels: int = 3  # segments below this depth join into one tail wildcard
     prior: float = 0.1  # share of bad pages expected without labels
     strength: float = 2.0  # labelled pages that the prior weighs as much as
     z: float = 2.58  # normal quantile of the similarity test
-    min_labelled: int = 5  # branches with fewer labelled pages never stand alone
-    max_children: int = 200  # read by the SQL alone: it merges a level with more distinct segments
+    min_labelled: int = 5  # branches with fewer labelled pages never stand alone, nodes with fewer have no branches
     reject_at: float = 0.5
+    thin: int = 500  # a page with fewer characters of text (white space not counted) is bad
+    links: float = 0.25  # so is one with this share of them in links
+    salts: int = 16  # parts of a template's pages in the join
 
 
 def host_of(url: Column) -> Column:
@@ -76,97 +82,108 @@ def segment_shape(segment: Column) -> Column:
     return F.concat(kind, end)
 
 
-def _level(templates: DataFrame, d: int, p: TreeParams) -> DataFrame:
-    """Merge the branches of level ``d``; adds ``t{d}``."""
-    at = ["host", *[f"t{i}" for i in range(1, d)]]
-    own = templates.groupBy(*at, f"s{d}").agg(F.sum("lab").alias("b_lab"), F.sum("bad").alias("b_bad"))
-    every = own.groupBy(*at).agg(F.sum("b_lab").alias("a_lab"), F.sum("b_bad").alias("a_bad"))
-    rate = F.col("a_bad") / F.col("a_lab")
-    apart = F.abs(F.col("b_bad") / F.col("b_lab") - rate) > p.z * F.sqrt(rate * (1 - rate) / F.col("b_lab")) + 0.05
-    merged = (
-        F.when(F.col(f"s{d}") == "", "")
-        .when(F.col("b_lab") == 0, "{unlabelled}")
-        .when((F.col("b_lab") >= p.min_labelled) & apart, F.col(f"s{d}"))
-        .otherwise("{any}")
-    )
-    names = own.join(every, at).select(*at, f"s{d}", merged.alias(f"t{d}"))
-    return templates.join(names, [*at, f"s{d}"])
+def content(html: Column) -> tuple[Column, Column]:
+    """(characters of text, those in links) of a page, white space not counted."""
+    plain = F.regexp_replace(html, UNSEEN, "")
+    size = lambda c: F.length(F.regexp_replace(c, TAG_OR_SPACE, ""))
+    return size(plain), size(F.array_join(F.regexp_extract_all(plain, F.lit(LINK), F.lit(1)), ""))
+
+
+UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+TAG_OR_SPACE = r"<[^>]*>|[\x20\t\n\r\f]+"
+LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+
+
+def tree(templates: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
+    """``host, shape, template, bad_share`` of ``templates(host, seg, lab, bad)``, level by level."""
+    state = templates.select("host", "seg", "lab", "bad", F.lit("").alias("t"), F.lit(False).alias("done"))
+    deepest = templates.agg(F.max(F.size("seg"))).first()[0] or 0
+    done, rate = None, F.col("a_bad") / F.col("a_lab")
+    for d in range(deepest + 1):
+        open_ = state.where("NOT done").withColumn("s", F.coalesce(F.get("seg", F.lit(d)), F.lit("")))
+        own = open_.groupBy("host", "t", "s").agg(F.sum("lab").alias("b_lab"), F.sum("bad").alias("b_bad"))
+        every = own.groupBy("host", "t").agg(F.sum("b_lab").alias("a_lab"), F.sum("b_bad").alias("a_bad"))
+        apart = F.abs(F.col("b_bad") / F.col("b_lab") - rate) > p.z * F.sqrt(rate * (1 - rate) / F.col("b_lab")) + 0.05
+        few = F.col("a_lab") < p.min_labelled
+        branch = F.when(F.col("s") == "", "").when(few, "/{rest}").when((F.col("b_lab") >= p.min_labelled) & apart, F.concat(F.lit("/"), F.col("s"))).otherwise("/{any}")
+        names = own.join(every, ["host", "t"]).select("host", "t", "s", branch.alias("branch"), ((F.col("s") == "") | few).alias("leaf"))
+        # A host's templates are dealt out by their paths, so a large one isn't one key.
+        names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+        open_ = open_.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(p.salts)).cast("int"))
+        found = cut(open_.join(names, ["host", "t", "s", "salt"]).select("host", "seg", "lab", "bad", F.concat("t", "branch").alias("t"), F.col("leaf").alias("done")))
+        leaves = found.where("done")
+        done = leaves if done is None else done.unionByName(leaves)
+        state = found
+        if found.where("NOT done").isEmpty():
+            break
+    if done is None:
+        done = state
+    share = (F.sum("bad") + F.lit(p.strength * p.prior)) / (F.sum("lab") + F.lit(p.strength))
+    shares = done.groupBy("host", "t").agg(share.alias("bad_share"))
+    rows = done.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(p.salts)).cast("int"))
+    shares = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return rows.join(shares, ["host", "t", "salt"]).select("host", F.array_join("seg", "/").alias("shape"), F.concat("host", "t").alias("template"), "bad_share")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, params: TreeParams = TreeParams()) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, bad_share`` for every row of ``pages``.
 
-    Rules decide first; the tree, which learns from the rules' verdicts and from seed words, decides
-    the rest. The tree works on counted templates, so a host with a third of all pages costs a few rows.
-    """
+    Rules decide first; the tree decides the rest. It works on counted templates, so pages that differ only in
+    values cost one row."""
     p = params
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string")
+    size, links = content(html)
+    read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.struct(size.alias("n"), links.alias("l")).alias("page"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     seeded = F.lit(False)
     for word in seed_words:
         seeded = seeded | F.contains(F.col("host"), F.lit(word))
-    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), segments.alias("seg"), seeded.alias("seeded"))
-    shape = [F.coalesce(segment_shape(F.get(F.col("seg"), d)), F.lit("")).alias(f"s{d + 1}") for d in range(p.levels)]
-    tail = F.when(F.size("seg") > p.levels, "{more}").otherwise("").alias("tail")
-    rows = rows.select("page_id", "host", "path", "rule", "by_rule", "seeded", *shape, tail)
-    key = ["host", *[f"s{d + 1}" for d in range(p.levels)], "tail"]
-    labelled = F.col("by_rule").isNotNull() | F.col("seeded")
-    bad = F.when(F.col("by_rule").isNotNull(), F.col("by_rule") == "block").otherwise(F.col("seeded"))
-    templates = cut(rows.groupBy(*key).agg(F.count_if(labelled).alias("lab"), F.count_if(bad).alias("bad")))
-    for d in range(1, p.levels + 1):
-        templates = cut(_level(templates, d, p))
-    final = ["host", *[f"t{d + 1}" for d in range(p.levels)], "tail"]
-    share = templates.groupBy(*final).agg(
-        ((F.sum("bad") + F.lit(p.strength * p.prior)) / (F.sum("lab") + F.lit(p.strength))).alias("bad_share")
-    )
-    judged = templates.select(*key, *final[1:-1]).join(share, final).select(
-        *key, F.concat_ws("/", F.col("host"), *[F.when(F.col(c) != "", F.col(c)) for c in final[1:]]).alias("template"), "bad_share"
-    )
-    tree = F.when(F.col("bad_share") >= p.reject_at, "block").otherwise("allow")
-    return rows.join(judged, key, "left").select(
-        "page_id", "host", "path", "rule", F.coalesce(F.col("by_rule"), tree).alias("verdict"), "template", F.round("bad_share", 6).alias("bad_share")
+    shapes = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), segment_shape)
+    bad_page = (F.col("page.n") < p.thin) | (F.col("page.l") >= p.links * F.col("page.n"))
+    rows = read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), shapes.alias("seg"), F.when(seeded, True).otherwise(bad_page).alias("bad_page"))
+    bad = F.when(F.col("by_rule").isNotNull(), F.col("by_rule") == "block").otherwise(F.col("bad_page"))
+    rows = cut(rows.select("page_id", "host", "path", "rule", "by_rule", "seg", bad.alias("label")))
+    templates = cut(rows.groupBy("host", "seg").agg(F.count("label").alias("lab"), F.count_if("label").alias("bad")))
+    judged = tree(templates, p).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    rows = rows.withColumn("shape", F.array_join("seg", "/")).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(p.salts)).cast("int"))
+    found = F.when(F.col("bad_share") >= p.reject_at, "block").otherwise("allow")
+    return rows.join(judged, ["host", "shape", "salt"], "left").select(
+        "page_id", "host", "path", "rule", F.coalesce(F.col("by_rule"), found).alias("verdict"), "template", F.round("bad_share", 6).alias("bad_share")
     )
 
 
-def oracle(rules=RULES, seed_words=SEED_WORDS, params: TreeParams = TreeParams()) -> str:
-    """The same in DuckDB SQL, but for levels with more than ``max_children`` distinct segments."""
-    p, n = params, params.levels
+def oracle(rules=RULES, seed_words=SEED_WORDS, params: TreeParams = TreeParams(), levels: int = 5) -> str:
+    """The same in DuckDB SQL, for paths of fewer than ``levels`` segments."""
+    p = params
     rule = "".join(
         f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{q}') THEN {{{i}}}"
         for i, (_, h, q) in sorted(enumerate(rules), key=lambda x: -len(x[1][1] + x[1][2]))
     )
     case = lambda f: "CASE" + rule.format(*[f"'{f(r)}'" for r in rules]) + " END"
     ext = r"\.[A-Za-z][A-Za-z0-9]{0,4}$"
-
-    def shape(d: int) -> str:
-        s = f"coalesce(seg[{d}], '')"
-        stem = f"regexp_replace({s}, '{ext}', '')"
-        return (
-            f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({stem}, '^[0-9]{{1,4}}([-_.][0-9]{{1,4}})+$') THEN '{{date}}' "
-            f"WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') OR length({stem}) > 40 OR regexp_matches({stem}, '[0-9].*[0-9].*[0-9].*[0-9]') THEN '{{id}}' ELSE {stem} END "
-            f"|| regexp_extract({s}, '{ext}') AS s{d}"
-        )
-
-    key = "host, " + ", ".join(f"s{d}" for d in range(1, n + 1)) + ", tail"
-    sql = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-hp AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
-r AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS by_rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, {' OR '.join(f"contains(host, '{w}')" for w in seed_words)} AS seeded FROM hp),
-s AS (SELECT page_id, host, path, rule, by_rule, seeded, {', '.join(shape(d) for d in range(1, n + 1))}, CASE WHEN len(seg) > {n} THEN '{{more}}' ELSE '' END AS tail FROM r),
-l0 AS (SELECT {key}, count(*) FILTER (by_rule IS NOT NULL OR seeded) AS lab, count(*) FILTER (CASE WHEN by_rule IS NOT NULL THEN by_rule = 'block' ELSE seeded END) AS bad FROM s GROUP BY ALL)"""
-    for d in range(1, n + 1):
-        at = ", ".join(["host", *[f"t{i}" for i in range(1, d)]])
-        on = " AND ".join(f"l.{c} = m.{c}" for c in [*at.split(", "), f"s{d}"])
+    stem = f"regexp_replace(s, '{ext}', '')"
+    shape = (
+        f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({stem}, '^[0-9]{{1,4}}([-_.][0-9]{{1,4}})+$') THEN '{{date}}' "
+        f"WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') OR length({stem}) > 40 OR regexp_matches({stem}, '[0-9].*[0-9].*[0-9].*[0-9]') THEN '{{id}}' ELSE {stem} END "
+        f"|| regexp_extract(s, '{ext}')"
+    )
+    size = lambda c: f"length(regexp_replace({c}, '{TAG_OR_SPACE}', '', 'g'))"
+    sql = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest, regexp_replace(html, '{UNSEEN}', '', 'g') AS x FROM pages),
+hp AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  {size('x')} AS n, {size(f"array_to_string(regexp_extract_all(x, '{LINK}', 1), '')")} AS l FROM u),
+r AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS by_rule, {' OR '.join(f"contains(host, '{w}')" for w in seed_words)} AS seeded FROM hp),
+s AS (SELECT page_id, host, path, rule, by_rule, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}) AS seg,
+  CASE WHEN by_rule IS NOT NULL THEN by_rule = 'block' WHEN seeded THEN true ELSE n < {p.thin} OR l >= {p.links}::DOUBLE * n END AS label FROM r),
+l0 AS (SELECT host, seg, count(label) AS lab, count(*) FILTER (label) AS bad, '' AS t, false AS done FROM s GROUP BY host, seg)"""
+    for d in range(1, levels + 1):
         sql += f""",
-o{d} AS (SELECT {at}, s{d}, sum(lab) AS b_lab, sum(bad) AS b_bad FROM l{d - 1} GROUP BY ALL),
-e{d} AS (SELECT *, count(*) OVER w AS a_kids, sum(b_lab) OVER w AS a_lab, sum(b_bad) OVER w AS a_bad FROM o{d} WINDOW w AS (PARTITION BY {at})),
-m{d} AS (SELECT {at}, s{d}, CASE WHEN s{d} = '' THEN '' WHEN b_lab = 0 THEN '{{unlabelled}}' WHEN a_kids > {p.max_children} THEN '{{any}}'
-  WHEN b_lab >= {p.min_labelled} AND abs(b_bad::DOUBLE / b_lab - a_bad::DOUBLE / a_lab) > {p.z}::DOUBLE * sqrt(a_bad::DOUBLE / a_lab * (1 - a_bad::DOUBLE / a_lab) / b_lab) + 0.05::DOUBLE THEN s{d} ELSE '{{any}}' END AS t{d} FROM e{d}),
-l{d} AS (SELECT l.*, m.t{d} FROM l{d - 1} l JOIN m{d} m ON {on})"""
-    final = "host, " + ", ".join(f"t{d}" for d in range(1, n + 1)) + ", tail"
-    name = "concat_ws('/', host, " + ", ".join(f"nullif({c}, '')" for c in final.split(", ")[1:]) + ")"
+o{d} AS (SELECT host, t, coalesce(seg[{d}], '') AS s, sum(lab) AS b_lab, sum(bad) AS b_bad FROM l{d - 1} WHERE NOT done GROUP BY ALL),
+e{d} AS (SELECT *, sum(b_lab) OVER w AS a_lab, sum(b_bad) OVER w AS a_bad FROM o{d} WINDOW w AS (PARTITION BY host, t)),
+m{d} AS (SELECT host, t, s, s = '' OR a_lab < {p.min_labelled} AS leaf, CASE WHEN s = '' THEN '' WHEN a_lab < {p.min_labelled} THEN '/{{rest}}'
+  WHEN b_lab >= {p.min_labelled} AND abs(b_bad::DOUBLE / b_lab - a_bad::DOUBLE / a_lab) > {p.z}::DOUBLE * sqrt(a_bad::DOUBLE / a_lab * (1 - a_bad::DOUBLE / a_lab) / b_lab) + 0.05::DOUBLE THEN '/' || s ELSE '/{{any}}' END AS branch FROM e{d}),
+l{d} AS (SELECT * FROM l{d - 1} WHERE done UNION ALL SELECT l.host, l.seg, lab, bad, l.t || branch, leaf FROM l{d - 1} l JOIN m{d} m ON NOT l.done AND l.host = m.host AND l.t = m.t AND coalesce(l.seg[{d}], '') = m.s)"""
     return sql + f""",
-g AS (SELECT {final}, (sum(bad) + {p.strength * p.prior}::DOUBLE) / (sum(lab) + {p.strength}::DOUBLE) AS bad_share FROM l{n} GROUP BY ALL),
-j AS (SELECT {key}, {name} AS template, bad_share FROM l{n} JOIN g USING ({final}))
+g AS (SELECT host, t, (sum(bad) + {p.strength * p.prior}::DOUBLE) / (sum(lab) + {p.strength}::DOUBLE) AS bad_share FROM l{levels} GROUP BY ALL),
+j AS (SELECT host, seg, host || t AS template, bad_share FROM l{levels} JOIN g USING (host, t))
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bad_share >= {p.reject_at} THEN 'block' ELSE 'allow' END) AS verdict, template, round(bad_share, 6) AS bad_share
-FROM s LEFT JOIN j USING ({key})"""
+FROM s LEFT JOIN j USING (host, seg)"""

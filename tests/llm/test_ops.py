@@ -349,6 +349,17 @@ def test_url_tree_tells_branches_apart_on_wide_levels(spark):
         assert {(r["path"].startswith("/fr/"), r["verdict"]) for r in got} == {(True, "allow"), (False, "block")}
 
 
+def test_url_tree_learns_from_pages_of_an_unruled_host(spark):
+    text, thin = "<p>" + "words of an article " * 60 + "</p>", "<a href=x>" + "buy now " * 60 + "</a>"
+    rows = [(i, f"http://h.test/a/b/c/d/{'x' if i % 2 else 'y'}/{i}", thin if i % 2 else text) for i in range(60)]
+    rows += [(100, "http://h.test/a/b/c/d/x/999", None), (101, "http://h.test/a/b/c/d/y/999", None), (102, "http://h.test/a/b/c/d/x/7", text), (103, "http://h.test/a/b/c/d/y/7", thin)]
+    rows += [(None, "http://h.test/" + "/".join("s" * 30) + "/" + "long" * 20_000, None), (104, "http://other.test/a/b/c/d/x/1", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit(i).alias(c) for i, c in enumerate(("template", "verdict", "tail", "salt", "seg"))])
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in urls.filter_urls(df).collect()}
+    assert len(got) == len(rows) and all(r is None for _, r in got.values())
+    assert got[100][0] == got[102][0] == got[1][0] == "block" and got[101][0] == got[103][0] == got[2][0] == got[104][0] == got[None][0] == "allow"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="with-sidebar"><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies</div><header><h1>Site</h1></header><div id="wrap"><main><article><header><h1>Head &amp; line</h1></header><p><b>Open bold.<br>next<p>Two
  lines &eacute;</p><div class="ad">Buy</div><ul><li>x<li>y</ul><section id="comments"><p>Great!</p></section></article></main>
