@@ -1,12 +1,11 @@
 """Main text of web pages by composite text density.
 
 A tolerant parser builds the tree of elements. Parts that say what they are (navigation, footers,
-forms, scripts, adverts, comments and so on, by element, role, class or id) leave the tree. For every
-node, text density is characters per tag, lowered where link characters and link tags abound; a
-node's sum is that of its children's densities. The subtree of the node with the largest sum is the
-main text. The least density on the path from that node to the body is the threshold: the choice
-grows to its parent while a neighbour reaches the threshold, and to the article or main element
-around it.
+forms, scripts, adverts, comments and so on, by element, role, or a class or id made of such words) leave
+the tree. For every node, text density is characters per tag, lowered where link characters and link tags
+abound; a node's sum is that of its children's densities. The subtree of the node with the largest sum is
+the main text. The least density on the path from that node to the body is the threshold: the choice grows
+to its parent while a neighbour reaches the threshold or nothing else is in the parent.
 
 Edge cases: null, empty and non-HTML input gives what text it holds, or an empty string; unclosed and
 stray tags, broken attributes and truncated pages are read as browsers read them, nearly; repeated
@@ -38,6 +37,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul caption".split()
 )
+CELLS = {"td", "th", "table"}
 #: An element that opens ends these, up to the nearest element of the second set.
 _P = frozenset({"p"})
 _SCOPE = frozenset({"table", "td", "th", "caption", "button", "html", "body", "object", "article", "section", "div", "li", "blockquote", "dd"})
@@ -51,17 +51,25 @@ ENDS = {
     "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup", "body"})),
 }
 DROP = set(
-    "head nav footer aside form script style noscript template iframe svg math button select textarea input dialog menu object embed "
+    "head nav footer aside form script style noscript template iframe svg button select textarea input dialog menu object embed "
     "canvas audio video title xmp noembed noframes datalist search".split()
 )
+#: Elements whose text is running text; a button in it is a word of it.
+RUNNING = {"p", "li", "td", "dd", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of class and id attributes of parts that aren't main text.
+#: Words that name parts that aren't main text.
 DROP_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended "
     "recommendations widget toolbar pagination pager skip masthead copyright disclaimer".split()
 )
+#: Words that may stand beside them in one name. A name with any other word ("social-history") names something else.
+BESIDE = set(
+    "site page global main top bottom left right upper lower primary secondary box list items item wrap wrapper container content block area "
+    "section region bar links link inner outer unit slot panel group row col column header head title text body icon icons button buttons form "
+    "post posts article articles entry entries story stories news media bottom sticky fixed floating mobile desktop js the id class div".split()
+)
 HEADER_WORDS = {"header", "topbar", "masthead"}
 SAFE = {"html", "body", "article", "main"}
 
@@ -91,60 +99,91 @@ def _dropped(tag: str, attrs: str) -> int:
         a = _attributes(attrs)
         if "hidden" in a or a.get("role", "").lower() in DROP_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
             return 1
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a.get("class", "") + " " + a.get("id", "")).lower()))
-        if words & DROP_WORDS:
-            return 3
-        if words & HEADER_WORDS:
-            return 2
+        for name in (a.get("class", "") + " " + a.get("id", "")).split():
+            words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1}
+            if words & DROP_WORDS and words <= DROP_WORDS | BESIDE:
+                return 3
+            if words & HEADER_WORDS and words <= HEADER_WORDS | BESIDE:
+                kind = 2
     return kind
 
 
+class _Open:
+    """The open elements: a path from the root, and for each tag its open ones, so an end tag or an element that
+    closes others looks at a few depths and not along the path."""
+
+    def __init__(self, root: Node):
+        self.path, self.by_tag, self.blocks, self.cells = [root], {}, [], []
+
+    def deepest(self, tags) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.by_tag.setdefault(node.tag, []).append(depth)
+        for kind, tags in ((self.blocks, BLOCK), (self.cells, CELLS)):
+            if node.tag in tags:
+                kind.append(depth)
+
+    def close(self, depth: int) -> None:
+        """Close the element at this depth and all in it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.by_tag[tag].pop()
+            for kind, tags in ((self.blocks, BLOCK), (self.cells, CELLS)):
+                if tag in tags:
+                    kind.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes the innermost such element, but not across a block (inline tags) or cell (p, li)."""
+        depth = self.deepest((tag,))
+        wall = self.cells if tag in ("p", "li") else self.blocks if tag not in BLOCK else []
+        if depth and not (wall and wall[-1] > depth):
+            self.close(depth)
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root and all elements in order; texts are strings among a node's kids."""
+    """The root and all elements in order; texts are strings among a node's kids. Time grows with the page's
+    length alone: no tag is looked for behind the last ">"."""
     root = Node("#root", None)
-    nodes, top, at, n = [root], root, 0, len(page)
+    nodes, open_, at, n = [root], _Open(root), 0, len(page)
+    last = page.rfind(">") + 1
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at < last or page.find("<!", at) >= 0 or page.find("<?", at) >= 0 else None
         if m is None:
             tail = page[at:]
             cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", tail)  # a tag that the page's end cuts off
-            top.kids.append(tail[: cut.start()] if cut else tail)
+            open_.path[-1].kids.append(tail[: cut.start()] if cut else tail)
             break
         if m.start() > at:
-            top.kids.append(page[at : m.start()])
+            open_.path[-1].kids.append(page[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
             if m.group().startswith("<![CDATA["):
-                top.kids.append(m.group()[9:].removesuffix("]]>"))
+                open_.path[-1].kids.append(m.group()[9:].removesuffix("]]>"))
             continue
         tag, ending = name.lower(), m["end"] or m["end2"]
         if ending:
             if tag == "br":
-                top.kids.append(" ")
-                continue
-            x = top
-            while x is not root and x.tag != tag:
-                if tag not in BLOCK and x.tag in BLOCK or tag in ("p", "li") and x.tag in ("td", "th", "table"):
-                    x = root
-                    break
-                x = x.parent
-            if x is not root:
-                top = x.parent
+                open_.path[-1].kids.append(" ")
+            else:
+                open_.end(tag)
             continue
         if tag in ("html", "body") and any(k.tag == tag for k in nodes[1:4]):
             continue
         if tag in ENDS or tag in BLOCK:
             close, scope = ENDS.get(tag, (_P, _SCOPE))
-            x = top
-            while x is not root and x.tag not in close and x.tag not in scope:
-                x = x.parent
-            if x.tag in close and x is not root:
-                top = x.parent
-                if tag == "tr" and top.tag == "tr":
-                    top = top.parent
-        if tag == "body" and top.tag == "head":
-            top = top.parent
+            depth = open_.deepest(close)
+            if depth > open_.deepest(scope - close):
+                open_.close(depth)
+                if tag == "tr" and open_.path[-1].tag == "tr":
+                    open_.close(len(open_.path) - 1)
+        if tag == "body" and open_.path[-1].tag == "head":
+            open_.close(len(open_.path) - 1)
+        top = open_.path[-1]
         attrs = m["attrs"] if m["name"] else m["attrs2"]
         if tag == "br":
             top.kids.append(" ")
@@ -152,11 +191,11 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         top.kids.append(node)
         nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
             node.kids.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not attrs.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-            top = node
+            open_.push(node)
     return root, nodes
 
 
@@ -179,9 +218,15 @@ def prune(nodes: list[Node]) -> None:
             x.drop = int(not inside[id(x)] and id(x) not in around)
         elif x.drop == 3:
             x.drop = int(id(x) not in around)
+        if x.tag == "button" and up is not None and up.tag in RUNNING and not up.drop:
+            x.drop = 0
 
 
 def densities(nodes: list[Node]) -> None:
+    """Characters, tags and composite density of every live node, and the sum of its children's densities.
+
+    Tags are those that shape the page: blocks and links. Inline formatting belongs to the text around it, so
+    the blocks in an inline element are children of the block around that."""
     live = [x for x in nodes if not x.drop]
     for x in live:
         x.chars = x.link_chars = x.tags = x.link_tags = 0
@@ -195,7 +240,7 @@ def densities(nodes: list[Node]) -> None:
             up = x.parent
             up.chars += x.chars
             up.link_chars += x.link_chars
-            up.tags += x.tags + 1
+            up.tags += x.tags + (x.tag in BLOCK or x.tag == "a")
             up.link_tags += x.link_tags
     body = next((x for x in live if x.tag == "body"), live[0])
     share = body.link_chars / max(1, body.chars)
@@ -204,8 +249,10 @@ def densities(nodes: list[Node]) -> None:
         plain = max(1, c - x.link_chars)
         base = math.log(c / plain * lc + share * c + math.e)
         x.density = c / t * math.log(max(1.0, c / lc * t / lt) + math.e - 1) / base if c else 0.0
-    for x in live:
-        x.total = sum(k.density for k in x.kids if not isinstance(k, str) and not k.drop)
+        x.total = 0.0
+    for x in reversed(live):
+        if x.parent is not None:
+            x.parent.total += x.density if x.tag in BLOCK else x.total
 
 
 def choose(nodes: list[Node]) -> Node:
@@ -218,9 +265,6 @@ def choose(nodes: list[Node]) -> Node:
         x = x.parent
     upto = path[: path.index(body) + 1] if body in path else path
     least = min(x.density for x in upto)
-    outer = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
-    if outer:
-        return outer[-1]
     while best is not body and best.parent is not None:
         others = [k for k in best.parent.kids if not isinstance(k, str) and not k.drop and k is not best and k.chars]
         if any(k.density >= least for k in others) or any(isinstance(k, str) and k.strip() for k in best.parent.kids):

@@ -379,6 +379,53 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def densities_by_force(x):
+    """(chars, link chars, tags, link tags) of a live node, by plain recursion over its subtree."""
+    chars = link_chars = tags = link_tags = 0
+    for k in x.kids:
+        if isinstance(k, str):
+            chars += len(k.strip())
+        elif not k.drop:
+            c, lc, t, lt = densities_by_force(k)
+            chars, link_chars, tags, link_tags = chars + c, link_chars + lc, tags + t + (k.tag in html_text.BLOCK or k.tag == "a"), link_tags + lt
+    return (chars, chars, tags, tags + 1) if x.tag == "a" else (chars, link_chars, tags, link_tags)
+
+
+def test_densities_are_those_of_the_subtrees():
+    rng = random.Random(7)
+    for _ in range(60):
+        page = "<body>" + "".join(rng.choice(["<div>", "<p>", "<a href=x>", "</a>", "</div>", "<b>", "</b>", "<ul><li>", "</ul>", "<nav>", "</nav>", "text ", "words of text "]) for _ in range(rng.randrange(60)))
+        _, nodes = html_text.parse(page)
+        html_text.prune(nodes)
+        html_text.densities(nodes)
+        blocks_of = lambda x: [b for k in x.kids if not isinstance(k, str) and not k.drop for b in ([k] if k.tag in html_text.BLOCK else blocks_of(k))]  # noqa: E731, B023
+        live = [x for x in nodes if not x.drop]
+        for x in live:
+            assert (x.chars, x.link_chars, x.tags, x.link_tags) == densities_by_force(x)
+            assert x.total == pytest.approx(sum(b.density for b in blocks_of(x)))
+
+
+def test_only_parts_that_say_what_they_are_go():
+    text = "<p>" + "words of an article here " * 12 + "</p>"
+    kept = ("social-history", "share-of-wealth", "comment-on-war", "has-sidebar", "notice-2024-review", "header-tank-report")
+    gone = ("social", "share-bar", "post-comments", "cookie-notice", "adSlot-300x250", "site-nav", "related-posts", "newsletter-signup-form")
+    for name in kept + gone:
+        for at in ("class", "id"):
+            page = f"<body><div>{text * 3}<div {at}='{name}'><p>{'inner text of the part ' * 4}</p></div>{text}</div></body>"
+            assert ("inner text" in html_text.main_text(page)) == (name in kept), name
+    assert html_text.main_text("<body><p>Press <button>Start</button> and <math>x</math> now.</p></body>") == "Press Start and x now."
+    assert "Buy" not in html_text.main_text(f"<body><div>{text}<button>Buy</button></div></body>")
+
+
+@pytest.mark.parametrize("page", ["<b>" * 80_000 + "</i>" * 80_000, "<i><div>" + "<b>" * 80_000 + "</i>" * 80_000, "<b>" * 80_000 + "<h1>" * 80_000, "<p><table><td>" + "<b>" * 60_000 + "</p>" * 60_000, "<a " * 330_000, "<a '" * 200_000, "<script>" + "</script " * 100_000, "<div>" * 150_000])
+def test_malformed_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 4
+
+
 # Classifier
 
 
