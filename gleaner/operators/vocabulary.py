@@ -138,9 +138,24 @@ def doc_len_summary(doc_stats: DataFrame) -> DataFrame:
 
 
 def corpus_summary(docs: DataFrame) -> DataFrame:
-    """``n_docs, total_tokens_alpha``, and the dates' range where documents have dates."""
-    dates = [F.min("date").alias("date_min"), F.max("date").alias("date_max")] if "date" in docs.columns else []
-    return docs.select("*", F.size(tokens(F.col("text"))).alias("_n")).agg(F.count("*").alias("n_docs"), F.sum("_n").alias("total_tokens_alpha"), *dates)
+    """``n_docs, total_tokens_alpha``, and where documents have them: files, dates and headlines."""
+    has = lambda c, *made: [*made] if c in docs.columns else []
+    more = has("file", F.countDistinct("file").alias("n_files"))
+    more += has("date", F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.countDistinct("date").alias("n_dates"))
+    more += has("headline", F.count_if(F.col("headline") != "").alias("n_headlines"))
+    return docs.select("*", F.size(tokens(F.col("text"))).alias("_n")).agg(F.count("*").alias("n_docs"), F.sum("_n").alias("total_tokens_alpha"), *more)
+
+
+def heaps_residual(points: DataFrame) -> DataFrame:
+    """``residual``: how far the fitted curve is from the points at most, in powers of ten."""
+    fit = heaps_fit(points)
+    off = F.abs(F.log10("n_types") - F.log10(F.col("k") * F.pow("n_tokens", F.col("beta"))))
+    return points.crossJoin(fit).agg(F.coalesce(F.max(off), F.lit(0.0)).alias("residual"))  # forty rows and one
+
+
+def zipf_fitted(points: DataFrame, fit: DataFrame) -> DataFrame:
+    """``rank, term, cf, fitted``: the frequency that the fitted line gives to a rank."""
+    return points.crossJoin(fit).select("rank", "term", "cf", F.pow(F.lit(10.0), F.col("intercept") + F.col("slope") * F.log10("rank")).alias("fitted"))  # one row
 
 
 def one(index: Index, treatment: str) -> Index:

@@ -27,6 +27,10 @@ PAIRS = (
 )
 
 
+#: Values of two small groups whose intervals SQL can follow.
+SAMPLE = (("a", [0.0, 0.1, 0.25, 0.5, 0.5, 0.75, 0.9, 1.0]), ("b", [0.2, 0.0, 0.0, 0.0, 0.05, 0.4, 0.0, 0.6]))
+
+
 def pair_label(a: str, b: str) -> str:
     """A heading made from the two runs' keys: what they share, then what differs."""
     if a.startswith("treat:"):
@@ -153,3 +157,8 @@ def judged_differences(pairs: DataFrame, hairline: float = 0.0005) -> DataFrame:
     apart = (F.col("lo") > 0) | (F.col("hi") < 0)
     edge = F.least(F.abs("lo"), F.abs("hi"))
     return pairs.withColumn("excludes_zero", apart).withColumn("hairline", apart & (edge < hairline))
+
+
+def sorted_differences(pairs: DataFrame) -> DataFrame:
+    """``key, place, diff``: a comparison's differences by topic, the largest gain first."""
+    return pairs.select("key", F.posexplode(F.sort_array("diffs", asc=False)).alias("place", "diff"))

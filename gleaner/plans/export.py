@@ -13,7 +13,7 @@ import json
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import evaluation, index, ranking, vocabulary
@@ -54,7 +54,7 @@ def contract(name: str, **fields) -> dict:
 
 def rows(df: DataFrame, *order: str) -> list[dict]:
     """A small result in a fixed order; doubles to six places."""
-    tidy = lambda v: round6(v) if isinstance(v, float) else [tidy(x) for x in v] if isinstance(v, list) else v
+    tidy = lambda v: round6(v) if isinstance(v, float) else [tidy(x) for x in v] if isinstance(v, list) else v.isoformat() if isinstance(v, datetime.date) else v
     return [{k: tidy(v) for k, v in r.asDict(recursive=True).items()} for r in df.orderBy(*order).collect()]
 
 
@@ -65,21 +65,67 @@ def check_order(built: index.Index, docs: DataFrame) -> None:
         raise ValueError("documents and index disagree about the documents' order")
 
 
-def search_index(built: index.Index, docs: DataFrame, treatment: str = "stem_stop") -> dict:
-    """The browser's index: document names and lengths, gap-coded postings by term; never texts."""
+def search_index(built: index.Index, docs: DataFrame, treatment: str = "stem_stop", most_docs: int = 1_000_000) -> dict:
+    """The one file that a browser loads: document names and lengths, gap-coded postings by term; never texts.
+    A collection of more documents than a browser can hold is refused; ``write_index`` takes any."""
     check_order(built, docs)
     built = vocabulary.one(built, treatment)
     collection = built.collection.first()
+    if collection["n_docs"] > most_docs:
+        raise ValueError(f"{collection['n_docs']} documents are too many for one file; write_index writes tables")
     date = F.col("date").cast("string") if "date" in docs.columns else F.lit("")
     names = docs.select("doc_idx", "docno", date.alias("d"), "headline").orderBy("doc_idx").collect()
+    coded = index.gap_encode(built.postings, span=most_docs)  # one block
     return {
         "schema": "search_index.v1", "n_docs": collection["n_docs"], "avgdl": round6(collection["avgdl"]), "k1": ranking.K1, "b": ranking.B,
         "docs": [{"no": r["docno"], "d": r["d"], "h": r["headline"]} for r in names],
         "doc_len": [r["doc_len"] for r in built.doc_stats.orderBy("doc_idx").collect()],
-        "terms": {r["term"]: list(r["gaps"]) for r in index.gap_encode(built.postings).orderBy("term").collect()},
+        "terms": {r["term"]: list(r["gaps"]) for r in coded.orderBy("term").collect()},
     }
 
 
+def read_search_index(spark: SparkSession, data: bytes, treatment: str = "stem_stop") -> index.Index:
+    """A search index of one file, gzipped or not, as the tables that rank."""
+    raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    found = json.loads(raw)
+    if found.get("schema") != "search_index.v1":
+        raise ValueError(f"not a search index: {found.get('schema')!r}")
+    docs = [(i, d["no"], d["d"], d["h"], n) for i, (d, n) in enumerate(zip(found["docs"], found["doc_len"], strict=True))]
+    docs = spark.createDataFrame(docs, "doc_idx long, docno string, date string, headline string, doc_len long")
+    coded = spark.createDataFrame([(treatment, t, 0, g) for t, g in found["terms"].items()], "treatment string, term string, block long, gaps array<long>")
+    postings = index.gap_decode(coded).join(docs.select("doc_idx", "doc_len"), "doc_idx")
+    return index.tables(docs.drop("doc_len"), [treatment], postings.select("treatment", "term", "doc_idx", "tf", "doc_len"))
+
+
+def write_index(built: index.Index, path: str) -> None:
+    """An index of any size as tables of gap-coded blocks; nothing passes the driver."""
+    index.gap_encode(built.postings).write.parquet(f"{path}/blocks")
+    built.docs.drop("text").write.parquet(f"{path}/docs")
+    built.doc_stats.write.parquet(f"{path}/doc_stats")
+
+
+def read_index(spark: SparkSession, path: str) -> index.Index:
+    """What ``write_index`` wrote."""
+    blocks, docs, lengths = (spark.read.parquet(f"{path}/{n}") for n in ("blocks", "docs", "doc_stats"))
+    postings = index.gap_decode(blocks).join(lengths, ["treatment", "doc_idx"]).select("treatment", "term", "doc_idx", "tf", "doc_len")
+    return index.tables(docs, [r["treatment"] for r in lengths.select("treatment").distinct().collect()], postings)
+
+
+def write_course_text(built: index.Index, path: str, inverted: bool = True) -> None:
+    """An index as lines of text, ``key: k: v; k: v``: documents of a term, or terms of a document."""
+    pair = F.struct("doc_idx", "docno", "tf") if inverted else F.struct(F.col("term").alias("doc_idx"), F.col("term").alias("docno"), "tf")
+    rows = built.postings.join(built.docs.select("doc_idx", "docno"), "doc_idx")
+    lists = rows.groupBy("term" if inverted else "docno").agg(F.array_sort(F.collect_list(pair)).alias("x"))
+    body = F.array_join(F.transform("x", lambda e: F.concat_ws(": ", e["docno"], e["tf"].cast("string"))), "; ")
+    lists.select(F.concat_ws(": ", F.col("term" if inverted else "docno"), body).alias("value")).write.text(path)
+
+
+def read_course_text(spark: SparkSession, path: str) -> DataFrame:
+    """``key, item, tf`` of such lines."""
+    line = spark.read.text(path).where("value <> ''").select(F.regexp_extract("value", r"^(.*?): (.*)$", 1).alias("key"), F.explode(F.split(F.regexp_extract("value", r"^(.*?): (.*)$", 2), "; ")).alias("p"))
+    return line.select("key", F.regexp_extract("p", r"^(.*): (\d+)$", 1).alias("item"), F.regexp_extract("p", r"^(.*): (\d+)$", 2).cast("long").alias("tf"))
+
+
 def golden(topics: DataFrame, built: index.Index, ranker: str, treatment: str = "stem_stop") -> dict:
     """Ten best documents of each topic that has hits, by title."""
     found = ranking.run(topics, built, ("title",), (ranker,), (treatment,), top_n=10).orderBy("num", "rank").collect()

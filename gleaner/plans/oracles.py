@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from gleaner.functions import porter
 from gleaner.functions.analysis import FIELDS, STOPWORDS
+from gleaner.operators.index import TREATMENTS
 from gleaner.operators.ranking import B, K1, RANKERS, TOP_N
-from gleaner.operators.statistics import DOC_LEN_BINS, POSTING_BINS
-from gleaner.plans.experiments import GRID_B, GRID_K1
+from gleaner.operators.statistics import DOC_LEN_BINS, N_BOOT, POSTING_BINS, SEED
+from gleaner.plans.experiments import GRID_B, GRID_K1, PAIRS, SAMPLE, pair_label
 
 
 def _list(items) -> str:
@@ -62,30 +66,108 @@ PARTS = {
     + " FROM et CROSS JOIN keys LEFT JOIN got USING (ranker, field, num)",
     "rt": "SELECT row_number() OVER (ORDER BY cf DESC, term) AS rank, term, df, cf FROM ts",
 }
-_ORDER = list(PARTS)
-
-
-def _needs(names: set[str]) -> set[str]:
+def _needs(names: set[str], parts: dict[str, str]) -> set[str]:
     import re
 
     out, todo = set(), set(names)
     while todo:
         n = todo.pop()
         out.add(n)
-        todo |= {m for m in _ORDER if m not in out and re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", PARTS[n])}
+        todo |= {m for m in parts if m not in out and re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", parts[n])}
     return out
 
 
-def _with(body: str, **more: str) -> str:
-    """``body`` after the parts that it and ``more`` read."""
+def _with(body: str, treatment: str = "nostem_stop", **more: str) -> str:
+    """``body`` after the parts that it and ``more`` read, for a treatment of the texts."""
     import re
 
+    parts = _parts(treatment)
     text = " ".join([body, *more.values()])
-    first = {m for m in _ORDER if re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", text)}
-    ctes = [f"{n} AS ({PARTS[n]})" for n in _ORDER if n in _needs(first)] + [f"{n} AS ({sql})" for n, sql in more.items()]
+    first = {m for m in parts if re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", text)}
+    needed = _needs(first, parts)
+    ctes = [f"{n} AS {'MATERIALIZED ' if n == 'stems' else ''}({parts[n]})" for n in parts if n in needed] + [f"{n} AS ({sql})" for n, sql in more.items()]
     return f"WITH {', '.join(ctes)} {body}"
 
 
+_LETTERS = "".join(chr(c) for c in range(97, 123) if chr(c) != "y")
+
+
+def _shape_sql(word: str) -> str:
+    """c and v for a word's letters; a y is a vowel after a consonant. Each turn settles two of a run of y."""
+    out = f"translate({word}, '{_LETTERS}', '{''.join('v' if c in 'aeiou' else 'c' for c in _LETTERS)}')"
+    for _ in range(3):
+        out = f"regexp_replace(regexp_replace({out}, 'cy', 'cv', 'g'), '(^|v)y', '\\1c', 'g')"
+    return out
+
+
+def _stem_parts() -> dict[str, str]:
+    """The steps of the stemmer as tables, from ``vocab(term)`` to ``stems(term, stem)``."""
+    m = "((len(sh) - len(replace(sh, 'vc', ''))) // 2)"
+    short = "(len(st) > 2 AND right(sh, 3) = 'cvc' AND right(st, 1) NOT IN ('w', 'x', 'y'))"
+    cut = lambda n: f"left(w, len(w) - {n})"
+    ends = lambda e: f"ends_with(w, '{e}')"
+    vowel = lambda x: f"contains({_shape_sql(x)}, 'v')"
+    split = lambda source: f"SELECT term, w, suf, st, {_shape_sql('st')} AS sh FROM (SELECT term, w, suf, left(w, len(w) - len(suf)) AS st FROM {source})"
+    pick = lambda source, when: f"SELECT term, w, CASE {when} ELSE '' END AS suf FROM {source}"
+    swap = lambda table: " ".join(f"WHEN suf = '{a}' THEN st || '{b}'" for a, b in table)
+    out = {
+        "s0": "SELECT DISTINCT term, term AS w FROM vocab WHERE len(term) > 2",
+        "s1": f"SELECT term, CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE w END AS w FROM s0",
+        "s2": pick("s1", f"WHEN {ends('eed')} THEN 'eed' WHEN {ends('ed')} AND {vowel(cut(2))} THEN 'ed' WHEN {ends('ing')} AND {vowel(cut(3))} THEN 'ing'"),
+        "s3": split("s2"),
+        "s4": f"""SELECT term, CASE WHEN suf = '' THEN w WHEN suf = 'eed' THEN CASE WHEN {m} > 0 THEN {cut(1)} ELSE w END WHEN regexp_matches(st, '(at|bl|iz)$') THEN st || 'e'
+          WHEN len(st) > 1 AND right(st, 1) = left(right(st, 2), 1) AND right(sh, 1) = 'c' THEN CASE WHEN right(st, 1) IN ('l', 's', 'z') THEN st ELSE left(st, len(st) - 1) END
+          WHEN {m} = 1 AND {short} THEN st || 'e' ELSE st END AS w FROM s3""",
+        "s5": f"SELECT term, CASE WHEN {ends('y')} AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END AS w FROM s4",
+    }
+    source = "s5"
+    for n, table in (("6", porter._TWO), ("7", porter._THREE)):
+        out[f"s{n}a"] = pick(source, " ".join(f"WHEN {ends(a)} THEN '{a}'" for a, _ in table))
+        out[f"s{n}b"] = split(f"s{n}a")
+        out[f"s{n}"] = f"SELECT term, CASE WHEN suf = '' OR {m} = 0 THEN w {swap(table)} END AS w FROM s{n}b"
+        source = f"s{n}"
+    out["s8a"] = pick("s7", " ".join(f"WHEN {ends(a)}" + (f" AND right({cut(3)}, 1) IN ('s', 't')" if a == "ion" else "") + f" THEN '{a}'" for a in porter._FOUR))
+    out["s8b"] = split("s8a")
+    out["s8"] = f"SELECT term, CASE WHEN suf <> '' AND {m} > 1 THEN st ELSE w END AS w FROM s8b"
+    out["s9a"] = pick("s8", f"WHEN {ends('e')} THEN 'e'")
+    out["s9b"] = split("s9a")
+    out["s9"] = f"SELECT term, CASE WHEN suf = 'e' AND ({m} > 1 OR {m} = 1 AND NOT {short}) THEN st ELSE w END AS w FROM s9b"
+    out["s10"] = f"SELECT term, w, w AS st, {_shape_sql('w')} AS sh FROM s9"
+    out["stems"] = f"SELECT term, CASE WHEN {ends('ll')} AND {m} > 1 THEN {cut(1)} ELSE w END AS stem FROM s10 UNION ALL SELECT DISTINCT term, term FROM vocab WHERE len(term) <= 2"
+    return out
+
+
+def _parts(treatment: str) -> dict[str, str]:
+    """``PARTS`` for a treatment: which words are kept, and whether documents and queries hold words or stems."""
+    stemmed, stop = TREATMENTS[treatment]
+    parts = {}
+    for n, sql in PARTS.items():
+        if n == "kept":
+            sql = "SELECT doc_idx, term, pos FROM tok" + (" WHERE term NOT IN (SELECT w FROM stops)" if stop else "")
+            if stemmed:
+                parts["qw0"] = f"SELECT num, field, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT num, field, {_words('q')} AS l FROM (SELECT item_id AS num, * FROM (SELECT num AS item_id, field, q FROM fields)))"
+                parts["vocab"] = "SELECT term FROM tok UNION SELECT term FROM qw0"
+                parts |= _stem_parts()
+                sql = f"SELECT doc_idx, stem AS term, pos FROM ({sql}) JOIN stems USING (term)"
+        if n == "ql" and not stop:
+            sql = f"SELECT num, field, {_words('q')} AS l FROM fields"
+        if n == "qw" and stemmed:
+            sql = f"SELECT num, field, stem AS term, pos FROM ({sql}) JOIN stems USING (term)"
+        parts[n] = sql
+    # Tables that a part reads come before it.
+    order: list[str] = []
+
+    def put(n: str) -> None:
+        if n not in order:
+            for m in sorted(_needs({n}, parts) - {n}):
+                put(m)
+            order.append(n)
+
+    for n in parts:
+        put(n)
+    return {n: parts[n] for n in order}
+
+
 def _r6(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -185,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_len_hist": _hist("ds", "doc_len", DOC_LEN_BINS),
         "posting_summary": _with("SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(avg(df), 6) AS mean_len, round(quantile_cont(df, 0.5), 6) AS median_len, max(df) AS max_len, round(avg((df = 1)::INT), 6) AS df1_share FROM ts"),
         "doc_len_summary": _with("SELECT round(avg(doc_len), 6) AS mean, round(quantile_cont(doc_len, 0.5), 6) AS median, round(quantile_cont(doc_len, 0.1), 6) AS p10, round(quantile_cont(doc_len, 0.9), 6) AS p90, max(doc_len) AS max FROM ds"),
-        "corpus_summary": _with("SELECT count(*) AS n_docs, sum(len(l))::BIGINT AS total_tokens_alpha FROM words"),
+        "corpus_summary": _with("SELECT count(*) AS n_docs, sum(len(l))::BIGINT AS total_tokens_alpha, count(*) FILTER (string_split(text, chr(10))[1] <> '') AS n_headlines FROM words JOIN docs USING (doc_idx)"),
         "sgml_parse": "SELECT * FROM (VALUES (0::BIGINT, 'X-9', DATE '2005-01-02', '', 'No headline.'), (1, 'X-10', DATE '1991-12-31', 'Café and more', 'One & two.' || ' ' || chr(10) || 'Three.')) t(doc_idx, docno, date, headline, text)",
         "topic_parse": "SELECT * FROM (VALUES (7, 'jet engine', 'Documents about jets.', 'Any jet.'), (3, 'bank money', 'About banks.', 'Any bank.')) t(num, title, \"desc\", narr)",
         "qrels_parse": "SELECT * FROM (VALUES (7, 'X-9', 1), (7, 'X-10', 1), (3, 'X-9', 1)) t(num, docno, rel)",
@@ -217,4 +299,36 @@ def oracle_sql() -> dict[str, str]:
     out["funnel_drops"] = f"""SELECT step, round(n_tokens / n0, 6) AS kept_tokens, round(n_types / t0, 6) AS kept_types, coalesce(n0 - n_tokens = max(n0 - n_tokens) OVER (), false) AS largest_drop
       FROM (SELECT *, lag(n_tokens) OVER w AS n0, lag(n_types) OVER w AS t0 FROM ({out['vocab_funnel']}) WINDOW w AS (ORDER BY list_position(['raw_alpha', 'minus_digits', 'minus_stopwords'], step)))"""
     out["bm25_grid_best"] = f"SELECT * FROM ({grid}) ORDER BY map DESC, k1, b LIMIT 1"
+    out["stem_of_words"] = f"SELECT term, stem FROM ({_with('SELECT term, stem FROM stems', 'stem_stop')}) WHERE term IN (SELECT term FROM ({out['term_stats']}))"
+    counts = "SELECT '{t}' AS treatment, n_docs, total_tokens, (SELECT count(*) FROM ts) AS n_types, round(avgdl, 6) AS avgdl FROM cs"
+    out["stem_treatments"] = " UNION ALL ".join(f"SELECT * FROM ({_with(counts.format(t=t), t)})" for t in TREATMENTS)
+    out["vocab_funnel_stemmed"] = f"{out['vocab_funnel']} UNION ALL SELECT 'stemmed' AS step, n_types, n_tokens FROM ({_with('SELECT (SELECT count(*) FROM ts) AS n_types, total_tokens AS n_tokens FROM cs', 'stem_stop')})"
+    out["bm25_stemmed_top10"] = _with("SELECT num, rank::INTEGER AS rank, docno, round(score, 6) AS score FROM run WHERE ranker = 'bm25' AND field = 'title' AND rank <= 10", "stem_stop")
+    out["stem_groups"] = _with(
+        """SELECT stem, n_words, stem_cf, place::INTEGER AS place, term, cf FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY cf DESC, term) AS place FROM w JOIN b USING (stem)) WHERE place <= 8""",
+        "stem_stop",
+        w="SELECT term, stem, count(*) AS cf FROM tok JOIN stems USING (term) WHERE term NOT IN (SELECT w FROM stops) GROUP BY ALL",
+        b="SELECT stem, count(*) AS n_words, sum(cf)::BIGINT AS stem_cf FROM w GROUP BY 1 ORDER BY n_words DESC, stem_cf DESC, stem LIMIT 12",
+    )
+    treated = {t: _with("SELECT num, ap, p10 FROM pt WHERE run_key = 'bm25|title'", t) for t in TREATMENTS}
+    out["treatment_means"] = " UNION ALL ".join(f"SELECT '{t}' AS treatment, round(avg(ap), 6) AS map, round(avg(p10), 6) AS p10 FROM ({sql})" for t, sql in treated.items())
+    pairs = ", ".join(f"('{k}', '{a}', '{b}', '{pair_label(a, b)}')" for k, a, b in PAIRS)
+    out["paired_counts"] = f"""WITH every AS (SELECT run_key, num, ap FROM ({_with("SELECT run_key, num, ap FROM pt", "stem_stop")}) {" ".join(f"UNION ALL SELECT 'treat:{t}', num, ap FROM ({sql})" for t, sql in treated.items())}),
+pair AS (SELECT * FROM (VALUES {pairs}) t(key, a, b, label)), d AS (SELECT key, label, x.ap - y.ap AS d FROM pair JOIN every x ON x.run_key = a JOIN every y ON y.run_key = b AND x.num = y.num)
+SELECT key, label, round(avg(d), 6) AS mean_diff, count(*) FILTER (d >= 1e-9) AS wins, count(*) FILTER (d <= -1e-9) AS losses, count(*) FILTER (abs(d) < 1e-9) AS ties FROM d GROUP BY ALL"""
+    out["sorted_differences"] = out["paired_counts"].split("SELECT key, label, round(avg(d)")[0].replace("SELECT key, label, x.ap", "SELECT key, x.ap") + "SELECT key, (row_number() OVER (PARTITION BY key ORDER BY d DESC) - 1)::INTEGER AS place, round(d, 6) AS diff FROM d"
+    heaps = out["heaps_fit"].replace("SELECT round(CASE", "SELECT CASE", 1).replace("END, 6) AS k, round(CASE", "END AS k, CASE").replace("END, 6) AS beta", "END AS beta")
+    out["heaps_residual"] = f"SELECT round(max(abs(log10(n_types) - log10(k * n_tokens ** beta))), 6) AS residual FROM ({out['heaps_points']}) CROSS JOIN ({heaps})"
+    line = _with("SELECT regr_slope(log10(cf), log10(rank)) AS slope, regr_intercept(log10(cf), log10(rank)) AS intercept FROM rt WHERE rank <= 1000")
+    out["zipf_fitted"] = f"SELECT rank, term, cf, round(10 ** (intercept + slope * log10(rank)), 6) AS fitted FROM ({out['zipf_points']}) CROSS JOIN ({line})"
+    out["formatted_measures"] = _with(
+        "SELECT format('{:,}', sum(n_judged)::BIGINT) AS n_judged, printf('%.3f', round(avg(ap), 6)) AS map, printf('%.1f', round(avg(p10), 6) * 100) || '%' AS p10, printf('%.3f', round(-avg(ap), 6)) AS loss FROM pt WHERE run_key = 'bm25|title'"
+    )
+    # The resamples are those of the generator that defines the intervals: one table of places for all groups of this size.
+    places = np.random.default_rng(SEED).integers(0, len(SAMPLE[0][1]), size=(N_BOOT, len(SAMPLE[0][1])))
+    drawn = "[" + ", ".join("[" + ", ".join(str(i + 1) for i in row) + "]" for row in places.tolist()) + "]"
+    groups = ", ".join(f"('{k}', {_list(v)}::DOUBLE[])" for k, v in SAMPLE)
+    out["bootstrap_sample"] = f"""WITH g AS (SELECT * FROM (VALUES {groups}) t(name, x)), r AS (SELECT unnest({drawn}) AS places),
+m AS (SELECT name, x, list_avg(list_transform(places, lambda i: x[i])) AS m FROM g CROSS JOIN r)
+SELECT name, round(list_avg(any_value(x)), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY name"""
     return out

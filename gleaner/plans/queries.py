@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import formats
 from gleaner.functions.analysis import FIELDS, raw_tokens, tokens
 from gleaner.functions.porter import stem_map
 from gleaner.operators import evaluation, index, ranking, statistics, vocabulary
@@ -339,6 +340,23 @@ def treatment_table(spark, sf):
     return rows.select("treatment", "n_types", "metric", *r6("mean", "lo", "hi"))
 
 
+@query
+def treatment_means(spark, sf):
+    return _treated(spark, sf).groupBy("treatment").agg(F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("p10"), 6).alias("p10"))
+
+
+@query
+def paired_counts(spark, sf):
+    rows = experiments.comparisons(_main(spark, sf, "stem_stop", *index.TREATMENTS), _treated(spark, sf), intervals=False)
+    return rows.select("key", "label", *r6("mean_diff"), "wins", "losses", "ties")
+
+
+@query
+def bootstrap_sample(spark, sf):
+    rows = spark.createDataFrame([(k, i, x) for k, v in experiments.SAMPLE for i, x in enumerate(v)], "name string, num int, value double")
+    return statistics.bootstrap(rows, ["name"]).select("name", *r6("mean", "lo", "hi"))
+
+
 @query
 def paired_comparisons(spark, sf):
     rows = experiments.comparisons(_main(spark, sf, "stem_stop", *index.TREATMENTS), _treated(spark, sf))
@@ -431,6 +449,29 @@ def doc_len_hist_trimmed(spark, sf):
     return vocabulary.trimmed(statistics.histogram(_index(spark, sf).doc_stats, "doc_len", statistics.DOC_LEN_BINS))
 
 
+@query
+def heaps_residual(spark, sf):
+    return vocabulary.heaps_residual(vocabulary.heaps_points(_docs(spark, sf), lengths=_index(spark, sf).doc_stats)).select(*r6("residual"))
+
+
+@query
+def zipf_fitted(spark, sf):
+    terms = _index(spark, sf).term_stats
+    return vocabulary.zipf_fitted(vocabulary.zipf_points(terms), vocabulary.zipf_fit(terms)).select("rank", "term", "cf", *r6("fitted"))
+
+
+@query
+def sorted_differences(spark, sf):
+    pairs = experiments.comparisons(_main(spark, sf, "stem_stop", *index.TREATMENTS), _treated(spark, sf), intervals=False)
+    return experiments.sorted_differences(pairs).select("key", "place", *r6("diff"))
+
+
+@query
+def formatted_measures(spark, sf):
+    rows = _bm25(spark, sf).agg(F.avg("ap").alias("ap"), F.avg("p10").alias("p10"), F.sum("n_judged").alias("n"))
+    return rows.select(formats.whole(F.col("n")).alias("n_judged"), formats.score(F.round("ap", 6)).alias("map"), formats.percent(F.round("p10", 6)).alias("p10"), formats.signed(F.round(-F.col("ap"), 6)).alias("loss"))
+
+
 @query
 def dead_topics(spark, sf):
     return experiments.dead_topics(_main(spark, sf))

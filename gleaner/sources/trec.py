@@ -28,16 +28,18 @@ def _every(body: Column, tag: str) -> Column:
 
 
 def parse_sgml(files: DataFrame) -> DataFrame:
-    """``docno, date, headline, text`` of the DOC records in ``files(value)``; a record without DOCNO, DATE or TEXT is an error."""
-    body = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<DOC>(.*?)</DOC>"), 1)).alias("body"))
+    """``docno, date, headline, text`` (and ``file``, where there is one) of the DOC records in ``files(value)``; a record without DOCNO, DATE or TEXT is an error."""
+    about = [F.col("file")] if "file" in files.columns else []
+    body = files.select(*about, F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<DOC>(.*?)</DOC>"), 1)).alias("body"))
     rows = body.select(
+        *about,
         strip(_first(F.col("body"), "DOCNO")).alias("docno"), _first(F.col("body"), "DATE").alias("date"),
         _first(F.col("body"), "HEADLINE").alias("headline"), _every(F.col("body"), "TEXT").alias("texts"),
     )
     whole = (F.col("docno") != "") & (strip(F.col("date")) != "") & (F.size("texts") > 0)
     missing = F.concat(F.lit("record without DOCNO, DATE or TEXT: "), F.col("docno"))
     text = F.when(whole, F.array_join("texts", "\n")).otherwise(F.raise_error(missing).cast("string"))
-    return rows.select("docno", iso_date(F.col("date")).alias("date"), clean_headline(unescape("headline")).alias("headline"), strip(unescape(text)).alias("text"))
+    return rows.select("docno", iso_date(F.col("date")).alias("date"), clean_headline(unescape("headline")).alias("headline"), strip(unescape(text)).alias("text"), *about)
 
 
 def with_positions(docs: DataFrame, order: Column, span: int = 1 << 16) -> DataFrame:
@@ -61,16 +63,16 @@ def with_positions(docs: DataFrame, order: Column, span: int = 1 << 16) -> DataF
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of SGML files as ``doc_idx, docno, date, headline, text``, by the number in the docno."""
+    """A directory of SGML files as ``doc_idx, docno, date, headline, text, file``, by the number in the docno."""
     try:
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
         empty = files.isEmpty()
     except Exception as e:
         raise FileNotFoundError(f"no corpus in {path}; SOURCE.md says where collections come from") from e
     if empty:
         raise FileNotFoundError(f"no corpus files in {path}; SOURCE.md says where collections come from")
     docs = parse_sgml(files)
-    return with_positions(docs, F.element_at(F.split("docno", "-"), 2)).select("doc_idx", "docno", "date", "headline", "text")
+    return with_positions(docs, F.element_at(F.split("docno", "-"), 2)).select("doc_idx", "docno", "date", "headline", "text", "file")
 
 
 def parse_topics(files: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import analysis
+from gleaner.functions import analysis, formats
 from gleaner.functions.porter import stem
 from gleaner.operators import evaluation, index, ranking, statistics, vocabulary
-from gleaner.plans import experiments, export
+from gleaner.plans import experiments, export, provenance
 from gleaner.sources import trec
 
 SENTENCE = "The jet's engine roared 3 times, B2 bombers!"
@@ -270,3 +270,75 @@ def test_flags(spark):
     rows = spark.createDataFrame([("a", 0.0001, 0.2), ("b", -0.1, 0.2), ("c", -0.3, -0.1)], "key string, lo double, hi double")
     got = {r["key"]: (r["excludes_zero"], r["hairline"]) for r in experiments.judged_differences(rows).collect()}
     assert got == {"a": (True, True), "b": (False, False), "c": (True, False)}
+
+
+def test_formats(spark):
+    row = spark.createDataFrame([(319795.4, 0.2431, -0.0001, 2.015, 31.41, "1991-05-14", "n/a")], "n double, p double, z double, r double, s double, d string, e string").select(
+        formats.whole(F.col("n")), formats.percent(F.col("p")), formats.percent(F.col("p"), 0), formats.fixed(F.col("z")), formats.signed(F.col("p")), formats.signed(F.col("z")),
+        formats.times(F.col("r")), formats.times(F.col("s")), formats.interval(F.col("z"), F.col("p")), formats.long_date(F.col("d")), formats.long_date(F.col("e")), formats.points(F.lit(43.7)), formats.megabytes(F.lit(1249317)),
+    ).first()
+    assert list(row) == ["319,795", "24.3%", "24%", "0.00", "+0.243", "0.000", "2.0x", "31x", "95% CI 0.000 to 0.243", "14 May 1991", "n/a", "43.7%", 1.25]
+
+
+def test_index_survives_files(spark, tmp_path):
+    texts = [*DOCS, "", "durian apple"]
+    ix = built(spark, texts, "stem_stop")
+    docs = spark.createDataFrame([(i, f"D{i}", f"h{i}", t) for i, t in enumerate(texts)], "doc_idx long, docno string, headline string, text string")
+    one = export.search_index(ix, docs)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    export.write_index(ix, str(tmp_path / "ix"))
+    for back in (export.read_search_index(spark, export.gzip_json(one)), export.read_search_index(spark, __import__("json").dumps(one).encode()), export.read_index(spark, str(tmp_path / "ix"))):
+        for t in ("postings", "doc_stats", "term_stats", "collection", "norms"):
+            assert same(getattr(ix, t), getattr(back, t)), t
+    with pytest.raises(ValueError, match="search index"):
+        export.read_search_index(spark, b'{"schema": "other.v1"}')
+    with pytest.raises(ValueError, match="too many"):
+        export.search_index(ix, docs, most_docs=2)
+    for inverted in (True, False):
+        export.write_course_text(ix, str(tmp_path / f"t{inverted}"), inverted)
+        rows = export.read_course_text(spark, str(tmp_path / f"t{inverted}")).collect()
+        want = {(r["term"], f"D{r['doc_idx']}", r["tf"]) for r in ix.postings.collect()}
+        assert {(r["key"], r["item"], r["tf"]) if inverted else (r["item"], r["key"], r["tf"]) for r in rows} == want
+
+
+def test_reports_claims_and_provenance(spark, tmp_path):
+    data = tmp_path / "raw"
+    data.mkdir()
+    texts = ["apple pies and apple trees", "banana boats", "apple banana cherry", "cherry trees grow", "nothing of it"]
+    for i, t in enumerate(texts):
+        (data / f"f{i % 2}").open("a").write(f"<DOC><DOCNO>X-{i}</DOCNO><DATE>91051{i}</DATE><HEADLINE>{'h' if i else ''}</HEADLINE><TEXT>{t}</TEXT></DOC>\n")
+    docs = trec.read_corpus(spark, str(data))
+    topics = spark.createDataFrame([(1, "apple", "trees", "pies"), (2, "cherry", "", "grow"), (3, "zebra", "", "")], "num int, title string, desc string, narr string")
+    qrels = spark.createDataFrame([(1, "X-0", 1), (1, "X-2", 0), (2, "X-3", 1), (3, "X-4", 1)], "num int, docno string, rel int")
+    found = export.reports(docs, topics, qrels, ("and", "of"))
+    assert (found["corpus"]["n_files"], found["corpus"]["n_dates"], found["corpus"]["n_headlines"], found["corpus"]["date_min"]) == (2, 5, 4, "1991-05-10")
+    sizes = export.write_reports(tmp_path / "out", found)
+    assert set(sizes) == {f"{n}.json" for n in found} and provenance.read_json(tmp_path / "out", "corpus") == found["corpus"]
+    values = provenance.all_claims({n: provenance.read_json(tmp_path / "out", n) for n in found}, 1_249_317)["values"]
+    assert len(values) >= 66 and values["n_docs"] == 5 and values["index_gz_mb"] == 1.25 and values["n_topics_eval"] == 3
+    main = {(r["run_key"], r["metric"]): r for r in found["runs"]["runs"]}
+    assert values["map_bm25_title"] == main["bm25|title", "map"]["mean"] and values["grid_default_map"] == pytest.approx(values["map_bm25_title"])
+    assert all(r["mean"] <= 0.666667 for (_, m), r in main.items() if m == "map")  # topic 3 has no hits
+    with pytest.raises(ValueError, match="claims lack"):
+        provenance.all_claims({**found, "corpus": {}} | {"postings": found["postings"]}, 1)
+    with pytest.raises(ValueError, match="schema"):
+        (tmp_path / "out" / "x.json").write_text("{}")
+        provenance.read_json(tmp_path / "out", "x")
+    ix = index.build(docs, stopwords=("and", "of"))
+    hits = export.golden(topics, ix, "bm25")
+    assert set(hits) == {"1", "2"} and {h["no"] for h in hits["1"]} == {"X-0", "X-2"}
+    assert export.write_stopwords(tmp_path / "s.json", ("of", "and", "of")) and __import__("json").loads((tmp_path / "s.json").read_text()) == ["and", "of"]
+    import hashlib
+
+    (tmp_path / "SUMS").write_text("".join(f"{hashlib.sha256((data / f).read_bytes()).hexdigest()}  raw/{f}\n" for f in ("f0", "f1")))
+    about = provenance.meta(spark, str(data), str(tmp_path / "SUMS"), 5, 10)
+    assert [f["name"] for f in about["corpus_files"]] == ["f0", "f1"] and about["schema"] == "meta.v1" and about["n_boot"] == statistics.N_BOOT
+    assert provenance.label(tmp_path / "a" / "b", tmp_path) == "a/b" and provenance.file_table({"a.json": 1200}).splitlines() == ["a.json  1,200", "total   1,200"]
+
+
+def test_intervals_of_groups(spark):
+    rows = spark.createDataFrame([(k, i, x) for k, v in experiments.SAMPLE for i, x in enumerate(v)], "name string, num int, value double")
+    got = {r["name"]: (r["lo"], r["hi"]) for r in statistics.bootstrap(rows, ["name"]).collect()}
+    for k, v in experiments.SAMPLE:
+        drawn = np.random.default_rng(statistics.SEED).integers(0, len(v), size=(statistics.N_BOOT, len(v)))
+        assert got[k] == pytest.approx(tuple(np.percentile(np.array(v)[drawn].mean(1), [2.5, 97.5])))
