@@ -4,8 +4,9 @@ A string of ``length`` bytes is looked for through its anchor: of its ``k``-byte
 the least hash, the first if several. Neighbouring strings share anchors, so a document is a list of
 runs, each a span of bytes around one anchor.
 
-1. Runs go to buckets by their anchor's hash. A run whose whole span (two 64-bit hashes and length)
-   occurs in an earlier document is removed as a whole. Each task first settles the runs it holds
+1. Runs go to buckets by their anchor's hash. A run whose whole span occurs in an earlier document is
+   removed as a whole; spans are equal if their 128-bit BLAKE2 digests, anchors and lengths are, so no
+   polynomial hash decides that. Each task first settles the runs it holds
    itself and sends on only the earliest of equal runs, so a passage of a third of all documents
    costs a few entries per task.
 2. Runs that share an anchor but not the span fetch their bytes. Around the anchors, the suffixes to
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,7 @@ class SuffixParams:
 
 
 # Arrays travel packed: (name, dtype) in this order.
-RUN = (("key", "u8"), ("span", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"))
+RUN = (("key", "u8"), ("span", "u8"), ("more", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"))
 RANGE = (("doc", "i8"), ("st", "i8"), ("n", "i4"))
 ASK = (("key", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"), ("hot", "u1"))
 CONTEXT = (("key", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"))
@@ -99,7 +101,7 @@ SLICE = 1 << 18
 
 
 def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str, np.ndarray]:
-    """Runs of strings that share an anchor: ``key, span, d`` (document index), ``st, ln, off``."""
+    """Runs of strings that share an anchor: ``key, span, more`` (a digest), ``d`` (document index), ``st, ln, off``."""
     L, w = p.length, p.length - p.k + 1
     ok = np.ones(len(buf), bool)  # a string starts here within one document
     for d in range(1, L):
@@ -122,22 +124,25 @@ def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str
         st = np.flatnonzero(turn)
         en = np.concatenate([st[1:], [m]])
         st, en = st[good[st]], en[good[st]]
-        parts.append((g[at[st]], rolling.mix(rolling.window(s, st, en + L - 1)), st + a, en - st, at[st] - st))
+        raw = memoryview(buf[a : a + m + L - 1].tobytes())
+        digests = b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(st.tolist(), (en + L - 1).tolist(), strict=True))
+        span, more = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        parts.append((g[at[st]], span, more, st + a, en - st, at[st] - st))
     if not parts:
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-    key, span, st, ln, off = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts = [(*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 3)]
+    key, span, more, st, ln, off = (np.concatenate(c) for c in zip(*parts, strict=True))
     d = np.searchsorted(offsets, st, side="right") - 1
-    return {"key": key, "span": span, "d": d, "st": st - offsets[d], "ln": ln, "off": off}
+    return {"key": key, "span": span, "more": more, "d": d, "st": st - offsets[d], "ln": ln, "off": off}
 
 
 def settle(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(rows whose span occurs in an earlier document, the other rows); the latter by key and span."""
     if not len(runs["key"]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((runs["st"], runs["doc"], runs["ln"], runs["span"], runs["key"]))
-    key, span, ln, doc = (runs[c][order] for c in ("key", "span", "ln", "doc"))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1]) | (ln[1:] != ln[:-1])
+    order = np.lexsort((runs["st"], runs["doc"], runs["ln"], runs["more"], runs["span"], runs["key"]))
+    same = [runs[c][order] for c in ("key", "span", "more", "ln")]
+    doc, new = runs["doc"][order], np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in same])
     late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     return order[late], order[~late]
 
@@ -252,13 +257,13 @@ def meet(pdf: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
         r = _ranges(runs, late, p)
         out += [(1, at, blob) for at, blob in _dealt(r, _place(r["doc"], buckets), RANGE)]
     if len(rest):
-        key, span, doc = (runs[c][rest] for c in ("key", "span", "doc"))
+        key, span, more, doc = (runs[c][rest] for c in ("key", "span", "more", "doc"))
         new = np.ones(len(rest), bool)
         new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
         start = np.flatnonzero(new)
         other = np.ones(len(rest), bool)
-        other[1:] = (span[1:] != span[:-1]) | new[1:]
+        other[1:] = (span[1:] != span[:-1]) | (more[1:] != more[:-1]) | new[1:]
         spans = np.add.reduceat(other.astype(np.int64), start)[group]
         several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))[group]
         ask = (spans > 1) & several
@@ -289,7 +294,7 @@ def _single(buf: np.ndarray, spans: dict[str, np.ndarray], p: SuffixParams) -> d
         step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         key = rolling.mix(rolling.window(s, base[i] + step, base[i] + step + p.length))
         flat = np.ones(len(i), np.uint8)
-        parts.append({"key": key, "span": key, "doc": h["doc"][i], "st": h["st"][i] + step, "begin": h["begin"][i] + step, "ln": flat, "off": flat - 1})
+        parts.append({"key": key, "span": key, "more": key, "doc": h["doc"][i], "st": h["st"][i] + step, "begin": h["begin"][i] + step, "ln": flat, "off": flat - 1})
     return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
 
 

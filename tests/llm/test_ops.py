@@ -169,6 +169,17 @@ def test_repeats_of_one_id(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (1, 0), (2, len((a + b).encode()))]
 
 
+def test_spans_that_differ_are_never_settled_by_polynomial_hashes(spark, monkeypatch):
+    texts = [words(random.Random(i), 12) for i in range(3)]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    monkeypatch.setattr(rolling, "windows", lambda s, size: np.zeros(s.shape[1] - size, np.uint64))  # all anchors alike
+    runs = suffix_dedup.find_runs(buf, at, suffix_dedup.SuffixParams())
+    runs["doc"] = runs.pop("d")
+    late, rest = suffix_dedup.settle(runs)
+    assert not len(late) and len(rest) == len(runs["key"]) > 0
+
+
 def test_suffix_order_agrees_with_bytes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
