@@ -360,11 +360,11 @@ def _to(n, p: MinHashParams):
     return F.sequence(F.lit(0).cast("long"), F.ceil(n / F.lit(p.tile)).cast("long") - 1)
 
 
-def _by_bucket(members: DataFrame, about: DataFrame, p: MinHashParams) -> DataFrame:
-    """``members`` joined with what ``about`` says of their buckets; the members of a large one are dealt out."""
+def _dealt_join(members: DataFrame, about: DataFrame, key: str, p: MinHashParams) -> DataFrame:
+    """``members`` joined with what ``about`` says of their key; the members of a large key are dealt out."""
     salt = F.pmod(F.xxhash64("node"), F.lit(p.salts)).cast("int").alias("salt")
     each = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    return members.select("*", salt).join(each, ["bucket", "salt"]).drop("salt")
+    return members.select("*", salt).join(each, [key, "salt"]).drop("salt")
 
 
 def blocks(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
@@ -378,15 +378,15 @@ def blocks(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
     by = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     shape = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     shape = shape.select("bucket", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("kinds") - 1).alias("kinds"))
-    rest = cut(_by_bucket(joined, shape, p).where("comp <> top"))
+    rest = cut(_dealt_join(joined, shape, "bucket", p).where("comp <> top"))
 
     guests = rest.select("node", "comp", "top").distinct()
     n_guests = guests.groupBy("top").agg(F.count("*").alias("g"))
     n_hosts = own.groupBy("comp").agg(F.count("*").alias("h")).withColumnRenamed("comp", "top")
     sizes = n_guests.join(n_hosts, "top")
     name = lambda *c: F.xxhash64(*c).alias("block")
-    a = guests.join(sizes, "top").withColumn("i", _spot(F.col("g"), p)).withColumn("j", F.explode(_to(F.col("h"), p)))
-    b = own.withColumn("top", F.col("comp")).join(sizes, "top").withColumn("j", _spot(F.col("h"), p)).withColumn("i", F.explode(_to(F.col("g"), p)))
+    a = _dealt_join(guests, sizes, "top", p).withColumn("i", _spot(F.col("g"), p)).withColumn("j", F.explode(_to(F.col("h"), p)))
+    b = _dealt_join(own.withColumn("top", F.col("comp")), sizes, "top", p).withColumn("j", _spot(F.col("h"), p)).withColumn("i", F.explode(_to(F.col("g"), p)))
     met = a.select(name(F.lit("host"), "top", "i", "j"), F.lit(0).alias("side"), "node", "comp")
     met = met.unionByName(b.select(name(F.lit("host"), "top", "i", "j"), F.lit(1).alias("side"), "node", "comp"))
 
@@ -409,7 +409,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     members = reps.select("node", F.explode("bands").alias("bucket"))
     found = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 32)).alias(f"h{i}") for i in range(2)])
     alike = cut(found.where("n > 1").groupBy("n", "lo", "hi", "h0", "h1").agg(F.min("bucket").alias("bucket")))
-    members = _by_bucket(members, alike.select("bucket", "n"), p)
+    members = _dealt_join(members, alike.select("bucket", "n"), "bucket", p)
     sigs = reps.select("node", "sig")
     members = cut(members.join(sigs, "node").select("bucket", "n", "node", "sig"))
 
