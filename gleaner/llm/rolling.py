@@ -2,9 +2,9 @@
 
 Two hashes modulo the Mersenne prime 2**31 - 1 with bases of their own make one of 62 bits: two different
 strings of n bytes agree for at most n of the bases, so with a chance of (n / 2**31)**2. (Modulo 2**64, every
-odd base fails on some strings of 1,024 bytes.) ``prefix(buf)[:, i]`` is the sum of ``(buf[j] + 1) * base**j``
-for j < i. A window's hash divides the difference of two prefixes by the power at its start, so equal bytes
-hash alike wherever they stand.
+odd base fails on some strings of 1,024 bytes.) ``prefix(buf)[:, i]`` is the hash of the first i bytes, the
+first byte having the highest power. A window's hash takes the prefix at its start, times the power of its
+length, from the prefix at its end, so equal bytes hash alike wherever they stand.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ PRIME = (1 << 31) - 1
 #: Drawn once at random.
 BASES = (1_284_865_837, 710_425_341)
 _P, _31 = np.uint64(PRIME), np.uint64(31)
-_BLOCK = 1 << 22
-_powers = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
+_BLOCK = 1 << 16
+_tables: dict[int, np.ndarray] = {}
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """Below 2**33 and equal modulo PRIME."""
+    """Equal modulo PRIME, and below 2**33."""
     return (x & _P) + (x >> _31)
 
 
@@ -30,41 +30,38 @@ def _rest(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P, x - _P, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i in 0..n, a row for each base."""
-    while _powers[0].shape[1] <= n:
-        for k, of in enumerate((lambda b: b, lambda b: pow(b, -1, PRIME))):
-            old = _powers[k]
-            step = np.array([[pow(of(b), old.shape[1], PRIME)] for b in BASES], np.uint64)
-            _powers[k] = np.concatenate([old, _rest(old * step)], axis=1)
-    return _powers[0], _powers[1]
+def powers(n: int, sign: int = 1) -> np.ndarray:
+    """base**(sign * i) for i in 0..n or more, a row for each base."""
+    table = _tables.get(sign, np.ones((2, 1), np.uint64))
+    while table.shape[1] <= n:
+        step = np.array([[pow(b, sign * table.shape[1], PRIME)] for b in BASES], np.uint64)
+        table = np.concatenate([table, _rest(table * step)], axis=1)
+    _tables[sign] = table
+    return table
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(buf))
-    s = np.zeros((2, len(buf) + 1), np.uint64)
-    for a in range(0, len(buf), _BLOCK):  # sums of a block stay under 2**62
+def prefix(buf: np.ndarray, bases: int = 2) -> np.ndarray:
+    """A row for each base; one will do where what it finds is checked."""
+    up, down = powers(_BLOCK)[:bases], powers(_BLOCK, -1)[:bases]
+    s = np.zeros((bases, len(buf) + 1), np.uint32)
+    for a in range(0, len(buf), _BLOCK):  # sums of a block stay under 2**55
         part = buf[a : a + _BLOCK].astype(np.uint64) + np.uint64(1)
-        s[:, a + 1 : a + 1 + len(part)] = _rest(np.cumsum(part * up[:, a : a + len(part)], axis=1) + s[:, a : a + 1])
+        n = len(part)
+        inner = _fold(np.cumsum(part * down[:, 1 : n + 1], axis=1))
+        s[:, a + 1 : a + 1 + n] = _rest(_fold(inner + s[:, a : a + 1]) * up[:, 1 : n + 1])
     return s
 
 
-def _joined(difference: np.ndarray, down: np.ndarray) -> np.ndarray:
-    h = _rest(_fold(difference) * down)
-    return h[0] | h[1] << np.uint64(32)
-
-
 def window(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of buf[start:end] from ``s = prefix(buf)``."""
-    _, down = powers(s.shape[1])
-    return _joined(s[:, end] + _P - s[:, start], down[:, start])
-
-
-def windows(s: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of ``size`` bytes, by their start."""
-    _, down = powers(s.shape[1])
-    n = s.shape[1] - size
-    return _joined(s[:, size:] + _P - s[:, :n], down[:, :n])
+    size = np.asarray(end) - start
+    up, out = powers(int(size.max(initial=0))), None
+    for row, table in zip(s, up, strict=False):
+        before = _rest(row[start].astype(np.uint64) * table[size])
+        h = row[end] + _P - before
+        h = np.where(h >= _P, h - _P, h)
+        out = h if out is None else out | h << np.uint64(32)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -58,18 +59,21 @@ CONTEXT = (("key", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1
 TEXT = (("row", "i8"), ("doc", "i8"), ("part", "i8"), ("size", "i8"))
 
 
-def _pack(columns: dict[str, np.ndarray], kind, tail: bytes = b"") -> bytes:
+@lru_cache(1)
+def _press():
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(columns: dict[str, np.ndarray], kind, tail: bytes = b"") -> bytes:
     n = len(columns[kind[0][0]])
     data = b"".join(np.ascontiguousarray(columns[c], t).tobytes() for c, t in kind)
-    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(8, "little") + data + tail)
+    return _press()[0].compress(n.to_bytes(8, "little") + data + tail)
 
 
 def _unpack(blob: bytes, kind) -> tuple[dict[str, np.ndarray], memoryview]:
-    import zstandard
-
-    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    raw = memoryview(_press()[1].decompress(blob))
     n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
     for c, t in kind:
         out[c] = np.frombuffer(raw, t, n, at)
@@ -100,6 +104,15 @@ def _dealt(columns: dict[str, np.ndarray], by: np.ndarray, kind) -> Iterator[tup
 SLICE = 1 << 18
 
 
+def anchors(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all ``k``-byte strings (8 <= k <= 16) by their start, from their first and last eight bytes."""
+    raw, word = buf.tobytes(), np.empty(len(buf) - 7, np.uint64)
+    for i in range(min(8, len(word))):
+        word[i::8] = np.frombuffer(raw, np.uint64, len(word[i::8]), i)
+    n = len(buf) - k + 1
+    return rolling.mix(rolling.mix(word[:n]) * np.uint64(0x9E3779B97F4A7C15) + word[k - 8 : k - 8 + n])
+
+
 def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str, np.ndarray]:
     """Runs of strings that share an anchor: ``key, span, more`` (a digest), ``d`` (document index), ``st, ln, off``."""
     L, w = p.length, p.length - p.k + 1
@@ -111,8 +124,7 @@ def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str
     mask = np.uint64((1 << 20) - 1)
     for a in range(0, len(buf) - L + 1, SLICE):
         m = min(SLICE, len(buf) - L + 1 - a)
-        s = rolling.prefix(buf[a : a + m + L - 1])
-        g = rolling.mix(rolling.windows(s, p.k))
+        g = anchors(buf[a : a + m + L - 1], p.k)
         v = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
         rows = np.concatenate([v, np.full(-len(v) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
@@ -361,7 +373,7 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: np
     order = np.arange(n)
     if not n:
         return order, order
-    s = rolling.prefix(buf)
+    s = rolling.prefix(buf, 1)  # the order is checked below
     base = np.searchsorted(group, group, side="left")
     count = np.searchsorted(group, group, side="right") - base
     width = 1
@@ -390,8 +402,8 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: np
     most = np.minimum(size[i], size[j])
     lcp[near] = _common(s, start[i], start[j], most)
     # Verification: the extension's bytes are equal, and the next ones are in order.
-    for at in range(0, len(near), 200_000):
-        part = slice(at, at + 200_000)
+    for at in range(0, len(near), 20_000):
+        part = slice(at, at + 20_000)
         c, a, b, m = lcp[near][part], start[i[part]], start[j[part]], most[part]
         steps = np.arange(int(c.max(initial=0)))
         x, y = (buf[np.minimum(v[:, None] + steps, len(buf) - 1)] for v in (a, b))

@@ -120,13 +120,21 @@ def test_words_that_fool_hashes_modulo_a_power_of_two(spark):
 
 def test_rolling_hashes():
     rng = np.random.default_rng(6)
-    buf = rng.integers(0, 256, 5000).astype(np.uint8)
+    buf = rng.integers(0, 256, 200_000).astype(np.uint8)
     s = rolling.prefix(buf)
-    value = lambda x: tuple(sum((int(c) + 1) * pow(b, j, rolling.PRIME) for j, c in enumerate(x)) % rolling.PRIME for b in rolling.BASES)
-    a = rng.integers(0, 4900, 50)
-    got = rolling.window(s, a, a + 77)
-    assert [(int(h) & 0xFFFFFFFF, int(h) >> 32) for h in got] == [value(buf[i : i + 77]) for i in a]
-    assert (rolling.windows(s, 77)[a] == got).all()
+
+    def value(x):
+        out = [0, 0]
+        for c in x.tolist():
+            out = [(h * b + c + 1) % rolling.PRIME for h, b in zip(out, rolling.BASES, strict=True)]
+        return tuple(out)
+
+    a = np.concatenate([rng.integers(0, 199_000, 50), [65_500, 131_000]])
+    got = rolling.window(s, a, a + 177)
+    assert [(int(h) & 0xFFFFFFFF, int(h) >> 32) for h in got] == [value(buf[i : i + 177]) for i in a]
+    for k in (8, 13, 16):
+        g = suffix_dedup.anchors(np.concatenate([buf[:500], buf[:500]]), k)
+        assert (g[: 501 - k] == g[500 : 1001 - k]).all() and len(set(g[:500].tolist())) == 500
 
 
 def test_links_are_confirmed_on_words():
@@ -173,7 +181,7 @@ def test_spans_that_differ_are_never_settled_by_polynomial_hashes(spark, monkeyp
     texts = [words(random.Random(i), 12) for i in range(3)]
     buf = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    monkeypatch.setattr(rolling, "windows", lambda s, size: np.zeros(s.shape[1] - size, np.uint64))  # all anchors alike
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda buf, k: np.zeros(len(buf) - k + 1, np.uint64))  # all anchors alike
     runs = suffix_dedup.find_runs(buf, at, suffix_dedup.SuffixParams())
     runs["doc"] = runs.pop("d")
     late, rest = suffix_dedup.settle(runs)
