@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default stopwords, used where no list is given; ``sources.trec.stopwords`` reads a list from a file.
@@ -36,6 +36,12 @@ def without(words: Column, stopwords: Iterable[str] | None) -> Column:
     return F.filter(words, lambda t: ~t.isin(stops)) if stops else words
 
 
+def unnested(df: DataFrame, elements: Column, name: str, *columns: Column | str) -> DataFrame:
+    """``columns`` and a row per element that isn't null. In the outer form, as Catalyst would first test the
+    array for emptiness and push that below exchanges and joins, so that each text would be split twice."""
+    return df.select(*columns, F.explode_outer(elements).alias(name)).where(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

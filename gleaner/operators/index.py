@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.analysis import STOPWORDS, tokens, without
+from gleaner.functions.analysis import STOPWORDS, tokens, unnested, without
 from gleaner.functions.porter import stem_map
 
 #: treatment -> (stemmed, without stopwords), in this order.
@@ -38,10 +38,11 @@ def log_tf(tf: Column) -> Column:
 
 def surface(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
     """``doc_idx, n_all, n_kept, term, stopped, tf``: each document's words once, with its lengths with and
-    without stopwords. The one pass over texts that all treatments share."""
-    words = docs.select("doc_idx", tokens(F.col("text")).alias("w"))
+    without stopwords. The one pass over texts that all treatments share. Texts are dealt out by document, so
+    words are counted where they are split: texts are exchanged once and their words never."""
+    words = docs.select("doc_idx", "text").repartition("doc_idx").select("doc_idx", tokens(F.col("text")).alias("w"))
     sized = words.select("doc_idx", "w", F.size("w").cast("long").alias("n_all"), F.size(without(F.col("w"), stopwords)).cast("long").alias("n_kept"))
-    rows = sized.select("doc_idx", "n_all", "n_kept", F.explode("w").alias("term"))  # lengths are computed below the explode, once a document
+    rows = unnested(sized, F.col("w"), "term", "doc_idx", "n_all", "n_kept")  # lengths are computed below the explode, once a document
     counts = rows.groupBy("doc_idx", "n_all", "n_kept", "term").agg(F.count("*").alias("tf"))
     stops = list(stopwords or ())
     return counts.select("doc_idx", "n_all", "n_kept", "term", (F.col("term").isin(stops) if stops else F.lit(False)).alias("stopped"), "tf")
@@ -58,13 +59,13 @@ def build(docs: DataFrame, treatments: Iterable[str] = tuple(TREATMENTS), stopwo
     plain = [t for t in wanted if not TREATMENTS[t][0]]
     if plain:
         cases = [case(t, ~F.col("stopped") if TREATMENTS[t][1] else F.lit(True), "tf", "n_kept" if TREATMENTS[t][1] else "n_all") for t in plain]
-        parts.append(words.select("term", "doc_idx", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")))
+        parts.append(unnested(words, F.array(*cases), "x", "term", "doc_idx"))
     stemmed = [t for t in wanted if TREATMENTS[t][0]]
     if stemmed:
         joined = words.join(stem_map(words.select("term")), "term")
         sums = joined.groupBy(F.col("stem").alias("term"), "doc_idx", "n_all", "n_kept").agg(F.sum("tf").alias("tf"), F.sum(F.when(~F.col("stopped"), F.col("tf"))).alias("tf_kept"))
         cases = [case(t, F.col("tf_kept").isNotNull(), "tf_kept", "n_kept") if TREATMENTS[t][1] else case(t, F.lit(True), "tf", "n_all") for t in stemmed]
-        parts.append(sums.select("term", "doc_idx", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")))
+        parts.append(unnested(sums, F.array(*cases), "x", "term", "doc_idx"))
     postings = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     postings = postings.select("x.treatment", "term", "doc_idx", "x.tf", "x.doc_len")
     return tables(docs, wanted, postings)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.analysis import STOPWORDS, raw_tokens, tokens, without
+from gleaner.functions.analysis import STOPWORDS, raw_tokens, tokens, unnested, without
 from gleaner.functions.porter import stem_map
 from gleaner.operators.index import Index
 from gleaner.operators.statistics import loglog_fit
@@ -20,14 +20,14 @@ ZIPF_HEAD, ZIPF_TAIL_POINTS, ZIPF_FIT_RANKS = 10, 50, 1000
 
 def funnel(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS, stemmed: bool = True) -> DataFrame:
     """``step, n_types, n_tokens`` after each step of the analysis, from one count of raw tokens."""
-    words = docs.select(F.explode(raw_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    words = unnested(docs, raw_tokens(F.col("text")), "term").groupBy("term").agg(F.count("*").alias("n"))
     digit, stop = F.col("term").rlike("[0-9]"), F.col("term").isin(list(stopwords))
     steps = [("raw_alpha", F.lit(True), F.col("term")), ("minus_digits", ~digit, F.col("term")), ("minus_stopwords", ~digit & ~stop, F.col("term"))]
     if stemmed:
         words = words.join(stem_map(words.where(~digit & ~stop)), "term", "left")
         steps.append(("stemmed", ~digit & ~stop, F.col("stem")))
     cases = F.array(*[F.when(on, F.struct(F.lit(k).alias("step"), word.alias("word"))) for k, on, word in steps])
-    rows = words.select("n", F.explode(F.filter(cases, lambda x: x.isNotNull())).alias("x")).groupBy("x.step", "x.word").agg(F.sum("n").alias("n"))
+    rows = unnested(words, cases, "x", "n").groupBy("x.step", "x.word").agg(F.sum("n").alias("n"))
     return rows.groupBy("step").agg(F.count("*").alias("n_types"), F.sum("n").alias("n_tokens"))
 
 
@@ -44,16 +44,16 @@ def heaps_points(docs: DataFrame, stopwords: Iterable[str] = STOPWORDS, lengths:
     """``n_tokens, n_types`` along the unstemmed, stopped stream in document order. A word counts from its
     first place; places are document offsets plus positions, so nothing is walked in one task. ``lengths``
     may give ``doc_idx, doc_len`` of the stream's documents."""
-    words = docs.select("doc_idx", without(tokens(F.col("text")), stopwords).alias("w"))
-    sizes = words.select("doc_idx", F.size("w").cast("long").alias("n")) if lengths is None else lengths.select("doc_idx", F.col("doc_len").alias("n"))
+    length = F.size(without(tokens(F.col("text")), stopwords)).cast("long")
+    sizes = docs.select("doc_idx", length.alias("n")) if lengths is None else lengths.select("doc_idx", F.col("doc_len").alias("n"))
     sizes = sizes.withColumn("span", F.floor(F.col("doc_idx") / 4096))
     spans = sizes.groupBy("span").agg(F.sum("n").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per 4096 documents
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("doc_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("inner", inner).join(spans.select("span", before.alias("before")), "span").select("doc_idx", (F.col("before") + F.col("inner")).alias("start"))
-    places = words.select("doc_idx", F.posexplode("w").alias("pos", "term"))
-    first = places.groupBy("term").agg(F.min("doc_idx").alias("doc_idx"), F.min_by("pos", F.struct("doc_idx", "pos")).alias("pos"))  # partial minima meet, not places
-    first = first.join(starts, "doc_idx").select((F.col("start") + F.col("pos") + 1).alias("at"))
+    placed = docs.select("doc_idx", "text").join(starts, "doc_idx").select("start", without(tokens(F.col("text")), stopwords).alias("w"))
+    places = placed.select("start", F.posexplode_outer("w").alias("pos", "term")).where("term IS NOT NULL")
+    first = places.groupBy("term").agg(F.min(F.col("start") + F.col("pos") + 1).alias("at"))  # partial minima meet, not places
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     points = checkpoints(total)
     if not points:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.analysis import tokens
+from gleaner.functions.analysis import tokens, unnested
 from gleaner.sources.trec import with_positions
 
 
@@ -32,7 +32,7 @@ def qrels(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, words
     relevant those that hold the passage word for word (which are among them). A passage of fewer than three
     words has no inner word and no judgments. ``docs`` and ``words`` (``doc_idx, term``) spare reading texts anew."""
     docs = documents(spark, sf_dir) if docs is None else docs
-    words = docs.select("doc_idx", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")) if words is None else words.select("doc_idx", "term")
+    words = unnested(docs, F.array_distinct(tokens(F.col("text"))), "term", "doc_idx") if words is None else words.select("doc_idx", "term")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("num"), F.col("text").alias("passage"))
     found = tokens(F.col("passage"))
     inner = F.array_distinct(F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0))))

@@ -68,9 +68,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
         empty = files.isEmpty()
     except Exception as e:
-        raise FileNotFoundError(f"no corpus in {path}; SOURCE.md says where collections come from") from e
+        raise FileNotFoundError(f"no SGML collection can be read from {path}") from e
     if empty:
-        raise FileNotFoundError(f"no corpus files in {path}; SOURCE.md says where collections come from")
+        raise FileNotFoundError(f"the folder {path} holds no files")
     docs = parse_sgml(files)
     return with_positions(docs, F.element_at(F.split("docno", "-"), 2)).select("doc_idx", "docno", "date", "headline", "text", "file")
 

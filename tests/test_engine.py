@@ -214,7 +214,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a").write_text(DOC.replace("X-5", "X-6").format("<TEXT>y</TEXT>"))
     rows = trec.read_corpus(spark, str(tmp_path)).orderBy("doc_idx").collect()
     assert [(r["doc_idx"], r["docno"], r["text"]) for r in rows] == [(0, "X-5", "M&S\ntwo"), (1, "X-6", "y"), (2, "X-10", "x")]
-    with pytest.raises(FileNotFoundError, match="SOURCE.md"):
+    with pytest.raises(FileNotFoundError, match="holds no files|can be read"):
         trec.read_corpus(spark, str(tmp_path / "none"))
     with pytest.raises(Exception, match="X-5"):
         trec.parse_sgml(spark.createDataFrame([(DOC.format(""),)], "value string")).collect()
