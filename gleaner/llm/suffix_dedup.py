@@ -9,12 +9,13 @@ runs, each a span of bytes around one anchor.
    polynomial hash decides that. Each task first settles the runs it holds
    itself and sends on only the earliest of equal runs, so a passage of a third of all documents
    costs a few entries per task.
-2. Runs that share an anchor but not the span fetch their bytes. Around the anchors, the suffixes to
-   the right and, reversed, to the left are sorted by a merge sort that compares by binary search on
-   prefix polynomial hashes. Neighbours' common extensions are checked byte by byte; a bucket where a
-   hash lied is sorted again by its bytes. Classes of equal left and right extensions tell which
-   strings occur in earlier documents. Anchors with more than ``hot`` spans are dealt out again
-   string by string.
+2. Runs that share an anchor but not the span, and the ``side`` bytes before or after it too, as runs
+   of equal strings do, fetch their bytes. Around the anchors, the suffixes to
+   the right and, reversed, to the left are sorted by a merge sort that compares by words of eight bytes
+   and by binary search on prefix polynomial hashes. Neighbours' common extensions are checked byte by
+   byte; a bucket where a hash lied is sorted again by its bytes. Classes of equal left and right
+   extensions tell which strings occur in earlier documents. Anchors with more than ``hot`` spans are
+   dealt out again string by string, as 128-bit digests.
 3. Each document gets its ranges and is cut.
 
 Edge cases: null and empty texts, and texts under ``length`` bytes, lose nothing. Rows with a null
@@ -50,9 +51,14 @@ class SuffixParams:
     chunk_bytes: int = 4_000_000  # text of a chunk of documents or of a bucket of anchors
     least_chunks: int = 12
 
+    @property
+    def side(self) -> int:
+        """A string has so many bytes before its anchor or so many after it."""
+        return (self.length - self.k + 1) // 2
 
-# Arrays travel packed: (name, dtype) in this order.
-RUN = (("key", "u8"), ("span", "u8"), ("more", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"))
+
+# Rows travel as packed records of these fields.
+RUN = (("key", "u8"), ("span", "u8"), ("more", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"), ("before", "u2"), ("after", "u2"))
 RANGE = (("doc", "i8"), ("st", "i8"), ("n", "i4"))
 ASK = (("key", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"), ("hot", "u1"))
 CONTEXT = (("key", "u8"), ("doc", "i8"), ("st", "i8"), ("ln", "u1"), ("off", "u1"))
@@ -66,24 +72,31 @@ def _press():
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _pack(columns: dict[str, np.ndarray], kind, tail: bytes = b"") -> bytes:
-    n = len(columns[kind[0][0]])
-    data = b"".join(np.ascontiguousarray(columns[c], t).tobytes() for c, t in kind)
-    return _press()[0].compress(n.to_bytes(8, "little") + data + tail)
+def _records(columns: dict[str, np.ndarray], kind) -> np.ndarray:
+    out = np.empty(len(columns[kind[0][0]]), list(kind))
+    for c, _ in kind:
+        out[c] = columns[c]
+    return out
 
 
-def _unpack(blob: bytes, kind) -> tuple[dict[str, np.ndarray], memoryview]:
-    raw = memoryview(_press()[1].decompress(blob))
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for c, t in kind:
-        out[c] = np.frombuffer(raw, t, n, at)
-        at += n * np.dtype(t).itemsize
-    return out, raw[at:]
+def _all(blobs, kind) -> dict[str, np.ndarray]:
+    """Columns of all records of some blobs."""
+    rows = np.frombuffer(b"".join(blobs), list(kind))
+    return {c: np.ascontiguousarray(rows[c]) for c, _ in kind}
 
 
-def _all(blobs, kind) -> dict[str, np.ndarray]:
-    got = [_unpack(b, kind)[0] for b in blobs]
-    return {c: np.concatenate([g[c] for g in got]) if got else np.zeros(0, t) for c, t in kind}
+def _pack(rows: np.ndarray, tail: bytes) -> bytes:
+    return len(rows).to_bytes(4, "little") + rows.tobytes() + tail
+
+
+def _unpack(blobs, kind) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Columns and bytes of blobs of ``_pack``, each in the blobs' order."""
+    width, heads, tails = np.dtype(list(kind)).itemsize, [], []
+    for b in blobs:
+        n = 4 + width * int.from_bytes(b[:4], "little")
+        heads.append(b[4:n])
+        tails.append(b[n:])
+    return _all(heads, kind), np.frombuffer(b"".join(tails), np.uint8)
 
 
 def _take(columns: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
@@ -94,27 +107,55 @@ def _place(x: np.ndarray, n: int) -> np.ndarray:
     return (rolling.mix(x.astype(np.uint64) ^ np.uint64(0xA5A5A5A5)) % np.uint64(n)).astype(np.int32)
 
 
-def _dealt(columns: dict[str, np.ndarray], by: np.ndarray, kind) -> Iterator[tuple[int, bytes]]:
+def _cuts(by: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in the order of ``by``, and of each of its values: value, first row, end."""
     order = np.argsort(by, kind="stable")
-    cuts = np.flatnonzero(np.diff(by[order])) + 1
-    for rows in np.split(order, cuts) if len(order) else []:
-        yield int(by[rows[0]]), _pack(_take(columns, rows), kind)
+    place = by[order]
+    at = np.concatenate([np.flatnonzero(np.diff(place, prepend=-1)), [len(by)]])
+    return order, list(zip(place[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _dealt(columns: dict[str, np.ndarray], by: np.ndarray, kind) -> Iterator[tuple[int, bytes]]:
+    """Records by place. There are as many blobs as senders times places, so one costs no more than a slice."""
+    order, cuts = _cuts(by)
+    rows = _records(_take({c: columns[c] for c, _ in kind}, order), kind)
+    raw, width = rows.tobytes(), rows.itemsize
+    for place, i, j in cuts:
+        yield place, raw[i * width : j * width]
 
 
 SLICE = 1 << 18
 
 
-def anchors(buf: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all ``k``-byte strings (8 <= k <= 16) by their start, from their first and last eight bytes."""
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number."""
     raw, word = buf.tobytes(), np.empty(len(buf) - 7, np.uint64)
     for i in range(min(8, len(word))):
         word[i::8] = np.frombuffer(raw, np.uint64, len(word[i::8]), i)
-    n = len(buf) - k + 1
+    return word
+
+
+def anchors(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all ``k``-byte strings (8 <= k <= 16) by their start, from their first and last eight bytes."""
+    word, n = _words(buf), len(buf) - k + 1
     return rolling.mix(rolling.mix(word[:n]) * np.uint64(0x9E3779B97F4A7C15) + word[k - 8 : k - 8 + n])
 
 
+def _sides(buf: np.ndarray, at: np.ndarray, p: SuffixParams) -> list[np.ndarray]:
+    """16-bit hashes of the ``p.side`` bytes before and after each anchor, in words of eight bytes that may reach into the
+    anchor. Of use where the run's span holds those bytes."""
+    word, out = _words(buf), []
+    for first, step in ((at - p.side, 8), (at + p.k + p.side - 8, -8)):
+        h = np.zeros(len(at), np.uint64)
+        for i in range(-(-p.side // 8)):
+            h = rolling.mix(h * np.uint64(0x9E3779B97F4A7C15) + word[np.clip(first + i * step, 0, len(word) - 1)])
+        out.append((h >> np.uint64(48)).astype(np.uint16))
+    return out
+
+
 def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str, np.ndarray]:
-    """Runs of strings that share an anchor: ``key, span, more`` (a digest), ``d`` (document index), ``st, ln, off``."""
+    """Runs of strings that share an anchor: ``key, span, more`` (a digest), ``d`` (document index), ``st, ln, off``, and
+    ``before, after`` (hashes of the anchor's sides)."""
     L, w = p.length, p.length - p.k + 1
     ok = np.ones(len(buf), bool)  # a string starts here within one document
     for d in range(1, L):
@@ -139,19 +180,23 @@ def find_runs(buf: np.ndarray, offsets: np.ndarray, p: SuffixParams) -> dict[str
         raw = memoryview(buf[a : a + m + L - 1].tobytes())
         digests = b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(st.tolist(), (en + L - 1).tolist(), strict=True))
         span, more = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
-        parts.append((g[at[st]], span, more, st + a, en - st, at[st] - st))
+        parts.append((g[at[st]], span, more, st + a, en - st, at[st] - st, *_sides(buf[a : a + m + L - 1], at[st], p)))
     if not parts:
-        parts = [(*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 3)]
-    key, span, more, st, ln, off = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts = [(*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint16)] * 2)]
+    key, span, more, st, ln, off, before, after = (np.concatenate(c) for c in zip(*parts, strict=True))
     d = np.searchsorted(offsets, st, side="right") - 1
-    return {"key": key, "span": span, "more": more, "d": d, "st": st - offsets[d], "ln": ln, "off": off}
+    return {"key": key, "span": span, "more": more, "d": d, "st": st - offsets[d], "ln": ln, "off": off, "before": before, "after": after}
 
 
 def settle(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(rows whose span occurs in an earlier document, the other rows); the latter by key and span."""
     if not len(runs["key"]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((runs["st"], runs["doc"], runs["ln"], runs["more"], runs["span"], runs["key"]))
+    order = np.argsort(runs["key"])
+    tie = np.diff(runs["key"][order]) == 0
+    tie = np.flatnonzero(np.append(tie, False) | np.insert(tie, 0, False))
+    some = order[tie]
+    order[tie] = some[np.lexsort([runs[c][some] for c in ("st", "doc", "ln", "more", "span", "key")])]
     same = [runs[c][order] for c in ("key", "span", "more", "ln")]
     doc, new = runs["doc"][order], np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in same])
@@ -167,7 +212,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "at", "blob"])
 
 
-PACKED = "kind int, at int, blob binary"  # kind 0: runs or contexts of a bucket; 1: ranges of a chunk; 2: requests of a chunk
+PACKED = "kind int, at int, blob binary"  # 0: runs or contexts of a bucket; 1: ranges of a chunk; 2: requests of a chunk; 3: single strings of a bucket
 
 
 def _merge_ranges(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -206,9 +251,9 @@ def runs_of(docs: DataFrame, buckets: int, p: SuffixParams) -> DataFrame:
             r = _merge_ranges(_ranges(runs, late, p))
             for at, blob in _dealt(r, _place(r["doc"], buckets), RANGE):
                 yield 1, at, blob
-        rest = rest[np.lexsort((runs["st"][rest], runs["doc"][rest]))]
+        rest = np.sort(rest)  # as they stand in the texts, which packs well
         for at, blob in _dealt(_take(runs, rest), _place(runs["key"][rest], buckets), RUN):
-            yield 0, at, blob
+            yield 0, at, _press()[0].compress(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -242,11 +287,11 @@ def texts_of(docs: DataFrame, chunks: int) -> DataFrame:
         for batch in batches:
             buf, at = rolling.buffers(batch.column(2))
             doc, part = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-            place, rows = _place(doc, chunks), []
-            order = np.argsort(place, kind="stable")
-            for ids in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
-                tail = b"".join(buf[at[i] : at[i + 1]].tobytes() for i in ids)
-                rows.append((int(place[ids[0]]), _pack({"row": ids, "doc": doc[ids], "part": part[ids], "size": at[ids + 1] - at[ids]}, TEXT, tail)))
+            (order, cuts), rows = _cuts(_place(doc, chunks)), []
+            heads = _records({"row": order, "doc": doc[order], "part": part[order], "size": np.diff(at)[order]}, TEXT)
+            for place, i, j in cuts:
+                tail = b"".join(buf[at[r] : at[r + 1]].tobytes() for r in order[i:j].tolist())
+                rows.append((place, _press()[0].compress(_pack(heads[i:j], tail))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["at", "blob"])
 
     return docs.select("doc", "part", "text").mapInArrow(run, "at int, blob binary")
@@ -254,32 +299,57 @@ def texts_of(docs: DataFrame, chunks: int) -> DataFrame:
 
 def _texts(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, part, bytes, offsets) of a chunk."""
-    got = [_unpack(b, TEXT) for b in blobs]
-    doc, part, size = (np.concatenate([g[0][c] for g in got]) if got else np.zeros(0, np.int64) for c in ("doc", "part", "size"))
-    buf = np.frombuffer(b"".join(g[1] for g in got), np.uint8)
-    return doc, part, buf, np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    got, buf = _unpack((_press()[1].decompress(b) for b in blobs), TEXT)
+    return got["doc"], got["part"], buf, np.concatenate([[0], np.cumsum(got["size"])])
+
+
+def shared(runs: dict[str, np.ndarray], p: SuffixParams) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(rows, ``st, ln, off`` there) of runs, given by key, cut to the strings that another document may hold.
+
+    Of a string's ``length - k`` bytes beside the anchor, ``p.side`` stand before or after it. So a string can only occur
+    in a document that has this anchor with the same ``p.side`` bytes on that side, on both if both are so long. Common
+    anchors of different texts end here, without a look at their bytes; their number grows faster than the texts.
+    """
+    off, ln = runs["off"].astype(np.int64), runs["ln"].astype(np.int64)
+    new = np.ones(len(off), bool)
+    new[1:] = runs["key"][1:] != runs["key"][:-1]
+    group = np.cumsum(new)
+    alone = np.bincount(group)[group] < 2
+    found = {}
+    for side, size in (("before", off), ("after", ln + p.length - 1 - off - p.k)):
+        found[side] = np.zeros(len(off), bool)
+        rows = np.flatnonzero(~alone & (size >= p.side))
+        kind = group[rows] << 16 | runs[side][rows]
+        order = np.argsort(kind, kind="stable")
+        rows, first = rows[order], np.diff(kind[order], prepend=-1) != 0
+        start, doc = np.flatnonzero(first), runs["doc"][rows]
+        if len(start):
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            found[side][rows[several[np.cumsum(first) - 1]]] = True
+    high = np.where(found["before"], off, np.minimum(off, p.side - 1))  # bytes before the anchor, of the first string
+    low = np.where(found["after"], off - ln + 1, np.maximum(off - ln + 1, p.length - p.k - p.side + 1))  # and of the last
+    rows = np.flatnonzero(low <= high)
+    return rows, {"st": (runs["st"] + off - high)[rows], "ln": (high - low + 1)[rows], "off": high[rows]}
 
 
 def meet(pdf: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
-    """Settle the runs of a bucket; ask for the bytes of runs that share an anchor with others."""
+    """Settle the runs of a bucket; ask for the bytes of strings that other documents may hold."""
     out = [(1, int(a), b) for k, a, b in zip(pdf["kind"], pdf["at"], pdf["blob"], strict=True) if k == 1]
-    runs = _all(pdf["blob"][pdf["kind"] == 0], RUN)
+    runs = _all((_press()[1].decompress(b) for b in pdf["blob"][pdf["kind"] == 0]), RUN)
     late, rest = settle(runs)
     if len(late):
         r = _ranges(runs, late, p)
         out += [(1, at, blob) for at, blob in _dealt(r, _place(r["doc"], buckets), RANGE)]
-    if len(rest):
-        key, span, more, doc = (runs[c][rest] for c in ("key", "span", "more", "doc"))
-        new = np.ones(len(rest), bool)
+    runs = _take(runs, rest)
+    rows, cut_to = shared(runs, p)
+    if len(rows):
+        found = _take(runs, rows) | cut_to
+        key, span, more = (found[c] for c in ("key", "span", "more"))
+        new = np.ones(len(rows), bool)
         new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        other = np.ones(len(rest), bool)
+        other = np.ones(len(rows), bool)
         other[1:] = (span[1:] != span[:-1]) | (more[1:] != more[:-1]) | new[1:]
-        spans = np.add.reduceat(other.astype(np.int64), start)[group]
-        several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))[group]
-        ask = (spans > 1) & several
-        found = _take(runs, rest[ask]) | {"hot": (spans[ask] > p.hot)}
+        found["hot"] = (np.add.reduceat(other.astype(np.int64), np.flatnonzero(new)) > p.hot)[np.cumsum(new) - 1]
         out += [(2, at, blob) for at, blob in _dealt(found, _place(found["doc"], buckets), ASK)]
     return _frame(out)
 
@@ -311,7 +381,7 @@ def _single(buf: np.ndarray, spans: dict[str, np.ndarray], p: SuffixParams) -> d
 
 
 def contexts(texts: pd.DataFrame, asks: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
-    """Bytes of the requested spans of a chunk, by bucket; strings of hot anchors one by one."""
+    """Bytes of the requested spans of a chunk, by bucket; strings of hot anchors one by one, as digests."""
     out: list[tuple] = []
     ask = _all(asks["blob"], ASK)
     if not len(ask["doc"]):
@@ -332,15 +402,22 @@ def contexts(texts: pd.DataFrame, asks: pd.DataFrame, buckets: int, p: SuffixPar
             eq[k : k + 20_000] = (buf[x] == buf[y]).all(1)
         r = _merge_ranges(_ranges(one, late[eq], p))
         out += [(1, a, b) for a, b in _dealt(r, _place(r["doc"], buckets), RANGE)]
+        # Those of different chunks meet by the digests of their bytes.
         one = _take(one, np.concatenate([rest, late[~eq]]))
-        cold = {c: np.concatenate([cold[c], one[c]]) for c in ("key", "doc", "st", "ln", "off", "begin")}
-    place = _place(cold["key"], buckets)
-    order = np.argsort(place, kind="stable")
-    for ids in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
-        got = _take(cold, ids)
-        size = got["ln"].astype(np.int64) + p.length - 1
-        i = np.repeat(got["begin"], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out.append((0, int(place[ids[0]]), _pack(got, CONTEXT, buf[i].tobytes())))
+        raw = memoryview(buf.tobytes())
+        digests = b"".join(blake2b(raw[i : i + p.length], digest_size=16).digest() for i in one["begin"].tolist())
+        one["span"], one["more"] = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        one["before"] = one["after"] = one["off"]
+        out += [(3, a, _press()[0].compress(b)) for a, b in _dealt(one, _place(one["key"], buckets), RUN)]
+    order, cuts = _cuts(_place(cold["key"], buckets))
+    cold = _take(cold, order)
+    size, parts = cold["ln"].astype(np.int64) + p.length - 1, []
+    for k in range(0, len(size), 20_000):
+        some = size[k : k + 20_000]
+        i = np.repeat(cold["begin"][k : k + 20_000] - np.cumsum(some) + some, some) + np.arange(some.sum())
+        parts.append(buf[i].tobytes())
+    rows, raw, end = _records(cold, CONTEXT), b"".join(parts), np.concatenate([[0], np.cumsum(size)])
+    out += [(0, place, _pack(rows[i:j], raw[end[i] : end[j]])) for place, i, j in cuts]
     return _frame(out)
 
 
@@ -354,26 +431,54 @@ def _common(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np
     return low
 
 
-def _before(buf, s, start, size, i, j) -> np.ndarray:
-    """Does suffix i sort before suffix j? Equal ones keep the order of their numbers."""
-    a, b, most = start[i], start[j], np.minimum(size[i], size[j])
-    n = _common(s, a, b, most)
-    end = n >= most
-    x, y = buf[np.minimum(a + n, len(buf) - 1)], buf[np.minimum(b + n, len(buf) - 1)]
-    return np.where(end, (size[i] < size[j]) | ((size[i] == size[j]) & (i < j)), x < y)
+WORDS = 4
+
+
+def _first_words(buf: np.ndarray, start: np.ndarray, size: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix, from byte ``skip``, up to ``WORDS`` words of eight bytes as numbers that sort like them, and how many it has."""
+    have = np.clip((size - skip) >> 3, 0, WORDS)
+    words = np.zeros((WORDS, len(start)), np.uint64)
+    if len(buf) >= 8:
+        word = _words(buf)
+        for c in range(WORDS):
+            rows = np.flatnonzero(have > c)
+            words[c, rows] = word[start[rows] + skip + 8 * c].byteswap()
+    return words, have
+
+
+def _before(buf, s, start, size, first, i, j) -> np.ndarray:
+    """Does suffix i sort before suffix j? Equal ones keep the order of their numbers. Their first words decide, else hashes."""
+    words, have = first
+    out, todo = np.zeros(len(i), bool), np.arange(len(i))
+    both = np.minimum(have[i], have[j])
+    for c, word in enumerate(words):
+        x, y = word[i[todo]], word[j[todo]]
+        told = (x != y) & (both[todo] > c)
+        out[todo[told]] = x[told] < y[told]
+        todo = todo[~told]
+    if len(todo):
+        i, j = i[todo], j[todo]
+        a, b, most = start[i], start[j], np.minimum(size[i], size[j])
+        n = _common(s, a, b, most)
+        end = n >= most
+        x, y = buf[np.minimum(a + n, len(buf) - 1)], buf[np.minimum(b + n, len(buf) - 1)]
+        out[todo] = np.where(end, (size[i] < size[j]) | ((size[i] == size[j]) & (i < j)), x < y)
+    return out
 
 
-def suffix_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(order of the suffixes within their groups, common extension with the one before; 0 at a group's start).
 
     ``group`` ascends. Merge sort over all groups at once: each suffix finds its place in the
-    neighbouring run by binary search, each comparison by binary search on prefix hashes.
+    neighbouring run by binary search, each comparison by words of eight bytes, then by binary search on
+    prefix hashes. A group's suffixes should begin with the same ``skip`` bytes, which saves comparing them.
     """
     n = len(start)
     order = np.arange(n)
     if not n:
         return order, order
     s = rolling.prefix(buf, 1)  # the order is checked below
+    first = _first_words(buf, start, size, skip)
     base = np.searchsorted(group, group, side="left")
     count = np.searchsorted(group, group, side="right") - base
     width = 1
@@ -388,7 +493,7 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: np
         left, right = lo.copy(), hi.copy()
         while (todo := np.flatnonzero(left < right)).size:
             mid = (left[todo] + right[todo]) >> 1
-            less = _before(buf, s, start, size, order[b[todo] + mid], own[todo])
+            less = _before(buf, s, start, size, first, order[b[todo] + mid], own[todo])
             left[todo] = np.where(less, mid + 1, left[todo])
             right[todo] = np.where(less, right[todo], mid)
         place = b + np.minimum(lo, (q // width) * width) + q % width + (left - lo)
@@ -432,11 +537,14 @@ def sorted_by_bytes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group:
 def compare(pdf: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
     """Ranges of the strings of a bucket's contexts that occur in earlier documents."""
     out = [(1, int(a), b) for k, a, b in zip(pdf["kind"], pdf["at"], pdf["blob"], strict=True) if k == 1]
-    got = [_unpack(b, CONTEXT) for b in pdf["blob"][pdf["kind"] == 0]]
-    if not got:
+    one = _all((_press()[1].decompress(b) for b in pdf["blob"][pdf["kind"] == 3]), RUN)
+    late, _ = settle(one)
+    if len(late):
+        r = _merge_ranges(_ranges(one, late, p))
+        out += [(1, at, blob) for at, blob in _dealt(r, _place(r["doc"], buckets), RANGE)]
+    c, buf = _unpack(pdf["blob"][pdf["kind"] == 0], CONTEXT)
+    if not len(buf):
         return _frame(out)
-    c = {n: np.concatenate([g[0][n] for g in got]) for n, _ in CONTEXT}
-    buf = np.frombuffer(b"".join(g[1] for g in got), np.uint8)
     ln, off = c["ln"].astype(np.int64), c["off"].astype(np.int64)
     begin = np.cumsum(ln + p.length - 1) - (ln + p.length - 1)
     order = np.argsort(c["key"], kind="stable")
@@ -446,7 +554,7 @@ def compare(pdf: pd.DataFrame, buckets: int, p: SuffixParams) -> pd.DataFrame:
     group = np.cumsum(first) - 1
     doc, st, ln, off, begin = c["doc"][order], c["st"][order], ln[order], off[order], begin[order]
     anchor = begin + off
-    right, r_lcp = suffix_order(buf, anchor, ln + p.length - 1 - off, group)
+    right, r_lcp = suffix_order(buf, anchor, ln + p.length - 1 - off, group, p.k)
     left, l_lcp = suffix_order(buf[::-1].copy(), len(buf) - anchor, off, group)
     found_doc, found_st = [], []
     edge = first
@@ -536,7 +644,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams(), kept:
     texts = texts_of(named, n)
     asks = met.where("kind = 2").select("at", "blob")
     got = cut(texts.groupBy("at").cogroup(asks.groupBy("at")).applyInPandas(lambda t, a: contexts(t, a, n, p), PACKED))
-    bucket = F.when(F.col("kind") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(n)).cast("int")).alias("bucket")
+    bucket = F.when(F.col("kind") != 1, F.col("at")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(n)).cast("int")).alias("bucket")
     compared = got.groupBy(bucket).applyInPandas(lambda pdf: compare(pdf, n, p), PACKED)
     ranges = met.where("kind = 1").select("at", "blob").unionByName(compared.select("at", "blob"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,54 @@ def test_spans_that_differ_are_never_settled_by_polynomial_hashes(spark, monkeyp
     assert not len(late) and len(rest) == len(runs["key"]) > 0
 
 
+def met(texts: list[str], p: suffix_dedup.SuffixParams) -> pd.DataFrame:
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    runs = suffix_dedup.find_runs(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), p)
+    runs["doc"] = runs.pop("d")
+    blobs = suffix_dedup._dealt(runs, np.zeros(len(runs["key"]), np.int32), suffix_dedup.RUN)
+    return suffix_dedup.meet(pd.DataFrame([(0, at, suffix_dedup._press()[0].compress(b)) for at, b in blobs], columns=["kind", "at", "blob"]), 1, p)
+
+
+def test_common_phrases_of_different_texts_ask_for_no_bytes():
+    p, phrase = suffix_dedup.SuffixParams(), "one of the best known"
+    texts = [f"{words(random.Random(i), 30)} {phrase} {words(random.Random(1_000 + i), 30)}" for i in range(40)]
+    asked = met(texts, p)
+    assert not (asked["kind"] == 2).any()
+    passage = words(random.Random(77), 30)[: p.length]
+    asked = met([t.replace(phrase, passage) for t in texts], p)
+    found = suffix_dedup._all(asked["blob"][asked["kind"] == 2], suffix_dedup.ASK)
+    assert set(found["doc"].tolist()) == set(range(40)) and (found["ln"] <= p.length - p.k + 1).all()
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_least_repeats_amid_common_phrases(spark, hot):
+    rng, p = random.Random(12), suffix_dedup.SuffixParams(hot=hot, chunk_bytes=5_000, batch_bytes=3_000)
+    passages = [words(random.Random(i), 30)[:52] for i in range(12)]
+    rows = []
+    for i in range(150):
+        parts = [words(rng, 6)]
+        for _ in range(3):
+            passage, n = rng.choice(passages), rng.choice((20, 33, 34, 49, 50, 51, 52))
+            at = rng.randrange(len(passage) - n + 1)
+            parts += [passage[at : at + n], chr(rng.randrange(33, 127)), words(rng, 3), rng.choice(".,;!")]
+        rows.append((i, "".join(parts), "", "", 0))
+    want = remove_repeats([(i, t) for i, t, *_ in rows], p.length)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC), p).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_strings_of_hot_anchors_travel_as_digests():
+    p = suffix_dedup.SuffixParams(hot=1)
+    passage, k = words(random.Random(3), 30)[:70], 5
+    texts = [f"{words(random.Random(i), 20)}{passage}{words(random.Random(1_000 + i), 20)}" for i in range(k)]
+    asked = met(texts, p)
+    ask = asked[asked["kind"] == 2]
+    rows = suffix_dedup._records({"row": np.arange(k), "doc": np.arange(k), "part": np.zeros(k), "size": [len(t) for t in texts]}, suffix_dedup.TEXT)
+    blob = suffix_dedup._press()[0].compress(suffix_dedup._pack(rows, "".join(texts).encode()))
+    sent = suffix_dedup.contexts(pd.DataFrame({"blob": [blob]}), ask, 1, p)
+    assert (sent["kind"] == 3).any() and not (sent["kind"] == 0).any()
+
+
 def test_suffix_order_agrees_with_bytes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
